@@ -5,17 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, exact_dedup, license_lookup, mixing, packing, secret_scan, warc
+from . import common, exact_dedup, license_lookup, mixing, near_join, packing, quality, secret_scan, suffix_dedup, topk_search, warc
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(common.documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(common.documents(spark, sf_dir)).drop("secrets")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = exact_dedup.mark_copies(common.documents(spark, sf_dir))
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -27,6 +35,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.join(common.documents(spark, sf_dir))
+
+
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "id % 100 = 0")
+
+
 def op9_license_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_lookup.lookup(common.documents(spark, sf_dir))
 
@@ -36,7 +52,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op3_secret_scan, op5_exact_dedup, op6_warc, op9_license_lookup, op10_mixing)}
+    return {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_secret_scan, op4_quality, op5_exact_dedup, op6_warc, op7_near_join, op8_topk_search, op9_license_lookup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -55,4 +71,11 @@ ORACLES = {
           CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
           CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
         FROM f""",
+    "op8_topk_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+          FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
 }
