@@ -5,10 +5,11 @@ bytes stands for the suffix that starts there.
 
 1. Anchors. Each window picks the smallest hash of its GRAM-byte grams; neighbouring windows with the same pick
    form a record. Equal windows pick the same gram, so only records that share a gram can share a window. Equal
-   records are collapsed to the first of them; windows of the others are repeats.
-2. Runs. Windows of first records that share their gram with a different record are cut from the texts and sorted
-   in runs; a run keeps the first of equal windows and is stored front-coded, in segments.
-3. Exchange. Segments are split at sampled splitters and sent to their range, still front-coded.
+   records are collapsed to the first of them; windows of the others are repeats. A window that starts SIDE bytes
+   or more before its gram holds the SIDE bytes before it, any other the SIDE bytes after it, so a half of a first
+   record stays open only if another first record has the same gram and the same bytes on that side.
+2. Runs. Windows of open halves are cut from the texts and sorted in runs; a run keeps the first of equal windows.
+3. Exchange. Runs are cut at sampled splitters and sent to their ranges as front-coded segments.
 4. Merge. A loser tree merges the runs of a range. It keeps the common prefix of every loser with the last output,
    so known prefixes are never compared again; a common prefix of SPAN bytes is a repeat.
 5. The repeats of a document are joined to its text and cut out.
@@ -28,12 +29,15 @@ from pyspark.sql import functions as F
 from . import common
 
 SPAN, GRAM = 100, 32
+SIDE = (SPAN - GRAM) // 2
 #: Bytes that are hashed at once; longer texts are cut with an overlap, so memory does not grow with a text.
-PIECE_BYTES = 3 << 20
-#: Windows of a sorted run, of a segment and (about) of a range.
-RUN, SEGMENT, RANGE = 200_000, 2_000, 400_000
-#: Most segments whose first windows are looked at for splitters; a hash picks them.
-SPLITTER_SAMPLE = 20_000
+PIECE_BYTES = 3 << 19
+#: Windows of a sorted run, of a segment at most, and (about) of a range.
+RUN, SEGMENT, RANGE = 100_000, 2_000, 300_000
+#: Texts and windows of each from which splitters are chosen.
+SPLITTER_TEXTS, SPLITTER_WINDOWS = 2_000, 16
+#: Packed stretches of a table are broadcast to the texts up to so many bytes and rows; more meet them by shuffle.
+BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -60,7 +64,7 @@ class Hasher:
         self.up, self.down = _powers(_BASE, room + 1), _powers(_INVERSE, room + 1)
 
     def records(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
-        """gram hash, record hash, text number, first window and windows of every record of the texts in data."""
+        """gram hash, record hash, hashes of the two sides, text number, first window, windows and place of the gram of every record."""
         n = len(data)
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=total[1:])
@@ -84,7 +88,12 @@ class Hasher:
         end = low + count + SPAN - 1
         content = (total[end] - total[low]) * self.down[low]
         shape = ((anchor - low) * 256 + count).astype(np.uint64)
-        return grams[anchor], _mixed(content + _mixed(shape)), text, low - starts[text], count
+        span = np.uint64(32)
+        left, right = np.maximum(anchor - SIDE, low), np.minimum(anchor + GRAM + SIDE, end)
+        before = _mixed((total[anchor + GRAM] - total[left]) * self.down[left])
+        after = _mixed((total[right] - total[anchor]) * self.down[anchor])
+        sides = (before >> span << span) | (after >> span)
+        return grams[anchor], _mixed(content + _mixed(shape)), sides, text, low - starts[text], count, anchor - low
 
 
 def _runs_of(order_doc: np.ndarray, low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,19 +105,19 @@ def _runs_of(order_doc: np.ndarray, low: np.ndarray, count: np.ndarray) -> tuple
 
 
 def _anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, text -> gram, record, doc, code. code = first window * 128 + windows of a record; a stretch of repeats that
-    are known already has code = -1 - first window and its windows in place of the record hash."""
+    """doc, text -> gram, record, doc, code, sides. code = (first window * 128 + windows) * 128 + place of the gram; a
+    stretch of repeats that are known already has code = -1 - first window and its windows in place of the record hash."""
     hasher = Hasher(PIECE_BYTES)
-    names = ["gram", "record", "doc", "code"]
+    names = ["gram", "record", "doc", "code", "sides"]
 
     def out(docs, base, pieces) -> pa.RecordBatch | None:
         lengths = np.array([len(p) for p in pieces])
         if not (lengths >= SPAN).any():
             return None
-        gram, record, text, low, count = hasher.records(np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
+        gram, record, sides, text, low, count, place = hasher.records(np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
         doc, low = np.array(docs, dtype=np.int64)[text], low + np.array(base, dtype=np.int64)[text]
         order = np.lexsort((low, doc, record, gram))
-        gram, record, doc, low, count = gram[order], record[order], doc[order], low[order], count[order]
+        gram, record, sides, doc, low, count, place = (x[order] for x in (gram, record, sides, doc, low, count, place))
         new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (record[1:] != record[:-1])])
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         again = (doc != doc[head]) | (low != low[head])
@@ -119,7 +128,8 @@ def _anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.concatenate([gram[new], _mixed(r_doc.astype(np.uint64))]).view(np.int64),
             np.concatenate([record[new].view(np.int64), r_count]),
             np.concatenate([doc[new], r_doc]),
-            np.concatenate([low[new] * 128 + count[new], -1 - r_low]),
+            np.concatenate([(low[new] * 128 + count[new]) * 128 + place[new], -1 - r_low]),
+            np.concatenate([sides[new].view(np.int64), np.zeros(len(r_low), dtype=np.int64)]),
         ]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
@@ -142,47 +152,47 @@ def _anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a partition sorted by gram, record, doc and code -> doc, low, windows, open.
+    """Rows of a partition sorted by gram, record, doc and code -> doc, low, windows, gram, sides, place.
 
-    open: the first of its equal records, where another record has the same gram; its windows are still to be
-    compared. The others are repeats. State between batches is one row.
+    Repeats have a null gram. With a gram: the first of equal records where another record has the same gram; its
+    windows are still to be compared. State between batches is one row.
     """
-    last = None  # gram, record, doc and code of the first equal record, records of the gram so far
-    names = ["doc", "low", "windows", "open"]
+    last = None  # the first of the last equal records, and how many records its gram has so far
+    kinds_of = [("doc", pa.int64()), ("low", pa.int64()), ("windows", pa.int64()), ("gram", pa.int64()), ("sides", pa.int64()), ("place", pa.int64())]
 
-    def rows(doc, low, count, is_open) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(low, pa.int64()), pa.array(count, pa.int64()), pa.array(np.full(len(doc), is_open))], names)
+    def rows(doc, low, count, gram=None, sides=None, place=None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(doc), t) if c is None else pa.array(c, t) for c, (_, t) in zip((doc, low, count, gram, sides, place), kinds_of, strict=True)], [n for n, _ in kinds_of])
 
     for b in batches:
-        gram, record, doc, code = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        known = code < 0
+        columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        known = columns[3] < 0
         if known.any():
-            yield rows(doc[known], -1 - code[known], record[known], False)
-            gram, record, doc, code = gram[~known], record[~known], doc[~known], code[~known]
-        if not len(gram):
+            yield rows(columns[2][known], -1 - columns[3][known], columns[1][known])
+            columns = [c[~known] for c in columns]
+        if not len(columns[0]):
             continue
         if last is not None:  # the row before takes part again as row 0
-            gram, record = np.append(last[0], gram), np.append(last[1], record)
-            doc, code = np.append(last[2], doc), np.append(last[3], code)
+            columns = [np.append(x, c) for x, c in zip(last[0], columns, strict=True)]
+        gram, record, doc, code, sides = columns
+        low, count, place = code // 128 // 128, code // 128 % 128, code % 128
         new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
         new = new_gram | np.concatenate([[True], record[1:] != record[:-1]])
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         again = (doc != doc[head]) | (code != code[head])
         if again.any():
-            yield rows(doc[again], code[again] // 128, code[again] % 128, False)
+            yield rows(doc[again], low[again], count[again])
         group = np.cumsum(new_gram) - 1
         kinds = np.bincount(group[new], minlength=group[-1] + 1)
-        carried = last[4] if last is not None else 0
+        carried = last[1] if last is not None else 0
         if carried:
             kinds[0] += carried - 1
         is_open = new & (kinds[group] > 1)
         if carried > 1:
             is_open[0] = False  # it went out before
         if is_open.any():
-            yield rows(doc[is_open], code[is_open] // 128, code[is_open] % 128, True)
+            yield rows(*(x[is_open] for x in (doc, low, count, gram, sides, place)))
         # a gram with one record so far may get another: its row goes out then
-        at = head[-1]
-        last = (gram[at], record[at], doc[at], code[at], int(kinds[-1]))
+        last = ([c[head[-1]] for c in columns], int(kinds[-1]))
 
 
 def _front_coded(windows: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> dict:
@@ -203,68 +213,91 @@ def _unpacked(lcp: bytes, tails: bytes) -> list[bytes]:
     return out
 
 
-SEGMENTS = "run long, first binary, n int, lcp binary, tails binary, docs binary, places binary, doc long, low long"
+SEGMENTS = "range int, run long, first binary, n int, lcp binary, tails binary, docs binary, places binary"
 
 
-def _build_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """doc, text, open records -> segments of sorted runs, and the repeats found on the way (doc, low)."""
-    from pyspark import TaskContext
+def _packed(low: np.ndarray, count: np.ndarray) -> bytes:
+    """Stretches of one document, sorted, neighbours and overlaps joined: 32-bit gaps and lengths, 64-bit where they need it."""
+    order = np.argsort(low, kind="stable")
+    low, end = low[order], np.maximum.accumulate((low + count)[order])
+    new = np.concatenate([[True], low[1:] > end[:-1]])
+    low, end = low[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
+    flat = np.diff(np.stack([low, end], axis=1).ravel(), prepend=0)
+    kind = "<u4" if flat.max() < 1 << 32 else "<u8"
+    return bytes([int(kind[2])]) + flat.astype(kind).tobytes()
 
-    parts, held, number, task = [], 0, 0, TaskContext.get().partitionId()
 
-    def run() -> Iterator[pd.DataFrame]:
-        nonlocal parts, held, number
-        windows = np.concatenate([p[0] for p in parts])
-        doc, pos = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-        order = np.lexsort((pos, doc))
-        order = order[np.argsort(windows.view(f"S{SPAN}").ravel()[order], kind="stable")]
-        windows, doc, pos = windows[order], doc[order], pos[order]
-        new = np.concatenate([[True], (windows[1:] != windows[:-1]).any(axis=1)])
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        again = (doc != doc[head]) | (pos != pos[head])
-        if again.any():
-            yield pd.DataFrame({"doc": doc[again], "low": pos[again]})
-        windows, doc, pos = windows[new], doc[new], pos[new]
-        yield pd.DataFrame([_front_coded(windows[i : i + SEGMENT], doc[i : i + SEGMENT], pos[i : i + SEGMENT]) for i in range(0, len(doc), SEGMENT)]).assign(run=task << 32 | number)
-        parts, held, number = [], 0, number + 1
+def _stretches(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    edges = np.cumsum(np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64))
+    return edges[::2], edges[1::2] - edges[::2]
+
+
+def _places(packed: bytes) -> np.ndarray:
+    low, count = _stretches(packed)
+    return np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
 
-    def shaped(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.reindex(columns=[c.split()[0] for c in SEGMENTS.split(", ")]).astype({"run": "Int64", "n": "Int32", "doc": "Int64", "low": "Int64"})
 
+def _windows(data: bytes, places: np.ndarray) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), SPAN)[places]
+
+
+def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        for doc, data, lows, counts in zip(b["doc"], b["text"], b["lows"], b["counts"], strict=True):
-            view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), SPAN)
-            lows, counts = np.asarray(lows), np.asarray(counts)
-            order = np.argsort(lows, kind="stable")
-            places = np.repeat(lows[order], counts[order]) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts[order]) - counts[order], counts[order])
-            places = np.unique(places)
-            for at in range(0, len(places), RUN):
-                some = places[at : at + RUN]
-                parts.append((view[some], np.full(len(some), doc), some))
-                held += len(some)
-                if held >= RUN:
-                    yield from map(shaped, run())
-    if held:
-        yield from map(shaped, run())
-
-
-def _split(splitters: list[bytes]):
-    """Segments -> their parts in each range, still front-coded."""
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for data, packed in zip(b["text"], b["packed"], strict=True):
+            places = _places(packed)
+            out += [w.tobytes() for w in _windows(data, places[np.linspace(0, len(places) - 1, SPLITTER_WINDOWS).astype(int)])]
+        yield pd.DataFrame({"w": out})
+
+
+def _build_runs(splitters: list[bytes]):
+    """doc, text, packed open windows -> front-coded segments of sorted runs, each within a range.
+
+    Repeats that a run finds are segments without windows: only docs and places.
+    """
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        parts, held, number, task = [], 0, 0, TaskContext.get().partitionId()
         cuts = np.array(splitters, dtype=f"S{SPAN}")
+
+        def run() -> pd.DataFrame:
+            nonlocal parts, held, number
+            windows, doc, pos = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            order = np.lexsort((pos, doc))
+            order = order[np.argsort(windows.view(f"S{SPAN}").ravel()[order], kind="stable")]
+            windows, doc, pos = windows[order], doc[order], pos[order]
+            new = np.concatenate([[True], (windows[1:] != windows[:-1]).any(axis=1)])
+            head = np.flatnonzero(new)[np.cumsum(new) - 1]
+            again = (doc != doc[head]) | (pos != pos[head])
+            out = [{"docs": doc[again].astype("<i8").tobytes(), "places": pos[again].astype("<i8").tobytes(), "range": number % (len(cuts) + 1)}] if again.any() else []
+            windows, doc, pos = windows[new], doc[new], pos[new]
+            target = np.searchsorted(cuts, windows.view(f"S{SPAN}").ravel(), side="right") if len(cuts) else np.zeros(len(doc), dtype=int)
+            for i, j in _cuts(target):
+                out += [_front_coded(windows[k : min(j, k + SEGMENT)], doc[k : min(j, k + SEGMENT)], pos[k : min(j, k + SEGMENT)]) | {"range": int(target[i])} for k in range(i, j, SEGMENT)]
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in SEGMENTS.split(", ")]).assign(run=task << 32 | number).astype({"n": "Int32"})
+            parts, held, number = [], 0, number + 1
+            return frame
+
         for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                windows = np.frombuffer(b"".join(_unpacked(r.lcp, r.tails)), np.uint8).reshape(-1, SPAN)
-                docs, places = np.frombuffer(r.docs, "<i8"), np.frombuffer(r.places, "<i8")
-                target = np.searchsorted(cuts, windows.view(f"S{SPAN}").ravel(), side="right") if len(cuts) else np.zeros(len(docs), dtype=int)
-                edges = np.concatenate([[0], np.flatnonzero(target[1:] != target[:-1]) + 1, [len(target)]])
-                for i, j in zip(edges[:-1], edges[1:], strict=True):
-                    out.append(_front_coded(windows[i:j], docs[i:j], places[i:j]) | {"run": r.run, "range": int(target[i])})
-            yield pd.DataFrame(out, columns=["range", "run", "first", "n", "lcp", "tails", "docs", "places"])
+            for doc, data, packed in zip(b["doc"], b["text"], b["packed"], strict=True):
+                places = _places(packed)
+                for at in range(0, len(places), RUN):
+                    some = places[at : at + RUN]
+                    parts.append((_windows(data, some), np.full(len(some), doc), some))
+                    held += len(some)
+                    if held >= RUN:
+                        yield run()
+        if held:
+            yield run()
+
+    return build
+
 
-    return split
+def _cuts(target: np.ndarray) -> Iterator[tuple[int, int]]:
+    edges = [0, *(np.flatnonzero(target[1:] != target[:-1]) + 1).tolist(), len(target)]
+    return zip(edges[:-1], edges[1:], strict=True)
 
 
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -343,7 +376,8 @@ def _merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
             before = windows[-1]
             yield from zip(windows, lcps, np.frombuffer(r.docs, "<i8").tolist(), np.frombuffer(r.places, "<i8").tolist(), strict=True)
 
-    runs = [read(rows) for _, rows in parts.sort_values(["run", "first"]).groupby("run", sort=True)]
+    known = parts[parts["first"].isna()]
+    runs = [read(rows) for _, rows in parts[parts["first"].notna()].sort_values(["run", "first"]).groupby("run", sort=True)]
     docs, lows, first = [], [], None
     for lcp, doc, place in LoserTree(runs):
         if lcp < SPAN or first is None:
@@ -353,23 +387,28 @@ def _merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
             first = min(first, (doc, place))
             docs.append(later[0])
             lows.append(later[1])
-    return pd.DataFrame({"doc": np.array(docs, dtype=np.int64), "low": np.array(lows, dtype=np.int64)})
+    doc, low = (np.concatenate([np.array(x, dtype=np.int64), *[np.frombuffer(y, "<i8") for y in known[c]]]) for x, c in ((docs, "docs"), (lows, "places")))
+    order = np.lexsort((low, doc))
+    doc, low, count = _runs_of(doc[order], low[order], np.ones(len(doc), dtype=np.int64))
+    return pd.DataFrame({"doc": doc, "low": low, "windows": count})
 
 
-def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for doc_id, data, lows, counts in zip(b["doc_id"], b["text"], b["lows"], b["counts"], strict=True):
-            starts, ends = [], []
-            if lows is not None and len(lows):
-                lows, counts = np.asarray(lows), np.asarray(counts)
-                order = np.argsort(lows, kind="stable")
-                low, end = lows[order], np.maximum.accumulate(lows[order] + counts[order] + SPAN - 1)
-                new = np.concatenate([[True], low[1:] > end[:-1]])
-                starts, ends = low[new].tolist(), end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)].tolist()
-            kept = b"".join([data[i:j] for i, j in zip([0, *ends], [*starts, len(data)], strict=True)])
-            out.append((doc_id, len(data), len(data) - len(kept), list(zip(starts, ends, strict=True)), kept, hashlib.sha256(kept).hexdigest()))
-        yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"]).astype({"doc_id": "Int64"}).assign(n_spans=lambda f: [len(s) for s in f["spans"]])
+def _remover(with_kept: bool):
+    def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for doc_id, data, packed in zip(b["doc_id"], b["text"], b["packed"], strict=True):
+                starts, ends = [], []
+                if packed is not None:
+                    low, count = _stretches(packed)
+                    end = low + count + SPAN - 1
+                    new = np.concatenate([[True], low[1:] > end[:-1]])
+                    starts, ends = low[new].tolist(), end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)].tolist()
+                kept = b"".join([data[i:j] for i, j in zip([0, *ends], [*starts, len(data)], strict=True)])
+                out.append((doc_id, len(data), len(data) - len(kept), list(zip(starts, ends, strict=True)), kept if with_kept else None, hashlib.sha256(kept).hexdigest(), len(starts)))
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256", "n_spans"]).astype({"doc_id": "Int64"})
+
+    return removed
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -380,38 +419,55 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(own, last).alias("doc"), own.alias("doc_id"), text.cast("binary").alias("text"))
 
 
-def _grouped(stretches: DataFrame) -> DataFrame:
-    return stretches.groupBy("doc").agg(F.collect_list(F.struct("low", "windows")).alias("w")).select("doc", F.col("w.low").alias("lows"), F.col("w.windows").alias("counts"))
+def _by_document(stretches: DataFrame, name: str) -> DataFrame:
+    """doc, packed: the stretches of each document as one value, with a broadcast hint if all of them are small."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc": b["doc"], "packed": [_packed(np.asarray(low), np.asarray(n)) for low, n in zip(b["lows"], b["counts"], strict=True)]})
+
+    lists = stretches.groupBy("doc").agg(F.collect_list(F.struct("low", "windows")).alias("w")).select("doc", F.col("w.low").alias("lows"), F.col("w.windows").alias("counts"))
+    packed = common.cut(lists.mapInPandas(pack, "doc long, packed binary"), name)
+    rows, size = packed.agg(F.count(F.lit(1)), F.sum(F.length("packed"))).first()
+    return F.broadcast(packed) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else packed
+
+
+def _open_windows(records: DataFrame) -> DataFrame:
+    """doc, low, windows of the halves of first records that another first record may share."""
+    before = F.greatest(F.lit(0), F.least(F.col("windows"), F.col("place") - (SIDE - 1)))
+    side = lambda n, low, count: F.struct(F.xxhash64("gram", F.lit(n), F.shiftrightunsigned("sides", 32) if n == 0 else F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"), low.alias("low"), count.alias("windows"))
+    halves = F.explode(F.array(side(0, F.col("low"), before), side(1, F.col("low") + before, F.col("windows") - before)))
+    rows = records.filter("gram is not null").select("doc", halves.alias("h")).select("doc", "h.*").filter("windows > 0")
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    return rows.join(keys, "key").select("doc", "low", "windows")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, low, windows: stretches of starts of SPAN-byte strings that also start earlier. They can overlap."""
-    texts = _texts(docs, id_col, text_col)
-    anchors = texts.select("doc", "text").mapInArrow(_anchor, "gram long, record long, doc long, code long")
+    texts = _texts(docs, id_col, text_col).select("doc", "text")
+    anchors = texts.mapInArrow(_anchor, "gram long, record long, doc long, code long, sides long")
     sorted_ = anchors.repartition("gram").sortWithinPartitions("gram", "record", "doc", "code")
-    records = common.cut(sorted_.mapInArrow(_collapse, "doc long, low long, windows long, open boolean"), "records")
-    wanted = _grouped(records.filter("open"))
-    runs = common.cut(texts.select("doc", "text").join(wanted, "doc").mapInPandas(_build_runs, SEGMENTS), "runs")
-    segments = runs.filter("run is not null").drop("doc", "low")
-    total, count = segments.agg(F.sum("n"), F.count(F.lit(1))).first()
-    step = max(1, -(-count // SPLITTER_SAMPLE))
-    sample = sorted(bytes(r[0]) for r in segments.filter(F.pmod(F.xxhash64("run", "first"), F.lit(step)) == 0).select("first").collect())
+    records = common.cut(sorted_.mapInArrow(_collapse, "doc long, low long, windows long, gram long, sides long, place long"), "records")
+    wanted = common.cut(_open_windows(records), "open")
+    total, holders = wanted.agg(F.sum("windows"), F.approx_count_distinct("doc")).first()
+    wanted = texts.join(_by_document(wanted, "wanted"), "doc")
+    # the sample is by document and its size is fixed; ranges are as many as the windows need
+    some = wanted.filter(F.pmod(F.xxhash64("doc"), F.lit(max(1, holders // SPLITTER_TEXTS))) == 0).select("text", "packed")
+    sample = sorted(bytes(r[0]) for r in some.mapInPandas(_sampled, "w binary").collect())
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // RANGE))
     splitters = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
-    parts = segments.mapInPandas(_split(splitters), "range int, run long, first binary, n int, lcp binary, tails binary, docs binary, places binary")
-    merged = parts.groupBy("range").applyInPandas(_merge, "doc long, low long")
-    one = F.lit(1).cast("long").alias("windows")
-    return records.filter("not open").select("doc", "low", "windows").unionByName(runs.filter("run is null").select("doc", "low", one)).unionByName(merged.select("doc", "low", one))
+    merged = wanted.mapInPandas(_build_runs(splitters), SEGMENTS).groupBy("range").applyInPandas(_merge, "doc long, low long, windows long")
+    return records.filter("gram is null").select("doc", "low", "windows").unionByName(merged)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True) -> DataFrame:
     """Remove every byte covered by a SPAN-byte string that also starts earlier (smaller id, or earlier in the text).
 
     One row per row of docs: doc_id, n_bytes, n_removed, n_spans, spans (array of start and end in bytes), kept
-    (the remaining bytes) and kept_sha256. Texts are UTF-8; a null text is empty; texts under SPAN bytes lose
-    nothing. Ids name their texts: rows that repeat an id and its text are one document and get equal results.
-    Null ids come after all others. An empty table gives no rows.
+    (the remaining bytes, if with_kept) and kept_sha256. Texts are UTF-8; a null text is empty; texts under SPAN
+    bytes lose nothing. Ids name their texts: rows that repeat an id and its text are one document and get equal
+    results. Null ids come after all others. An empty table gives no rows.
     """
-    texts, found = _texts(docs, id_col, text_col), _grouped(repeats(docs, id_col, text_col))
+    found = _by_document(repeats(docs, id_col, text_col), "found")
     kind = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string, n_spans long"
-    return texts.join(found, "doc", "left").select("doc_id", "text", "lows", "counts").mapInPandas(_removed, kind)
+    return _texts(docs, id_col, text_col).join(found, "doc", "left").select("doc_id", "text", "packed").mapInPandas(_remover(with_kept), kind)
