@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import batch
+
 
 def queries() -> dict:
-    return {}
+    return dict(batch.Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(batch.SQL)
