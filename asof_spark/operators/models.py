@@ -58,7 +58,7 @@ def sign_audit(train: DataFrame, expected: dict[str, int]) -> DataFrame:
     rows = []
     for name, sign in expected.items():
         one = float(fit_logistic(train, (name,)).stages[-1].coefficients[0])
-        rows.append((name, one, float(full[name]), sign, one * sign >= 0, one * full[name] < 0))
+        rows.append((name, one, float(full[name]), sign, bool(one * sign >= 0), bool(one * full[name] < 0)))
     return train.sparkSession.createDataFrame(rows, "name string, univariate double, multivariate double, expected int, ok boolean, collinear boolean")
 
 

@@ -367,9 +367,11 @@ def targets_of(b: Base, day: str = "2001-06-01") -> DataFrame:
     return t.join(p("home"), "home_team_id", "left").join(p("away"), "away_team_id", "left")
 
 
-@query(sql(f"""SELECT CAST(-1 - h.team_id AS BIGINT) AS game_pk, round(h.form, {DIGITS}) AS home_form_15, round(a.form, {DIGITS}) AS away_form_15, h.gp AS home_games_played, a.gp AS away_games_played, CAST(least(date_diff('day', h.last, DATE '2001-06-01'), 5) AS INT) AS home_rest_days FROM
-  (SELECT team_id, CASE WHEN count(won) FILTER (k <= 15) >= 5 THEN CAST(sum(won) FILTER (k <= 15) AS DOUBLE) / count(won) FILTER (k <= 15) END AS form, count(*) AS gp, max(date) AS last FROM (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY ord DESC) AS k FROM long WHERE season = 2001 AND date < DATE '2001-06-01') GROUP BY 1) h JOIN
-  (SELECT team_id, CASE WHEN count(won) FILTER (k <= 15) >= 5 THEN CAST(sum(won) FILTER (k <= 15) AS DOUBLE) / count(won) FILTER (k <= 15) END AS form, count(*) AS gp FROM (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY ord DESC) AS k FROM long WHERE season = 2001 AND date < DATE '2001-06-01') GROUP BY 1) a ON a.team_id = (h.team_id + 1) % 30 WHERE h.team_id % 2 = 0""", "long"))
+_SEASON = "(SELECT team_id, CASE WHEN count(won) FILTER (k <= 15) >= 5 THEN CAST(sum(won) FILTER (k <= 15) AS DOUBLE) / count(won) FILTER (k <= 15) END AS form, count(*) AS gp, max(date) AS last FROM (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY ord DESC) AS k FROM long WHERE season = 2001 AND date < DATE '2001-06-01') GROUP BY 1)"
+
+
+@query(sql(f"""SELECT CAST(-1 - t.team_id AS BIGINT) AS game_pk, round(h.form, {DIGITS}) AS home_form_15, round(a.form, {DIGITS}) AS away_form_15, coalesce(h.gp, 0) AS home_games_played, coalesce(a.gp, 0) AS away_games_played, CAST(coalesce(least(date_diff('day', h.last, DATE '2001-06-01'), 5), 5) AS INT) AS home_rest_days
+  FROM (SELECT home_team_id AS team_id FROM games UNION SELECT away_team_id FROM games) t LEFT JOIN {_SEASON} h USING (team_id) LEFT JOIN {_SEASON} a ON a.team_id = (t.team_id + 1) % 30 WHERE t.team_id % 2 = 0""", "long"))
 def d19_live_features(b):
     return asof.live_features(b.played, b.logs, b.venues, targets_of(b)).select("game_pk", "home_form_15", "away_form_15", "home_games_played", "away_games_played", "home_rest_days")
 
