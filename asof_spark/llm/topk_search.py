@@ -200,7 +200,8 @@ def search(vectors: DataFrame, query_filter: str, id_col: str = "vec_id", vector
         return visit
 
     def visited(queries: DataFrame, first: bool) -> DataFrame:
-        pairs = queries.mapInPandas(visits(first), "annulus int, qs array<binary>, bounds array<long>").join(blocks, "annulus")
+        # both sides grow with the input, which the planner cannot see behind the function: never broadcast
+        pairs = queries.mapInPandas(visits(first), "annulus int, qs array<binary>, bounds array<long>").hint("merge").join(blocks.hint("merge"), "annulus")
         found = pairs.select("vs", "lists", "qs", "bounds").mapInPandas(_scorer(dim, k + 1), "q binary, score long, id long")
         return common.cut(_ranked(found, k + 1).drop("rank"), "visited")
 
