@@ -32,7 +32,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "warc")
     warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return warc.captures(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.captures(spark, path, with_capture=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:

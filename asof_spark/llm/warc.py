@@ -149,18 +149,19 @@ def assemble(records: DataFrame) -> DataFrame:
     )
 
 
-def captures(spark: SparkSession, path: str) -> DataFrame:
-    """assemble() with revisits resolved: page_id, url, record_type, payload_bytes, payload_digest, refers_to, capture (the nested row).
+def captures(spark: SparkSession, path: str, with_capture: bool = True) -> DataFrame:
+    """assemble() with revisits resolved: page_id, url, record_type, payload_bytes, payload_digest, refers_to and, if with_capture, capture (the nested row).
 
     A revisit takes length and digest of the payload from the response that it refers to; refers_to is that
     response's page id.
     """
-    whole = common.cut(assemble(read(spark, path)), "captures")
+    whole = assemble(read(spark, path))
     page = F.expr("try_cast(metadata.fields['page-id'] as bigint)")
     own = whole.select(
         F.col("capture").alias("capture_id"), page.alias("page_id"), F.col("target_uri").alias("url"), F.col("response.record_type").alias("record_type"), F.col("response.refers_to").alias("refers_id"),
-        F.octet_length("response.payload").cast("long").alias("bytes"), F.sha2("response.payload", 256).alias("digest"), F.struct("response", "request", "metadata").alias("capture"),
+        F.octet_length("response.payload").cast("long").alias("bytes"), F.sha2("response.payload", 256).alias("digest"), *[F.struct("response", "request", "metadata").alias("capture")] * with_capture,
     )
+    own = common.cut(own, "captures")
     referred = own.filter("record_type = 'response'").select(F.col("capture_id").alias("refers_id"), F.col("page_id").alias("first_page"), F.col("bytes").alias("first_bytes"), F.col("digest").alias("first_digest"))
     is_revisit = F.col("record_type") == "revisit"
     return own.join(referred, "refers_id", "left").select(
@@ -168,5 +169,5 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
         F.when(is_revisit, F.col("first_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
         F.when(is_revisit, F.col("first_digest")).otherwise(F.col("digest")).alias("payload_digest"),
         F.when(is_revisit, F.col("first_page")).alias("refers_to"),
-        "capture",
+        *["capture"] * with_capture,
     )
