@@ -90,9 +90,9 @@ PARTS = {
       slate AS (SELECT *, round(1 / (1 + pow(10, -(hr + 25 - ar) / 400)), 12) AS elo FROM rated WHERE game_type = 'R'),
       scored AS (SELECT game_pk, season, date, home_win, elo, 0.54 AS constant, game_pk % 3 = 0 AS low_confidence, home_win AS y, elo AS p FROM slate WHERE is_final AND home_win IS NOT NULL)""",
     "form": """form AS (SELECT *, CASE WHEN count(won) OVER w >= 5 THEN CAST(sum(won) OVER w AS DOUBLE) / count(won) OVER w END AS form_15,
-        row_number() OVER s - 1 AS games_played,
+        CAST(row_number() OVER s - 1 AS INT) AS games_played,
         CASE WHEN row_number() OVER s > 5 THEN CAST(sum(run_diff) OVER u AS DOUBLE) / (row_number() OVER s - 1) END AS run_diff_pg,
-        coalesce(least(date_diff('day', lag(date) OVER t, date), 5), 5) AS rest_days
+        CAST(coalesce(least(date_diff('day', lag(date) OVER t, date), 5), 5) AS INT) AS rest_days
       FROM long WINDOW w AS (PARTITION BY team_id, season ORDER BY ord ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING), s AS (PARTITION BY team_id, season ORDER BY ord),
         u AS (PARTITION BY team_id, season ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), t AS (PARTITION BY team_id ORDER BY ord))""",
     "tz": """tz AS (SELECT game_pk, team_id, side, CASE WHEN off IS NOT NULL THEN coalesce(abs(off - lag(off) OVER (PARTITION BY team_id, season ORDER BY ord)), 0) END AS tz_delta, off,
@@ -102,7 +102,7 @@ PARTS = {
       walked AS (SELECT i.game_pk, i.pitcher_id, max(j.ord) AS stop FROM cum i JOIN cum j ON j.pitcher_id = i.pitcher_id AND j.ord < i.ord AND i.b_o - j.b_o >= 180 GROUP BY 1, 2),
       win AS (SELECT i.game_pk, i.pitcher_id, i.is_home, i.is_starter, i.b_o >= 180 AS enough, i.b_o - coalesce(j.b_o, 0) AS outs, i.b_hr - coalesce(j.b_hr, 0) AS hr, i.b_bb - coalesce(j.b_bb, 0) AS bb, i.b_hb - coalesce(j.b_hb, 0) AS hb, i.b_k - coalesce(j.b_k, 0) AS k, i.b_bf - coalesce(j.b_bf, 0) AS bf
         FROM cum i LEFT JOIN walked w ON w.game_pk = i.game_pk AND w.pitcher_id = i.pitcher_id LEFT JOIN cum j ON j.pitcher_id = i.pitcher_id AND j.ord = w.stop),
-      own AS (SELECT game_pk, pitcher_id, is_home, is_starter, enough, outs AS own_outs, CASE WHEN outs > 0 THEN CAST(13 * hr + 3 * (bb + hb) - 2 * k AS DOUBLE) / (outs / 3.0) END AS own_fip, CASE WHEN bf > 0 THEN CAST(k AS DOUBLE) / bf END AS own_k FROM win)""",
+      own AS (SELECT game_pk, pitcher_id, is_home, is_starter, enough, CAST(outs AS BIGINT) AS own_outs, CASE WHEN outs > 0 THEN CAST(13 * hr + 3 * (bb + hb) - 2 * k AS DOUBLE) / (outs / 3.0) END AS own_fip, CASE WHEN bf > 0 THEN CAST(k AS DOUBLE) / bf END AS own_k FROM win)""",
     "league": """league AS (SELECT g.game_pk, CASE WHEN sum(ip_outs) > 0 THEN CAST(13 * sum(home_runs) + 3 * (sum(walks) + sum(hit_by_pitch)) - 2 * sum(strikeouts) AS DOUBLE) / (sum(ip_outs) / 3.0) END AS league_fip,
         CASE WHEN sum(batters_faced) > 0 THEN CAST(sum(strikeouts) AS DOUBLE) / sum(batters_faced) END AS league_k
       FROM o g LEFT JOIN rows_ r ON r.is_starter AND r.ord < g.ord AND r.date >= g.date - 365 GROUP BY g.game_pk)""",

@@ -50,18 +50,18 @@ def boxes(b: Base) -> DataFrame:
     return g.select(F.from_json(F.to_json(F.struct("*")), kind).alias("b")).select("b.*")
 
 
-@query(sql("SELECT game_pk, season, date, game_type, home_team_id, away_team_id, home_score, away_score, venue_id, is_final AND game_pk % 50 <> 0 AS is_final, CASE WHEN game_pk % 50 <> 0 THEN home_win END AS home_win FROM games"))
+@query(sql("SELECT game_pk, season, date, game_type, CAST(home_team_id AS BIGINT) AS home_team_id, CAST(away_team_id AS BIGINT) AS away_team_id, home_score, away_score, CAST(venue_id AS BIGINT) AS venue_id, is_final AND game_pk % 50 <> 0 AS is_final, CASE WHEN game_pk % 50 <> 0 THEN home_win END AS home_win FROM games"))
 def a1_schedule(b):
     return payloads.parse_schedule(schedules(b)).select("game_pk", "season", "date", "game_type", "home_team_id", "away_team_id", "home_score", "away_score", "venue_id", "is_final", "home_win")
 
 
-@query(sql("""SELECT game_pk, CASE WHEN is_home THEN 'home' ELSE 'away' END AS side, pitcher_id, row_number() OVER (PARTITION BY game_pk, is_home ORDER BY pitcher_id) AS appearance_order, is_starter, ip_outs, batters_faced, is_starter AND ip_outs <= 6 AND batters_faced <= 9 AS is_opener,
+@query(sql("""SELECT game_pk, CASE WHEN is_home THEN 'home' ELSE 'away' END AS side, pitcher_id, CAST(row_number() OVER (PARTITION BY game_pk, is_home ORDER BY pitcher_id) AS INT) AS appearance_order, is_starter, CAST(ip_outs AS INT) AS ip_outs, CAST(batters_faced AS INT) AS batters_faced, is_starter AND ip_outs <= 6 AND batters_faced <= 9 AS is_opener,
   CASE WHEN pitcher_id = min(pitcher_id) OVER (PARTITION BY game_pk) THEN 'W' WHEN pitcher_id = max(pitcher_id) OVER (PARTITION BY game_pk) THEN 'L' WHEN pitcher_id % 7 = 0 THEN 'H' END AS decision FROM logs""", "logs"))
 def a2_pitchers(b):
     return payloads.parse_pitchers(boxes(b)).select("game_pk", "side", "pitcher_id", "appearance_order", "is_starter", "ip_outs", "batters_faced", "is_opener", "decision")
 
 
-@query(sql("SELECT game_pk, CASE WHEN is_home THEN 'home' ELSE 'away' END AS side, pitcher_id AS batter_id, CASE WHEN pitcher_id % 5 = 0 THEN pitcher_id % 9 + 1 END AS slot, CASE WHEN pitcher_id % 3 = 0 THEN batters_faced END AS plate_appearances FROM logs WHERE pitcher_id % 3 = 0 OR pitcher_id % 5 = 0", "logs"))
+@query(sql("SELECT game_pk, CASE WHEN is_home THEN 'home' ELSE 'away' END AS side, pitcher_id AS batter_id, CAST(CASE WHEN pitcher_id % 5 = 0 THEN pitcher_id % 9 + 1 END AS INT) AS slot, CAST(CASE WHEN pitcher_id % 3 = 0 THEN batters_faced END AS INT) AS plate_appearances FROM logs WHERE pitcher_id % 3 = 0 OR pitcher_id % 5 = 0", "logs"))
 def a3_batters(b):
     return payloads.parse_batters(boxes(b)).select("game_pk", "side", "batter_id", "slot", "plate_appearances")
 
@@ -111,7 +111,7 @@ def a9_directory_search(b):
 
 
 @query(sql("""SELECT team_id, league, division, division_rank, CASE WHEN division_rank = 1 THEN 'Division winner' WHEN team_id % 7 <= 3 THEN 'Wild card' WHEN team_id % 2 = 0 THEN 'Clinched' ELSE '—' END AS status, CASE WHEN team_id % 3 = 0 THEN '—' ELSE CAST(team_id AS VARCHAR) END AS games_back
-  FROM (SELECT team_id, team_id % 2 AS league, team_id % 6 AS division, row_number() OVER (PARTITION BY team_id % 6 ORDER BY wins DESC, team_id) AS division_rank FROM (SELECT winner AS team_id, count(*) AS wins FROM wl GROUP BY 1))""", "wl"))
+  FROM (SELECT team_id, team_id % 2 AS league, team_id % 6 AS division, CAST(row_number() OVER (PARTITION BY team_id % 6 ORDER BY wins DESC, team_id) AS INT) AS division_rank FROM (SELECT winner AS team_id, count(*) AS wins FROM wl GROUP BY 1))""", "wl"))
 def a10_official_standings(b):
     from pyspark.sql.window import Window
 
@@ -208,7 +208,7 @@ def c5_anomalous_season(b):
     return b.games.select("game_pk", (F.col("season") == 1998).alias("is_anomalous_season"))
 
 
-@query(sql("SELECT game_pk, pitcher_id, ip_outs FROM logs", "logs"))
+@query(sql("SELECT game_pk, pitcher_id, CAST(ip_outs AS INT) AS ip_outs FROM logs", "logs"))
 def c6_ip_to_outs(b):
     text = F.concat((F.col("ip_outs") / 3).cast("int").cast("string"), F.lit("."), (F.col("ip_outs") % 3).cast("string"))
     return b.logs.select("game_pk", "pitcher_id", scalars.ip_to_outs(text).alias("ip_outs"))
@@ -370,7 +370,7 @@ def targets_of(b: Base, day: str = "2001-06-01") -> DataFrame:
 _SEASON = "(SELECT team_id, CASE WHEN count(won) FILTER (k <= 15) >= 5 THEN CAST(sum(won) FILTER (k <= 15) AS DOUBLE) / count(won) FILTER (k <= 15) END AS form, count(*) AS gp, max(date) AS last FROM (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY ord DESC) AS k FROM long WHERE season = 2001 AND date < DATE '2001-06-01') GROUP BY 1)"
 
 
-@query(sql(f"""SELECT CAST(-1 - t.team_id AS BIGINT) AS game_pk, round(h.form, {DIGITS}) AS home_form_15, round(a.form, {DIGITS}) AS away_form_15, coalesce(h.gp, 0) AS home_games_played, coalesce(a.gp, 0) AS away_games_played, CAST(coalesce(least(date_diff('day', h.last, DATE '2001-06-01'), 5), 5) AS INT) AS home_rest_days
+@query(sql(f"""SELECT CAST(-1 - t.team_id AS BIGINT) AS game_pk, round(h.form, {DIGITS}) AS home_form_15, round(a.form, {DIGITS}) AS away_form_15, CAST(coalesce(h.gp, 0) AS INT) AS home_games_played, CAST(coalesce(a.gp, 0) AS INT) AS away_games_played, CAST(coalesce(least(date_diff('day', h.last, DATE '2001-06-01'), 5), 5) AS INT) AS home_rest_days
   FROM (SELECT home_team_id AS team_id FROM games UNION SELECT away_team_id FROM games) t LEFT JOIN {_SEASON} h USING (team_id) LEFT JOIN {_SEASON} a ON a.team_id = (t.team_id + 1) % 30 WHERE t.team_id % 2 = 0""", "long"))
 def d19_live_features(b):
     return asof.live_features(b.played, b.logs, b.venues, targets_of(b)).select("game_pk", "home_form_15", "away_form_15", "home_games_played", "away_games_played", "home_rest_days")
@@ -443,7 +443,7 @@ def e8_neutral_site(b):
     return ratings.neutral_site(b.ratings)
 
 
-@query(sql("SELECT team_id, rating, row_number() OVER (ORDER BY rating DESC, team_id) AS rank FROM ratings", "ratings"))
+@query(sql("SELECT team_id, rating, CAST(row_number() OVER (ORDER BY rating DESC, team_id) AS INT) AS rank FROM ratings", "ratings"))
 def e9_rating_table(b):
     return ratings.rating_table(b.ratings.drop("team_name"))
 

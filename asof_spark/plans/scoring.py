@@ -76,7 +76,7 @@ def g4_search_boosted(b):
     return models.search_boosted(split_of(b, _TUNE), split_of(b, _VAL), SMALL_GRID)
 
 
-_SEARCH = "SELECT CAST(team_id AS INT) AS config, CASE team_id % 3 WHEN 0 THEN 0.03 WHEN 1 THEN 0.1 ELSE 0.2 END AS step_size, CAST(50 * (1 + team_id % 4) AS INT) AS max_iter, CAST(3 + team_id % 3 AS INT) AS max_depth, CAST(1 + team_id % 2 * 19 AS INT) AS min_instances, round(0.68 + (rating - 1455) / 20000, 9) AS log_loss FROM ratings"
+_SEARCH = "SELECT CAST(team_id AS INT) AS config, CAST(CASE team_id % 3 WHEN 0 THEN 0.03 WHEN 1 THEN 0.1 ELSE 0.2 END AS DOUBLE) AS step_size, CAST(50 * (1 + team_id % 4) AS INT) AS max_iter, CAST(3 + team_id % 3 AS INT) AS max_depth, CAST(1 + team_id % 2 * 19 AS INT) AS min_instances, round(0.68 + (rating - 1455) / 20000, 9) AS log_loss FROM ratings"
 
 
 @query(sql(f"SELECT * FROM ({_SEARCH}) WHERE log_loss <= (SELECT min(log_loss) FROM ({_SEARCH})) + 0.002 ORDER BY max_iter, max_depth, min_instances DESC, step_size, config LIMIT 1", "ratings"))
@@ -160,7 +160,7 @@ def h2_auc(b):
 _LONG = "(SELECT game_pk, low_confidence, y, unnest(['elo', 'constant']) AS model, unnest([elo, constant]) AS p FROM scored)"
 
 
-@query(sql(f"SELECT model, log_loss, row_number() OVER (ORDER BY log_loss, model) AS rank FROM ({_eval_sql('model', _LONG)})", "scored"))
+@query(sql(f"SELECT model, log_loss, CAST(row_number() OVER (ORDER BY log_loss, model) AS INT) AS rank FROM ({_eval_sql('model', _LONG)})", "scored"))
 def h3_compare(b):
     return metrics.compare(metrics.evaluate(metrics.to_long(b.scored, {"elo": "elo", "constant": "constant"}), "model")).select("model", "log_loss", "rank")
 
@@ -199,7 +199,7 @@ def h9_most_extreme(b):
     return metrics.most_extreme(b.scored.select("game_pk", "p"))
 
 
-@query(sql(f"SELECT round(avg(CASE WHEN p > 0.55 OR p < 0.45 THEN 1.0 ELSE 0 END), {D}) AS share, 0.0 AS raw_share, round(max(p), {D}) AS max_p, 0.54 AS raw_max_p, round(max(p) - min(p), {D}) AS \"range\", 0.0 AS raw_range FROM scored", "scored"))
+@query(sql(f"SELECT round(avg(CASE WHEN p > 0.55 OR p < 0.45 THEN 1.0 ELSE 0 END), {D}) AS share, CAST(0 AS DOUBLE) AS raw_share, round(max(p), {D}) AS max_p, CAST(0.54 AS DOUBLE) AS raw_max_p, round(max(p) - min(p), {D}) AS \"range\", CAST(0 AS DOUBLE) AS raw_range FROM scored", "scored"))
 def h10_overconfidence(b):
     return metrics.overconfidence(b.scored, "constant", 0.55)
 
@@ -222,7 +222,7 @@ def h13_tripwires(b):
 
 # --- prediction log ------------------------------------------------------------------------------------------
 
-_SLATE = f"SELECT date, game_pk AS game_id, home_team_id AS home_id, away_team_id AS away_id, round(elo, {D}) AS elo_prob_home, 0.54 AS baseline_prob_home"
+_SLATE = f"SELECT date, game_pk AS game_id, home_team_id AS home_id, away_team_id AS away_id, round(elo, {D}) AS elo_prob_home, CAST(0.54 AS DOUBLE) AS baseline_prob_home"
 
 
 @query(sql(f"{_SLATE}, CAST(NULL AS INT) AS home_won FROM slate WHERE date = DATE '1999-05-03'", "scored"))
@@ -260,7 +260,7 @@ def i6_fingerprint(b):
     return before.join(predlog.fingerprint(later, today).select("hash_sum", "hash_xor")).select("n", ((F.col("a") == F.col("hash_sum")) & (F.col("c") == F.col("hash_xor"))).alias("same"))
 
 
-@query(sql("SELECT 2.0 AS hours_old, TRUE AS skip, max(date) AS data_as_of FROM games"))
+@query(sql("SELECT CAST(2 AS DOUBLE) AS hours_old, TRUE AS skip, max(date) AS data_as_of FROM games"))
 def i7_staleness(b):
     at = lambda s: F.lit(s).cast("timestamp")
     return predlog.staleness(b.ratings.withColumn("updated_at", at("2001-08-01 10:00:00")), b.games, at("2001-08-01 12:00:00"))
@@ -276,7 +276,7 @@ def i8_day_view(b):
 _REC = "SELECT season, team_id, CAST(sum(w) AS BIGINT) AS wins, CAST(sum(1 - w) AS BIGINT) AS losses FROM (SELECT season, winner AS team_id, 1 AS w FROM wl UNION ALL SELECT season, loser, 0 FROM wl) GROUP BY 1, 2"
 _H2H = "SELECT season, winner, loser, count(*) AS wins FROM wl GROUP BY 1, 2, 3"
 _DIV = "SELECT season, team_id, CAST(sum(w) AS BIGINT) AS div_wins, CAST(sum(1 - w) AS BIGINT) AS div_losses, CAST(sum(w) AS DOUBLE) / count(*) AS div_pct FROM (SELECT season, winner AS team_id, 1 AS w FROM wl WHERE winner % 6 = loser % 6 UNION ALL SELECT season, loser, 0 FROM wl WHERE winner % 6 = loser % 6) GROUP BY 1, 2"
-_RANK = f"""SELECT *, row_number() OVER (PARTITION BY season, league ORDER BY wins DESC, h2h_wins DESC, div_pct DESC, draw, team_id) AS league_rank FROM (SELECT r.season, r.team_id, r.wins, r.losses, r.team_id % 2 AS league, r.team_id % 6 AS division, coalesce(d.div_pct, 0) AS div_pct, (r.team_id * 7919 + 104729) % 10007 AS draw,
+_RANK = f"""SELECT *, CAST(row_number() OVER (PARTITION BY season, league ORDER BY wins DESC, h2h_wins DESC, div_pct DESC, draw, team_id) AS INT) AS league_rank FROM (SELECT r.season, r.team_id, r.wins, r.losses, r.team_id % 2 AS league, r.team_id % 6 AS division, coalesce(d.div_pct, 0) AS div_pct, (r.team_id * 7919 + 104729) % 10007 AS draw,
   coalesce((SELECT sum(h.wins) FROM ({_H2H}) h JOIN ({_REC}) q ON q.season = h.season AND q.team_id = h.loser WHERE h.season = r.season AND h.winner = r.team_id AND q.wins = r.wins AND q.team_id % 2 = r.team_id % 2), 0)::BIGINT AS h2h_wins FROM ({_REC}) r LEFT JOIN ({_DIV}) d USING (season, team_id))"""
 
 
@@ -305,7 +305,7 @@ def j4_rank_league(b):
     return table(b).select("season", "league", "team_id", "wins", "h2h_wins", "league_rank")
 
 
-@query(sql(f"""SELECT season, league, team_id, seed, CASE WHEN seed = 1 THEN 'z' WHEN leader THEN 'y' ELSE 'x' END AS label FROM (SELECT *, row_number() OVER (PARTITION BY season, league ORDER BY leader DESC, league_rank) AS seed FROM
+@query(sql(f"""SELECT season, league, team_id, seed, CASE WHEN seed = 1 THEN 'z' WHEN leader THEN 'y' ELSE 'x' END AS label FROM (SELECT *, CAST(row_number() OVER (PARTITION BY season, league ORDER BY leader DESC, league_rank) AS INT) AS seed FROM
   (SELECT *, row_number() OVER (PARTITION BY season, league, division ORDER BY league_rank) = 1 AS leader FROM ({_RANK}))) WHERE seed <= 6""", "wl"))
 def j5_playoff_field(b):
     return standings.playoff_field(table(b), "season").select("season", "league", "team_id", "seed", "label")
@@ -476,8 +476,8 @@ def l5_starter_counts(b):
     return audits.starter_counts(b.logs)
 
 
-@query(sql(f"""SELECT season, rank, pitcher_id, {r('era')}, strikeouts, k_rank FROM (SELECT *, row_number() OVER (PARTITION BY season ORDER BY era, pitcher_id) AS rank FROM (SELECT season, pitcher_id, CAST(sum(ip_outs) AS BIGINT) AS outs, sum(home_runs) * 27.0 / sum(ip_outs) AS era, CAST(sum(strikeouts) AS BIGINT) AS strikeouts,
-  row_number() OVER (PARTITION BY season ORDER BY sum(strikeouts) DESC, pitcher_id) AS k_rank FROM rows_ GROUP BY 1, 2) WHERE outs >= 486) WHERE rank <= 5""", "rows"))
+@query(sql(f"""SELECT season, rank, pitcher_id, {r('era')}, strikeouts, k_rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY season ORDER BY era, pitcher_id) AS INT) AS rank FROM (SELECT season, pitcher_id, CAST(sum(ip_outs) AS BIGINT) AS outs, sum(home_runs) * 27.0 / sum(ip_outs) AS era, CAST(sum(strikeouts) AS BIGINT) AS strikeouts,
+  CAST(row_number() OVER (PARTITION BY season ORDER BY sum(strikeouts) DESC, pitcher_id) AS INT) AS k_rank FROM rows_ GROUP BY 1, 2) WHERE outs >= 486) WHERE rank <= 5""", "rows"))
 def l6_leaderboard(b):
     return audits.leaderboard(b.rows)
 
