@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from asof_spark.functions.scalars import expected_home
+from asof_spark.sources.sinks import folder
 
 START, ADVANTAGE, STEP, REGRESSION = 1500.0, 25.0, 4.0, 1 / 3
 
@@ -46,45 +48,76 @@ class Replay:
         return before
 
 
-GAME_COLUMNS = ("game_pk", "season", "home_team_id", "away_team_id", "won", "run_diff", "rank")
+#: Rows of a chain after its step: a game with the ratings before it, or (carried) a team's rating after the season in home_elo.
+CHAIN = "pool long, season int, carried boolean, game_pk long, home_team_id int, home_elo double, away_elo double"
 
 
-def _prepared(games: DataFrame, pool: str, order: list[str], tie_as_loss: bool) -> DataFrame:
+def _prepared(games: DataFrame, pool: str | None, order: tuple[str, ...], tie_as_loss: bool) -> DataFrame:
     won = F.col("home_win").cast("double")
     if tie_as_loss:
         won = F.when(F.col("is_final") & F.col("home_score").isNotNull() & F.col("away_score").isNotNull(), (F.col("home_score") > F.col("away_score")).cast("double"))
-    return games.select(F.col(pool).alias("pool"), "game_pk", "season", "home_team_id", "away_team_id", won.alias("won"), (F.col("home_score") - F.col("away_score")).cast("double").alias("run_diff"), F.struct(*order).alias("__o")).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("pool").orderBy("__o"))
-    ).drop("__o")
+    return games.select(
+        (F.col(pool) if pool else F.lit(0)).cast("long").alias("pool"), F.col("season").cast("int").alias("season"), F.lit(False).alias("carried"), F.col("game_pk").cast("long").alias("game_pk"), "home_team_id", "away_team_id",
+        won.alias("won"), (F.col("home_score") - F.col("away_score")).cast("double").alias("run_diff"), F.lit(0.0).alias("rating"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
+    )
 
 
-def replay_elo(games: DataFrame, pool: str = "season", order: tuple[str, ...] = ("date", "start_hour", "game_pk")) -> DataFrame:
-    """game_pk, pool, home_elo, away_elo, elo_prob_home before each game. Null results are predicted but change nothing.
+def _replay(games: DataFrame, pool: str | None, order: tuple[str, ...], tie_as_loss: bool, use_margin: bool) -> tuple[DataFrame, DataFrame]:
+    """CHAIN rows of all games, and of the ratings after them.
 
-    A pool is one chain in one task, on narrow columns; pools run in parallel. Both teams must be in one pool.
+    Season by season: the small (pool, team, rating) table written after a season starts the chains of the next. Both
+    tables go through the shared folder. A task takes the sorted games of its pools batch by batch, so that it holds
+    the ratings of one pool and one batch, however many games there are.
     """
+    keys = [f"o{i}" for i in range(len(order))]
+
+    def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        names = CHAIN.replace(",", "").split()[::2]
+        after = lambda: [(at, state.season, True, 0, t, r, r) for t, r in state.ratings.items()]
+        for b in batches:
+            out = []
+            for key, season, carried, game, home, away, won, diff, rating in b.itertuples(index=False, name=None):
+                if key != at:
+                    out += after() if state else []
+                    at, state = key, Replay(use_margin=use_margin)
+                if carried:
+                    state.ratings[home], state.season = rating, season
+                else:
+                    out.append((key, season, False, game, home, *state.play(season, home, away, won, diff)))
+            yield pd.DataFrame(out, columns=names)
+        if state:
+            yield pd.DataFrame(after(), columns=names)
+
+    spark, path = games.sparkSession, folder(games.sparkSession, "replay")
+    rows = _prepared(games, pool, order, tie_as_loss)
+    rows.write.partitionBy("season").parquet(f"{path}/games")
+    stored = spark.read.schema(rows.schema).parquet(f"{path}/games").select(*rows.columns)
+    done, after = [], spark.createDataFrame([], CHAIN)
+    for season in sorted(r[0] for r in stored.select("season").distinct().collect()):
+        start = after.select("pool", "season", "carried", "game_pk", "home_team_id", F.lit(0).alias("away_team_id"), F.lit(None).cast("double").alias("won"), F.lit(None).cast("double").alias("run_diff"), F.col("home_elo").alias("rating"))
+        chain = stored.filter(F.col("season") == season).unionByName(start, allowMissingColumns=True).repartition("pool").sortWithinPartitions("pool", F.desc("carried"), *keys)
+        done.append(f"{path}/after-{season}")
+        chain.drop(*keys).mapInPandas(play, CHAIN).write.parquet(done[-1])
+        after = spark.read.schema(CHAIN).parquet(done[-1]).filter("carried")
+    played = spark.read.schema(CHAIN).parquet(*done).filter("not carried") if done else after
+    return played, after
+
+
+def replay_elo(games: DataFrame, pool: str | None = None, order: tuple[str, ...] = ("date", "start_hour", "game_pk")) -> DataFrame:
+    """game_pk, pool, home_elo, away_elo, elo_prob_home before each game. Null results are predicted but change nothing.
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = Replay(), []
-        for r in rows.sort_values("rank").itertuples(index=False):
-            out.append((r.game_pk, key[0], *state.play(r.season, r.home_team_id, r.away_team_id, r.won, r.run_diff)))
-        return pd.DataFrame(out, columns=["game_pk", "pool", "home_elo", "away_elo"])
-
-    played = _prepared(games, pool, list(order), False).groupBy("pool").applyInPandas(run, "game_pk long, pool long, home_elo double, away_elo double")
+    Ratings are carried over all seasons, with the regression at each boundary. pool names teams that never meet those of
+    other pools; without it all games are one chain. Pools run in parallel, the games of one pool one after another.
+    """
+    played = _replay(games, pool, order, False, False)[0].select("game_pk", "pool", "home_elo", "away_elo")
     return played.withColumn("elo_prob_home", expected_home(F.col("home_elo"), F.col("away_elo")))
 
 
-def build_ratings(games: DataFrame, pool: str = "season", use_margin: bool = False, order: tuple[str, ...] = ("start_hour", "game_number", "game_pk"), day: str | None = "date") -> DataFrame:
-    """pool, team_id, rating, games after all games; a tie counts as a loss of the home side here."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        state = Replay(use_margin=use_margin)
-        for r in rows.sort_values("rank").itertuples(index=False):
-            state.play(r.season, r.home_team_id, r.away_team_id, r.won, r.run_diff)
-        return pd.DataFrame({"pool": key[0], "team_id": list(state.ratings), "rating": list(state.ratings.values())})
-
-    rows = _prepared(games, pool, [*([day] if day else []), *order], True)
-    return rows.groupBy("pool").applyInPandas(run, "pool long, team_id int, rating double")
+def build_ratings(games: DataFrame, pool: str | None = None, use_margin: bool = False, order: tuple[str, ...] = ("start_hour", "game_number", "game_pk"), day: str | None = "date") -> DataFrame:
+    """pool, team_id, rating after all games of all seasons; a tie counts as a loss of the home side here."""
+    after = _replay(games, pool, (*([day] if day else []), *order), True, use_margin)[1]
+    return after.select("pool", F.col("home_team_id").alias("team_id"), F.col("home_elo").alias("rating"))
 
 
 def score_snapshot(games: DataFrame, ratings: DataFrame) -> DataFrame:

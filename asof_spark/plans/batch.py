@@ -428,9 +428,14 @@ def e4_build_ratings(b):
     return ratings.build_ratings(b.played)
 
 
+def replayed_games(b):
+    """All finals that the replay needs for its ratings: postseason and every season, unlike b.played."""
+    return readers.load_games(b.games, include_postseason=True, exclude_seasons=(), matchups_only=False)
+
+
 @query()
 def e5_replay_elo(b):
-    return ratings.replay_elo(b.played)
+    return ratings.replay_elo(replayed_games(b))
 
 
 @query()

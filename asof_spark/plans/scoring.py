@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asof_spark.functions import scalars
 from asof_spark.operators import asof, audits, metrics, models, predlog, ratings, splits, standings
 from asof_spark.sources import sinks
+from asof_spark.sources.sinks import folder
 from asof_spark.streaming import refresh
 
 from .base import DIGITS, Base, r, sql
-from .batch import _TEST, _TRAIN, _TUNE, _VAL, DAY, SQL, query
+from .batch import _TEST, _TRAIN, _TUNE, _VAL, DAY, SQL, query, replayed_games
 
 D = DIGITS
 
@@ -28,16 +26,6 @@ def split_of(b: Base, seasons) -> DataFrame:
     return splits.load_split(b.stored, seasons)
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; on a local master without one, a temporary folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # --- sinks ---------------------------------------------------------------------------------------------------
 
 
@@ -602,7 +590,7 @@ def m3_settle_late(b):
 
 @query()
 def m4_online_ratings(b):
-    rows = b.played.select(F.col("season").cast("long").alias("pool"), "game_pk", "season", F.col("date").cast("string").alias("date"), "start_hour", "home_team_id", "away_team_id", "home_win")
+    rows = replayed_games(b).select(F.lit(0).cast("long").alias("pool"), "game_pk", "season", F.col("date").cast("string").alias("date"), "start_hour", "home_team_id", "away_team_id", "home_win")
     path, schema = landed(b, rows, "rated", 1)
     return drained(b, refresh.online_ratings(refresh.table_stream(b.spark, path, schema)), "online")
 
