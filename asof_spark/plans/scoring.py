@@ -48,20 +48,17 @@ def g1_logistic(b):
 
 @query()
 def g2_tune_c(b):
-    return models.tune_c(split_of(b, _TUNE), split_of(b, _VAL), (0.01, 0.1, 1.0, 10.0))
+    return models.tune_c(split_of(b, _TUNE), split_of(b, _VAL))
 
 
 @query()
 def g3_sign_audit(b):
-    return models.sign_audit(split_of(b, _TRAIN).cache(), {"home_form_15": 1, "away_form_15": -1, "home_run_diff_pg": 1, "away_run_diff_pg": -1})
-
-
-SMALL_GRID = ({"stepSize": 0.1, "maxIter": 5, "maxDepth": 3, "minInstancesPerNode": 20}, {"stepSize": 0.1, "maxIter": 5, "maxDepth": 2, "minInstancesPerNode": 1})
+    return models.sign_audit(split_of(b, _TRAIN).cache(), models.ASSERTED_SIGNS)
 
 
 @query()
 def g4_search_boosted(b):
-    return models.search_boosted(split_of(b, _TUNE), split_of(b, _VAL), SMALL_GRID)
+    return models.search_boosted(split_of(b, _TUNE), split_of(b, _VAL))
 
 
 _SEARCH = "SELECT CAST(team_id AS INT) AS config, CAST(CASE team_id % 3 WHEN 0 THEN 0.03 WHEN 1 THEN 0.1 ELSE 0.2 END AS DOUBLE) AS step_size, CAST(50 * (1 + team_id % 4) AS INT) AS max_iter, CAST(3 + team_id % 3 AS INT) AS max_depth, CAST(1 + team_id % 2 * 19 AS INT) AS min_instances, round(0.68 + (rating - 1455) / 20000, 9) AS log_loss FROM ratings"
@@ -76,8 +73,9 @@ def g5_select_config(b):
 
 @query()
 def g6_winner_gate(b):
-    tune, val = split_of(b, _TUNE).cache(), split_of(b, _VAL).cache()
-    return models.winner_gate(b.spark, models.metrics_of(models.fit_logistic(tune), val)["log_loss"], models.metrics_of(models.fit_boosted(tune, **SMALL_GRID[0]), val)["log_loss"])
+    tune, val = split_of(b, _TUNE), split_of(b, _VAL)
+    logistic = models.tune_c(tune, val).filter("chosen").first()["log_loss"]
+    return models.winner_gate(b.spark, logistic, models.select_config(models.search_boosted(tune, val)).first()["log_loss"])
 
 
 @query()
@@ -111,7 +109,7 @@ def g10_metric_deltas(b):
 
 @query()
 def g11_ablations(b):
-    return models.ablations(split_of(b, _TRAIN), split_of(b, _TEST), ("home_form_15", "away_form_15", "home_sp_fip"))
+    return models.ablations(split_of(b, _TRAIN), split_of(b, _TEST))
 
 
 @query()
