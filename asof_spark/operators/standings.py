@@ -19,14 +19,18 @@ def winner_loser(games: DataFrame) -> DataFrame:
     return games.filter("is_final").select(*[c for c in ("sim", "season", "game_pk") if c in games.columns], pick("home_team_id", "away_team_id").alias("winner"), pick("away_team_id", "home_team_id").alias("loser"))
 
 
+def _n(results: DataFrame) -> Column:
+    return F.col("n") if "n" in results.columns else F.lit(1)
+
+
 def records(results: DataFrame, *by: str) -> DataFrame:
-    """team_id, wins, losses. results: winner, loser."""
+    """team_id, wins, losses. results: winner, loser, and n where a row stands for n games."""
     sides = F.explode(F.array(F.struct(F.col("winner").alias("team_id"), F.lit(1).alias("won")), F.struct(F.col("loser").alias("team_id"), F.lit(0).alias("won"))))
-    return results.select(*by, sides.alias("s")).select(*by, "s.*").groupBy(*by, "team_id").agg(F.sum("won").alias("wins"), F.sum(1 - F.col("won")).alias("losses"))
+    return results.select(*by, _n(results).alias("n"), sides.alias("s")).select(*by, "n", "s.*").groupBy(*by, "team_id").agg(F.sum(F.col("won") * F.col("n")).alias("wins"), F.sum((1 - F.col("won")) * F.col("n")).alias("losses"))
 
 
 def head_to_head(results: DataFrame, *by: str) -> DataFrame:
-    return results.groupBy(*by, "winner", "loser").agg(F.count(F.lit(1)).alias("wins"))
+    return results.groupBy(*by, "winner", "loser").agg(F.sum(_n(results)).alias("wins"))
 
 
 def division_records(results: DataFrame, teams: DataFrame, *by: str) -> DataFrame:
@@ -36,16 +40,16 @@ def division_records(results: DataFrame, teams: DataFrame, *by: str) -> DataFram
     return records(inside, *by).select(*by, "team_id", F.col("wins").alias("div_wins"), F.col("losses").alias("div_losses"), (F.col("wins") / (F.col("wins") + F.col("losses"))).alias("div_pct"))
 
 
-def rank_league(rec: DataFrame, h2h: DataFrame, div: DataFrame, teams: DataFrame, *by: str, seed: int = 1) -> DataFrame:
+def rank_league(rec: DataFrame, h2h: DataFrame, div: DataFrame, teams: DataFrame, *by: str, seed: int = 1, draw: Column | None = None) -> DataFrame:
     """Total order inside each league: wins, wins against those with equal wins, division share, a seeded draw.
 
-    Only teams with equal wins meet for the second step.
+    Only teams with equal wins meet for the second step. draw: the number drawn by a team, if not one per seed.
     """
     rows = rec.join(teams.select("team_id", "league", "division"), "team_id").join(div.select(*by, "team_id", "div_pct"), [*by, "team_id"], "left")
     me = rows.select(*by, "league", "wins", "team_id")
     tied = me.join(me.withColumnRenamed("team_id", "other"), [*by, "league", "wins"]).filter("team_id <> other")
     inside = tied.join(h2h.select(*by, F.col("winner").alias("team_id"), F.col("loser").alias("other"), F.col("wins").alias("n")), [*by, "team_id", "other"]).groupBy(*by, "team_id").agg(F.sum("n").alias("h2h_wins"))
-    rows = rows.join(inside, [*by, "team_id"], "left").withColumns({"h2h_wins": F.coalesce("h2h_wins", F.lit(0)), "div_pct": F.coalesce("div_pct", F.lit(0.0)), "draw": F.pmod(F.col("team_id") * 7919 + seed * 104_729, F.lit(10_007))})
+    rows = rows.join(inside, [*by, "team_id"], "left").withColumns({"h2h_wins": F.coalesce("h2h_wins", F.lit(0)), "div_pct": F.coalesce("div_pct", F.lit(0.0)), "draw": draw if draw is not None else F.pmod(F.col("team_id") * 7919 + seed * 104_729, F.lit(10_007))})
     w = Window.partitionBy(*by, "league").orderBy(F.desc("wins"), F.desc("h2h_wins"), F.desc("div_pct"), "draw", "team_id")
     return rows.withColumn("league_rank", F.row_number().over(w))
 

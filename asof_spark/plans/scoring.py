@@ -297,7 +297,7 @@ def j5_playoff_field(b):
     return standings.playoff_field(table(b), "season").select("season", "league", "team_id", "seed", "label")
 
 
-SIMS = 40
+SIMS = 10_000
 _U = "((game_pk % 1000003) * 7919 + sim * 104729 + 12345) % 1000003 / 1000003.0"
 
 
@@ -306,9 +306,19 @@ def outcomes(b: Base) -> DataFrame:
     return standings.simulate(schedule, SIMS, F.expr(_U))
 
 
+def pairs(b: Base) -> DataFrame:
+    """sim, winner, loser, n: simulated games added up by pair, written once per query."""
+    if not hasattr(b, "simulated"):
+        path = folder(b.spark, "simulated")
+        rows = outcomes(b).groupBy("sim", "winner", "loser").agg(F.count(F.lit(1)).alias("n"))
+        rows.write.parquet(path)
+        b.simulated = b.spark.read.schema(rows.schema).parquet(path)
+    return b.simulated
+
+
 def totals(b: Base) -> DataFrame:
     rec = standings.records(standings.winner_loser(b.played.filter("season = 2000")))
-    return standings.sim_totals(rec, outcomes(b))
+    return standings.sim_totals(rec, pairs(b))
 
 
 _SIM = f"(SELECT sim, game_pk, CASE WHEN {_U} < elo THEN home_team_id ELSE away_team_id END AS winner, CASE WHEN {_U} < elo THEN away_team_id ELSE home_team_id END AS loser FROM slate CROSS JOIN (SELECT unnest(range({SIMS})) AS sim) WHERE season = 2001)"
@@ -329,10 +339,10 @@ _FIELD = f"""(SELECT *, row_number() OVER (PARTITION BY sim, league ORDER BY lea
 
 
 def sim_field(b: Base) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    rows = totals(b).withColumns({"league": F.col("team_id") % 2, "division": F.col("team_id") % 6})
-    ranked = rows.withColumn("league_rank", F.row_number().over(Window.partitionBy("sim", "league").orderBy(F.desc("wins"), "team_id")))
+    """Fields by the whole tie-break inside each simulation: played and simulated games count, the draw is made anew."""
+    past = standings.winner_loser(b.played.filter("season = 2000")).groupBy("winner", "loser").agg(F.count(F.lit(1)).alias("n"))
+    both = pairs(b).unionByName(past.select(F.explode(F.sequence(F.lit(0), F.lit(SIMS - 1))).alias("sim"), "winner", "loser", "n"))
+    ranked = standings.rank_league(totals(b), standings.head_to_head(both, "sim"), standings.division_records(both, b.teams, "sim"), b.teams, "sim", draw=F.xxhash64(F.lit(1), "sim", "team_id"))
     return standings.playoff_field(ranked, "sim")
 
 
