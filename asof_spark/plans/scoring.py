@@ -573,6 +573,21 @@ def landed(b: Base, df: DataFrame, name: str, files: int = 2) -> tuple[str, str]
     return path, df.schema
 
 
+def seasons_of(games: DataFrame) -> list[int]:
+    return sorted(r[0] for r in games.select("season").distinct().collect())
+
+
+def arriving(b: Base, parts: list[DataFrame], make, name: str) -> DataFrame:
+    """What a stream writes while parts land one after the other. Several tasks write a part; its files are one
+    micro-batch, and the stream's state goes on from its checkpoint."""
+    path, out = folder(b.spark, f"{name}-landed"), folder(b.spark, name)
+    for part in parts:
+        part.repartition("game_pk").write.mode("append").parquet(path)
+        stream = make(refresh.table_stream(b.spark, path, part.schema, 1_000_000))
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start(out).awaitTermination()
+    return b.spark.read.schema(stream.schema).parquet(out)
+
+
 @query(sql("SELECT game_pk, home_win FROM games WHERE home_win IS NOT NULL"))
 def m1_append_finals(b):
     path, schema = landed(b, b.games.select("game_pk", "season", "is_final", "home_win"), "schedule", 3)
@@ -584,8 +599,11 @@ def m1_append_finals(b):
 @query(sql("SELECT game_pk, home_score FROM games WHERE is_final"))
 def m2_collapse_snapshots(b):
     rows = b.games.select("game_pk", "is_final", "home_score", F.col("date").cast("timestamp").alias("event_time"))
-    path, schema = landed(b, rows.unionByName(rows).unionByName(rows.withColumn("is_final", F.lit(False))), "snapshots", 1)
-    return drained(b, refresh.collapse_snapshots(refresh.table_stream(b.spark, path, schema)), "collapsed").select("game_pk", "home_score")
+    unplayed = rows.withColumn("is_final", F.lit(False))
+    of = lambda df, season: df.filter(F.year("event_time") == season)
+    seasons = seasons_of(b.games)
+    parts = [of(unplayed, s + 1).unionByName(of(rows, s)).unionByName(of(rows, s - 1)) for s in ([seasons[0] - 1] if seasons else []) + seasons + ([seasons[-1] + 1] if seasons else [])]
+    return arriving(b, parts or [rows], refresh.collapse_snapshots, "collapsed").select("game_pk", "home_score")
 
 
 @query()
@@ -599,8 +617,7 @@ def m3_settle_late(b):
 @query()
 def m4_online_ratings(b):
     rows = replayed_games(b).select(F.lit(0).cast("long").alias("pool"), "game_pk", "season", F.col("date").cast("string").alias("date"), "start_hour", "home_team_id", "away_team_id", "home_win")
-    path, schema = landed(b, rows, "rated", 1)
-    return drained(b, refresh.online_ratings(refresh.table_stream(b.spark, path, schema)), "online")
+    return arriving(b, [rows.filter(F.col("season") == s) for s in seasons_of(rows)] or [rows], refresh.online_ratings, "online")
 
 
 __all__ = ["SQL"]
