@@ -6,8 +6,8 @@ from pyspark.sql import SparkSession
 def spark(tmp_path_factory):
     s = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))) if not s.conf.get("spark.checkpoint.dir", None) else None
     yield s
