@@ -9,16 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Most bytes of an Arrow batch that is sent to a Python worker, so that its memory does not follow the length of texts.
+BATCH_BYTES = 4 << 20
+
+
+#: Temporary folders of local applications that set none.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a temporary one on a local master where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-shared-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _OWN:
+        _OWN[application] = tempfile.mkdtemp(prefix="spark-shared-")
+    return _OWN[application]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session by BATCH_BYTES; a smaller setting of the caller stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).lower().rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -73,17 +73,29 @@ def test_encoder_on_odd_space():
     assert [np.frombuffer(b, "<u4").tolist() for b in packing.encoder(path)(odd)] == [tok.encode(t, add_special_tokens=False).ids for t in odd]
 
 
-def test_suffix_dedup(docs, empty, texts):
-    rows = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs).collect()}
-    seen = set()
-    for i, t in enumerate(texts):
+def kept_bytes(rows):
+    """Brute force: what is left of every (order, text), in order."""
+    seen, out = set(), []
+    for t in rows:
         data = (t or "").encode()
         gone = np.zeros(len(data), bool)
         for p in range(len(data) - 99):
             w = data[p : p + 100]
             gone[p : p + 100] |= w in seen
             seen.add(w)
-        kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+        out.append((data, gone, np.frombuffer(data, np.uint8)[~gone].tobytes()))
+    return out
+
+
+@pytest.mark.parametrize("every_gram", [False, True], ids=["filtered", "all hashes collide"])
+def test_suffix_dedup(docs, empty, texts, monkeypatch, every_gram):
+    """With a filter that holds every gram, as if all hashes were equal, the result stays: the merge alone decides."""
+    if every_gram:
+        monkeypatch.setattr(suffix_dedup, "gram_filter", lambda shared: b"\xff" * (1 << 13))
+        monkeypatch.setattr(suffix_dedup, "RANGE", 40)  # many ranges, dealt out by gram
+        monkeypatch.setattr(suffix_dedup, "MAX_RANGES", 3)
+    rows = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    for i, (data, gone, kept) in enumerate(kept_bytes(texts)):
         r = rows[i]
         assert (r.n_bytes, r.n_removed, bytes(r.kept), r.kept_sha256) == (len(data), int(gone.sum()), kept, hashlib.sha256(kept).hexdigest())
         assert r.n_spans == int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
@@ -91,9 +103,25 @@ def test_suffix_dedup(docs, empty, texts):
 
 
 def test_suffix_dedup_repeated_row_and_null_id(spark, texts):
-    df = spark.createDataFrame([(1, texts[0]), (1, texts[0]), (None, texts[0]), (2, texts[1])], "doc_id long, text string")
-    rows = {(r.doc_id, r.n_removed > 0) for r in suffix_dedup.remove_repeats(df).collect()}
-    assert rows == {(1, False), (None, True), (2, False)}
+    alone = prose(random.Random(77), 40)
+    df = spark.createDataFrame([(1, texts[0]), (1, texts[0]), (None, texts[0]), (2, texts[1]), (2, alone), (2, texts[0])], "doc_id long, text string")
+    rows = sorted((r.doc_id or 9, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(df).collect())
+    size = [len(t.encode()) for t in (texts[0], texts[1], alone)]
+    assert rows == sorted([(1, size[0], 0), (1, size[0], 0), (9, size[0], size[0]), (2, size[1], 0), (2, size[2], 0), (2, size[0], size[0])])
+
+
+def test_suffix_dedup_on_variants(spark):
+    """Edited copies, runs of one letter and short periods: windows that only parts of records share."""
+    rng = random.Random(8)
+    base, rows = prose(rng, 90), []
+    for i in range(40):
+        w = base.split()
+        for _ in range(3):
+            w[rng.randrange(len(w))] = rng.choice(WORDS) * rng.randrange(1, 3)
+        rows.append((i, " ".join(w[rng.randrange(20) :])))
+    rows += [(40, "a" * 1000), (41, "ab" * 300), (42, "b" + "ab" * 200 + base), (43, None), (44, "abc" * 90)]
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert [got[i] for i, _ in rows] == [k for _, _, k in kept_bytes([t for _, t in rows])]
 
 
 def test_loser_tree():
