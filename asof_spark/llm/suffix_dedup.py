@@ -38,7 +38,7 @@ PIECE_BYTES = 1 << 18
 #: Strings of a sorted run, of a segment at most, and (about) of a range that is merged at once.
 RUN, SEGMENT, RANGE = 60_000, 400, 100_000
 #: Ranges by splitters at most; beyond them a range is dealt out by the gram, so the driver's sample stays bounded.
-MAX_RANGES, SPLITTER_SOURCES, SPLITTER_STRINGS = 2_048, 2_000, 16
+MAX_RANGES, SPLITTER_SOURCES = 2_048, 2_000
 #: Bits of the filter for each gram that occurs again, and the most bits (32 MB).
 GRAM_BITS, MOST_BITS, SLICES = 16, 28, 64
 #: Packed stretches of a table are broadcast to the texts up to so many bytes and rows; more meet them by shuffle.
@@ -86,7 +86,8 @@ class Anchors:
         anchor = (least[at] & place).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
         count = np.diff(np.append(new, len(at)))
-        return grams[anchor[new]], text[new], anchor[new], at[new], count
+        # the least of many hashes is small, so it is mixed once more before it is dealt out and looked up
+        return _mixed(grams[anchor[new]]), text[new], anchor[new], at[new], count
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -472,12 +473,13 @@ def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
             yield strings, np.stack([tags[:, 0], tags[:, 1], tags[:, 2] + records[owner, -2] - before, np.ones(len(owner), np.int64)], axis=1)
 
 
-def _sampler(strings_of: Callable):
+def _sampler(strings_of: Callable, step: int):
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                found = [s for strings, _ in strings_of(iter([b.slice(i, 1)])) for s in strings[np.linspace(0, len(strings) - 1, SPLITTER_STRINGS).astype(int)]]
-                yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f in found], pa.binary())], ["s"])
+        first = 0
+        for strings, _ in strings_of(batches):
+            some = strings[first::step]
+            first = (first - len(strings)) % step
+            yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in some], pa.binary())], ["s"])
 
     return sample
 
@@ -492,11 +494,11 @@ def _builder(strings_of: Callable, width: int, splitters: list[bytes], deals: in
     return build
 
 
-def _merged(rows: DataFrame, key: Column, sources: int, total: int, strings_of: Callable, width: int, merge: Callable, kind: str) -> DataFrame:
-    """Merge sort of the strings of rows; total: about how many they are. The sample of splitters is bounded."""
+def _merged(rows: DataFrame, key: Column, sources: int, total: int, step: int, strings_of: Callable, width: int, merge: Callable, kind: str) -> DataFrame:
+    """Merge sort of the strings of rows; total: about how many they are. Splitters are chosen from every step-th string of about SPLITTER_SOURCES rows."""
     ranges = max(1, -(-total // RANGE))
     some = rows.filter(F.pmod(F.xxhash64(key), F.lit(max(1, sources // SPLITTER_SOURCES))) == 0)
-    sample = sorted(bytes(r[0]) for r in some.mapInArrow(_sampler(strings_of), "s binary").collect()) if ranges > 1 else []
+    sample = sorted(bytes(r[0]) for r in some.mapInArrow(_sampler(strings_of, step), "s binary").collect()) if ranges > 1 else []
     wanted = min(ranges, MAX_RANGES)
     splitters = sorted({sample[len(sample) * i // wanted] for i in range(1, wanted)}) if sample else []
     runs = rows.mapInArrow(_builder(strings_of, width, splitters, -(-ranges // wanted)), SEGMENTS)
@@ -520,11 +522,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     total = shared.agg(F.sum("n")).first()[0] or 0
     bits = spark.sparkContext.broadcast(gram_filter(shared))
     kind = f"{REPEATS}, {OPEN}"
-    merged = _merged(texts, F.col("version"), texts.count(), total, lambda b: _shared_records(b, bits), RECORD, _merge_records, kind)
+    merged = _merged(texts, F.col("version"), texts.count(), total, 4, lambda b: _shared_records(b, bits), RECORD, _merge_records, kind)
     merged = common.cut(merged, "records")
     segments = merged.filter("open is not null").select("strings", "lcp", "tags", "least", "open")
     holders, windows = segments.agg(F.count(F.lit(1)), F.sum("open")).first()
-    again = _merged(segments.drop("open"), F.col("tags"), holders, windows or 0, _open_windows, WINDOW, _merge_windows, REPEATS)
+    again = _merged(segments.drop("open"), F.col("tags"), holders, windows or 0, 64, _open_windows, WINDOW, _merge_windows, REPEATS)
     return merged.filter("open is null").select("doc", "version", "low", "windows").unionByName(again)
 
 
