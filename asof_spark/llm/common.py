@@ -56,6 +56,26 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def even_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", least: int = 256) -> DataFrame:
+    """left.join(right, key, how) by shuffle, with rows of a hot key of left dealt out over many tasks.
+
+    A key is hot over 1 / 10,000 of the rows of left (and over `least`), so at most 10,000 keys are; their rows of
+    left get salts and those of right are repeated once for each salt. how: inner or left. left is read three times and
+    should be cheap to read, as after cut().
+    """
+    counts = cut(left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")), "key-counts")
+    rows = counts.agg(F.sum("__n")).first()[0] or 0
+    limit = max(least, rows // 10_000)
+    hot = F.broadcast(counts.filter(F.col("__n") > limit).select(key, F.ceil(F.col("__n") / limit).cast("int").alias("__k")))
+    salts = F.coalesce("__k", F.lit(1))
+    # a null key meets nothing, so its rows can lie anywhere
+    own = F.when(F.col(f"`{key}`").isNull(), F.lit(1 << 20)).otherwise(salts)
+    salted = left.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])).join(hot, key, "left")
+    salted = salted.withColumn("__salt", F.pmod("__row", own).cast("int")).drop("__k", "__row")
+    repeated = right.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__k")
+    return salted.hint("merge").join(repeated.hint("merge"), [key, "__salt"], how).drop("__salt")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

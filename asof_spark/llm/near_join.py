@@ -1,19 +1,23 @@
 """n-gram Jaccard join: MinHash LSH forest for candidates, exact verification, classes of near duplicates.
 
-Every text is a set of hashed word shingles. Texts with equal sets are one entry. The forest has TREES sorted
-tries of signatures; matched prefixes are shortened until a pair at the threshold is found with the target
-recall. Entries that meet under some prefix are verified in blocks: each entry lies in one block, blocks hold a
-bounded number of shingles, and each pair of blocks that share a prefix is compared once, so a large group makes
-few rows and loses no pair.
+Every text is a set of hashed word shingles. Texts with equal sets are one entry. Each of TREES tries holds the
+signatures of all entries in sorted order; common prefixes with the neighbours tell how deep an entry meets others.
+All prefixes start at full length and are shortened, entry by entry, until a partner at the threshold would have been
+met with the target recall: first where the shorter prefix meets nobody, then where it meets the fewest. So crowded
+branches stay at long prefixes when other trees make up for them. Entries that meet under a prefix are verified in
+blocks: each entry lies in one block, blocks hold a bounded number of shingles of about one length, and each pair
+of blocks that share a prefix is compared once, so a large group makes few rows and loses no pair.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,20 +25,20 @@ from pyspark.sql import functions as F
 from . import common
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEEPEST, TARGET_RECALL = 20, 12, 0.9999
+TREES, DEEPEST, TARGET_RECALL = 20, 8, 0.9999
 #: Shingles and entries of a block, about; one long text can be over it by itself.
 BLOCK_SHINGLES, BLOCK_ENTRIES = 50_000, 200
-#: Entries (about 60 bytes each) that are broadcast to the second reading of the texts; more go by shuffle.
-BROADCAST_ROWS = 500_000
-CACHED_WORDS = 500_000
+#: Rows of a few keys (at most 64 bytes each, so 13 MB) that are broadcast; more go by shuffle.
+BROADCAST_ROWS = 200_000
+CACHED_WORDS = 50_000
 
 
-def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, recall: float = TARGET_RECALL, deepest: int = DEEPEST) -> int:
-    """The longest prefix at which a pair of similarity `threshold` meets in some tree with at least the target recall."""
-    length = deepest
-    while length > 1 and 1 - (1 - threshold**length) ** trees < recall:
-        length -= 1
-    return length
+def least_depth(threshold: float = THRESHOLD, trees: int = TREES, recall: float = TARGET_RECALL, deepest: int = DEEPEST) -> int:
+    """One less than the longest prefix that reaches the recall when all trees use it: the room in which depths can differ."""
+    depth = deepest
+    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+        depth -= 1
+    return max(1, depth - 1)
 
 
 class WordHashes(dict):
@@ -66,45 +70,127 @@ def shingles(text: str, hashes: dict, words: int = WORDS) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-def _forest(length: int, trees: int) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(length: int, trees: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(97)
     return rng.integers(0, 1 << 63, trees * length, dtype=np.uint64), rng.integers(0, 1 << 63, trees * length, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _prefixes(sets: np.ndarray, xor: np.ndarray, odd: np.ndarray, trees: int) -> np.ndarray:
-    """A key for the prefix of the signature in every tree."""
+def signature(sets: np.ndarray, xor: np.ndarray, odd: np.ndarray) -> bytes:
+    """16 bits of the least hash of the set under every function, big-endian, tree after tree."""
     low = np.full(len(xor), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(sets), 4096):
-        low = np.minimum(low, ((sets[at : at + 4096, None] ^ xor) * odd).min(0))
-    key = np.arange(trees, dtype=np.uint64)
-    for column in low.reshape(trees, -1).T:
-        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + column)
-    return key.view(np.int64)
+    for at in range(0, len(sets), 1024):
+        low = np.minimum(low, ((sets[at : at + 1024, None] ^ xor) * odd).min(0))
+    return (_mixed(low) >> np.uint64(48)).astype(">u2").tobytes()
 
 
 def _signer(words: int, length: int, trees: int):
-    xor, odd = _forest(length, trees)
+    xor, odd = _hashes(length, trees)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for b in batches:
             rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+            for text in b["text"]:
                 s = shingles(text, hashes, words)
-                key = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-                rows.append((doc_id, key, len(s), _prefixes(s, xor, odd, trees) if len(s) else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "set", "n", "prefixes"]).astype({"doc_id": "Int64"})
+                rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), signature(s, xor, odd)) if len(s) else (None, 0, None))
+            yield pd.concat([b[["doc_id", "own"]].astype({"doc_id": "Int64"}), pd.DataFrame(rows, columns=["set", "n", "signature"], index=b.index)], axis=1)
 
     return sign
 
 
+def _climber(depth: int, floor: int):
+    """tree, prefix, set in sorted order -> the rows that share `floor` values or more with a neighbour: met (how many values) and crowd (log2 of the rows that share 1.. values, as far as a batch shows).
+
+    The neighbours beyond the edges of a partition are not known and count as equal, which only keeps a row more.
+    """
+
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, depth
+
+        def kept(rows: pa.Table, last: bool) -> tuple[pa.RecordBatch | None, pa.Table, int]:
+            nonlocal before
+            tree = rows.column("tree").to_numpy()
+            values = np.frombuffer(b"".join(rows.column("prefix").to_pylist()), ">u2").reshape(-1, depth)
+            equal = (values[1:] == values[:-1]) & (tree[1:] == tree[:-1])[:, None]
+            common_values = np.where(equal.all(1), depth, equal.argmin(1))
+            up, down = np.concatenate([[before], common_values]), np.concatenate([common_values, [depth]])
+            crowd = np.empty((len(tree), depth), dtype=np.uint8)
+            for d in range(1, depth + 1):
+                run = np.cumsum(np.concatenate([[0], common_values < d]))
+                crowd[:, d - 1] = np.log2(np.bincount(run))[run]
+            n = len(tree) - (not last)
+            before = int(up[-1])
+            some = np.flatnonzero(np.maximum(up, down)[:n] >= floor)
+            met = np.maximum(up, down)[some].astype(np.int8)
+            found = rows.take(pa.array(some)).append_column("met", pa.array(met)).append_column("crowd", pa.array([c.tobytes() for c in crowd[some]], pa.binary()))
+            return found.combine_chunks().to_batches()[0] if len(some) else None, rows.slice(n)
+
+        for b in batches:
+            rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
+            found, held = kept(rows, False)
+            if found is not None:
+                yield found
+        if held is not None:
+            found, _ = kept(held, True)
+            if found is not None:
+                yield found
+
+    return climb
+
+
+def depths(met: np.ndarray, crowd: np.ndarray, threshold: float, recall: float, floor: int, deepest: int) -> np.ndarray:
+    """Prefix lengths of every entry (row) in every tree (column): shortened one by one until 1 - prod(1 - threshold ** depth) reaches the recall.
+
+    met: values shared with the nearest neighbour, under floor where there is none. crowd[..., d - 1]: how many
+    share d values. A prefix that is longer than met meets nobody, so it is shortened down to there at once.
+    """
+    depth = np.clip(met + 1, floor, deepest)
+    miss = lambda d: np.log1p(-(float(threshold) ** d))
+    want = math.log(1 - recall) if recall < 1 else -math.inf
+    rows = np.arange(len(depth))
+    while True:
+        needy = (miss(depth).sum(1) > want) & (depth > floor).any(1)
+        if not needy.any():
+            return depth
+        shorter = np.maximum(depth - 1, 1)
+        cost = np.where(depth > floor, np.take_along_axis(crowd, shorter[:, :, None] - 1, 2)[:, :, 0] * 16.0 - depth, np.inf)
+        tree = cost.argmin(1)
+        depth[rows[needy], tree[needy]] -= 1
+
+
+def _chooser(trees: int, deepest: int, floor: int, threshold: float, recall: float):
+    """set and its rows of the tries -> set, keys of all its prefixes that others share, and which of them it asks for."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("rows")
+            owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            rows = lists.flatten()
+            tree, met_rows = rows.field("tree").to_numpy(), rows.field("met").to_numpy().astype(np.int64)
+            met = np.zeros((b.num_rows, trees), dtype=np.int64)
+            crowd = np.zeros((b.num_rows, trees, deepest), dtype=np.int64)
+            met[owner, tree] = met_rows
+            crowd[owner, tree] = np.frombuffer(b"".join(rows.field("crowd").to_pylist()), np.uint8).reshape(-1, deepest)
+            asked = depths(met, crowd, threshold, recall, floor, deepest)[owner, tree]
+            values = np.frombuffer(b"".join(rows.field("prefix").to_pylist()), ">u2").reshape(-1, deepest).astype(np.uint64)
+            key, columns = tree.astype(np.uint64), []
+            for d in range(1, deepest + 1):
+                key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + values[:, d - 1] + np.uint64(1))
+                some = np.flatnonzero((d >= floor) & (met_rows >= d))
+                columns.append((owner[some], key[some].view(np.int64), asked[some] == d))
+            at, keys, asks = (np.concatenate(c) for c in zip(*columns, strict=True))
+            yield pa.RecordBatch.from_arrays([b.column("set").take(pa.array(at)), pa.array(keys), pa.array(asks)], ["set", "prefix", "asked"])
+
+    return choose
+
+
 def _gatherer(words: int):
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for b in batches:
             out = b.assign(s=[shingles(t, hashes, words).tobytes() for t in b["text"]])
             same = [hashlib.blake2b(s, digest_size=16).digest() == key for s, key in zip(out["s"], out["set"], strict=True)]
-            yield out.loc[same, ["set", "home", "chunk", "rows", "s"]]  # an id can be on other texts too
+            yield out.loc[same, ["set", "block", "rows", "s"]]
 
     return gather
 
@@ -163,67 +249,105 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label for every node of the undirected edges (a, b): the smallest node of its connected part.
 
     Each round takes the smallest label among the neighbours and then the label of that label, so chains halve;
-    tables are cut between rounds. Labels are combined before each shuffle.
+    tables are cut between rounds. Labels are combined before each shuffle, and the edges of a node with many
+    (the centre of a star) and the nodes of a large part are dealt out over tasks.
     """
     both = common.cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = common.cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:
-        near = both.join(labels, both["a"] == labels["node"]).groupBy("b").agg(F.min("label").alias("near"))
+        near = common.even_join(both, labels.withColumnRenamed("node", "a"), "a").groupBy("b").agg(F.min("label").alias("near"))
         joined = labels.join(near, labels["node"] == near["b"], "left").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
         joined = common.cut(joined, "labels")
         if joined.filter("label < before").isEmpty():
             return joined.select("node", "label")
         up = joined.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        labels = common.cut(joined.select("node", "label").join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+        labels = common.cut(common.even_join(joined.select("node", "label"), up, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, recall: float = TARGET_RECALL) -> DataFrame:
     """Near-duplicate classes of docs.
 
-    One row per row of docs: doc_id, class_id (smallest id of the connected part), n_links (other documents with
-    similarity of at least `threshold`, copies included), n_texts (linked entries with another set of shingles)
-    and class_size. Words are runs without white space. Null texts count as empty; texts without words have no
-    links, a class of their own and size one. Rows that repeat an id count as documents of their own. Null ids
-    are only a class id where no other id is in the class, and a text that has no other id has no links. An empty table gives no rows.
+    One row per row of docs: doc_id, text_key (a hash of the text), class_id (smallest id of the connected part),
+    n_links (other documents with similarity of at least `threshold`, copies included), n_texts (linked entries with
+    another set of shingles), class_size and stays (whether the row's text is the one that stays of its class: that of
+    the smallest id, then of the smallest hash). Words are runs without white space. Null texts count as empty; texts
+    without words have no links, a class of their own and size one. Rows that repeat an id count as documents of
+    their own; null ids are linked like others and come last, so a class id is null only where all ids of the class
+    are. An empty table gives no rows; other columns of docs are not read.
     """
-    length = prefix_length(threshold, trees, recall)
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    signed = common.cut(texts.mapInPandas(_signer(words, length, trees), "doc_id long, set binary, n int, prefixes array<long>"), "signed")
-    worded = signed.filter("set is not null")
-    entries = common.cut(worded.groupBy("set").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("prefixes").alias("prefixes")), "entries")
-    leaves = entries.select("set", F.explode("prefixes").alias("prefix"))
-    shared = common.cut(leaves.groupBy("prefix").agg(F.count(F.lit(1)).alias("k"), F.min("set").alias("head")).filter("k > 1").drop("k"), "shared")
-    met = common.cut(leaves.join(common.small(shared, BROADCAST_ROWS), "prefix"), "met")
-    homes = met.groupBy("set").agg(F.min("head").alias("home")).join(entries.select("set", "n", "rows"), "set")
-    homes = common.cut(homes, "homes")
-    chunks = homes.groupBy("home").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_ENTRIES)).cast("int").alias("chunks"))
-    placed = homes.join(chunks, "home").select("set", "home", "rows", F.pmod(F.xxhash64("set"), F.col("chunks")).cast("int").alias("chunk"))
-    placed = common.cut(placed.withColumn("block", F.xxhash64("home", "chunk")), "placed")
-    at = met.select("prefix", "set").join(placed.select("set", "block"), "set").select("prefix", "block").distinct()
-    at = common.cut(at, "at")
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    floor = least_depth(threshold, trees, recall)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    last = F.lit((1 << 63) - 1)
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("own"), text.alias("text"))
+    signed = common.cut(texts.mapInPandas(_signer(words, DEEPEST, trees), "doc_id long, own long, set binary, n int, signature binary"), "signed")
+    entries = (
+        signed.filter("set is not null").groupBy("set")
+        .agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "own")).alias("first"), F.count(F.lit(1)).alias("rows"), F.any_value("n").alias("n"), F.any_value("signature").alias("signature"))
+        .select("set", "first.id", "first.own", "rows", "n", "signature")
+    )
+    entries = common.cut(entries, "entries")
+    at = F.expr(f"explode(transform(sequence(0, {trees - 1}), t -> struct(t as tree, substring(signature, t * {2 * DEEPEST} + 1, {2 * DEEPEST}) as prefix)))")
+    tries = entries.select("set", at.alias("t")).select(F.col("t.tree").cast("int").alias("tree"), "t.prefix", "set").repartitionByRange("tree", "prefix", "set").sortWithinPartitions("tree", "prefix", "set")
+    climbed = tries.mapInArrow(_climber(DEEPEST, floor), "tree int, prefix binary, set binary, met tinyint, crowd binary")
+    chosen = climbed.groupBy("set").agg(F.collect_list(F.struct("tree", "prefix", "met", "crowd")).alias("rows"))
+    leaves = common.cut(chosen.mapInArrow(_chooser(trees, DEEPEST, floor, threshold, recall), "set binary, prefix long, asked boolean"), "leaves")
+    nodes = leaves.groupBy("prefix").agg(F.count(F.lit(1)).alias("k"), F.max("asked").alias("asked"), F.min("set").alias("head"))
+    nodes = common.cut(nodes.filter("k > 1 and asked").select("prefix", "head"), "nodes")
+    leaves = leaves.select("set", "prefix")
+    few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = common.cut(leaves.join(F.broadcast(nodes), "prefix") if few else common.even_join(leaves, nodes, "prefix"), "met")
+    homes = met.groupBy("set").agg(F.min("head").alias("home")).join(entries.select("set", "id", "own", "n", "rows"), "set")
+    # sets that reach the threshold differ in size by one step at most
+    homes = common.cut(homes.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")), "homes")
+    chunks = homes.groupBy("home", "step").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_ENTRIES)).cast("int").alias("chunks"))
+    chunks = common.cut(chunks.filter("chunks > 1"), "chunks")
+    keyed = homes.withColumn("at", F.xxhash64("home", "step"))
+    sizes = chunks.select(F.xxhash64("home", "step").alias("at"), "chunks")
+    placed = common.even_join(keyed, sizes, "at", "left").withColumn("block", F.xxhash64("at", F.pmod(F.xxhash64("set"), F.coalesce("chunks", F.lit(1)))))
+    placed = common.cut(placed.select("set", "id", "own", "rows", "step", "block"), "placed")
+    blocks_at = common.cut(met.select("prefix", "set").join(placed.select("set", "block", "step"), "set").select("prefix", "block", "step").distinct(), "at")
     alone = placed.groupBy("block").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("block").alias("a"), F.col("block").alias("b"))
-    across = at.select("prefix", F.col("block").alias("a")).join(at.select("prefix", F.col("block").alias("b")), "prefix").filter("a < b").select("a", "b").distinct()
+    other = blocks_at.select("prefix", F.col("block").alias("b"), F.col("step").alias("other"))
+    across = blocks_at.withColumnRenamed("block", "a").join(other, "prefix").filter("a < b and abs(step - other) <= 1").select("a", "b").distinct()
     pairs = common.cut(alone.unionByName(across), "pairs")
     # the texts of entries that met some other, read once more; one row for each entry
-    first = entries.select("set", F.col("first").alias("doc_id"))
-    chosen = common.cut(placed.join(first, "set"), "chosen").filter("doc_id is not null")
-    again = texts.join(common.small(chosen, BROADCAST_ROWS), "doc_id").select("set", "home", "chunk", "rows", "text")
-    gathered = again.mapInPandas(_gatherer(words), "set binary, home binary, chunk int, rows long, s binary").dropDuplicates(["set"])
-    blocks = gathered.groupBy(F.xxhash64("home", "chunk").alias("block")).agg(F.collect_list(F.struct("set", "rows", "s")).alias("e"))
-    blocks = common.cut(blocks, "blocks")
+    again = texts.withColumn("id", F.coalesce("doc_id", last)).drop("doc_id").join(common.small(placed.drop("step"), BROADCAST_ROWS), ["id", "own"]).select("set", "block", "rows", "text")
+    gathered = again.mapInPandas(_gatherer(words), "set binary, block long, rows long, s binary").dropDuplicates(["set"])
+    blocks = common.cut(gathered.groupBy("block").agg(F.collect_list(F.struct("set", "rows", "s")).alias("e")), "blocks")
     sides = pairs.join(blocks.select(F.col("block").alias("a"), F.col("e").alias("left")), "a").join(blocks.select(F.col("block").alias("b"), F.col("e").alias("right")), "b")
     found = sides.select("left", "right", (F.col("a") == F.col("b")).alias("same")).mapInPandas(_verifier(threshold), "set binary, centre binary, documents long, texts long")
     found = common.cut(found, "links")
     links = found.groupBy("set").agg(F.sum("documents").alias("documents"), F.sum("texts").alias("texts"))
     labels = components(found.filter("set <> centre").select(F.col("set").alias("a"), F.col("centre").alias("b")))
-    named = entries.select("set", "first", "rows").join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set")).join(links, "set", "left")
+    named = entries.select("set", "id", "own", "rows").join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set")).join(links, "set", "left")
     named = common.cut(named, "named")
-    classes = named.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("rows").alias("class_size"))
-    named = common.cut(named.join(classes, "label").select("set", "class_id", "class_size", (F.col("rows") - 1 + F.coalesce("documents", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts")), "classes")
-    return signed.select("doc_id", "set").join(named, "set", "left").select(
+    classes = named.groupBy("label").agg(F.min(F.struct("id", "own")).alias("first"), F.sum("rows").alias("class_size"))
+    named = common.even_join(named, classes, "label").select(
+        "set", "first", "class_size", (F.col("rows") - 1 + F.coalesce("documents", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts")
+    )
+    named = common.cut(named, "classes")
+    # copies of one set can be many: the few columns are joined with the copies dealt out
+    alone = F.col("set").isNull()
+    return common.even_join(signed.select("doc_id", "own", "set"), named, "set", "left").select(
         "doc_id",
-        F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.col("own").alias("text_key"),
+        F.when(alone, F.col("doc_id")).otherwise(F.nullif(F.col("first.id"), last)).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        (alone | ((F.coalesce("doc_id", last) == F.col("first.id")) & (F.col("own") == F.col("first.own")))).alias("stays"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text stays of its class of near duplicates, with the columns of docs.
+
+    Rows are told by id and text, so a row that shares its id with a near copy is judged by its own text. Texts
+    without words have classes of their own and stay. Rows that repeat an id and its text share their fate.
+    """
+    dropped = join(docs, id_col, text_col).filter("not stays").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__id"), F.col("text_key").alias("__text")).distinct()
+    dropped = common.small(common.cut(dropped, "near-copies"), BROADCAST_ROWS)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__own"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)).alias("__id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("__text"))
+    return own.join(dropped, ["__id", "__text"], "left_anti").select("__own.*")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from asof_spark.llm import exact_dedup, license_lookup, mixing, near_join, packing, quality, secret_scan, suffix_dedup, topk_search, warc
+from asof_spark.llm import common, exact_dedup, license_lookup, mixing, near_join, packing, quality, secret_scan, suffix_dedup, topk_search, warc
 
 WORDS = [a + b for a in "ba ce di fo gu han kel mor".split() for b in "ra lin to se vu an es ot".split()]
 SCHEMA = "doc_id long, text string, lang string, source string, kept string"
@@ -213,6 +213,41 @@ def test_near_join(docs, empty, texts):
     assert near_join.join(empty).count() == 0
 
 
+def test_near_join_null_and_repeated_ids(spark):
+    """A text that only null ids carry keeps its links; texts of one id are judged on their own."""
+    rng = random.Random(4)
+    base, other = prose(rng, 300), prose(rng, 300)
+    near = base.replace(base.split()[150], "changed", 1)
+    rows = [(None, near), (7, base), (7, other), (7, other), (None, ""), (None, None), (3, other + " more")]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, `set` string")
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.n_links, r.class_size, r.stays) for r in near_join.join(df).collect())
+    assert got == sorted([(0, 7, 1, 2, False), (7, 7, 1, 2, True), (7, 3, 2, 3, False), (7, 3, 2, 3, False), (0, 0, 0, 1, True), (0, 0, 0, 1, True), (3, 3, 2, 3, True)])
+    kept = near_join.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(7, base), (0, ""), (0, ""), (3, other + " more")])
+
+
+def test_prefixes_are_shortened_until_the_recall():
+    rng = np.random.default_rng(3)
+    floor = near_join.least_depth()
+    met = rng.integers(0, 9, (50, 20))
+    crowd = np.sort(rng.integers(0, 12, (50, 20, 8)))[:, :, ::-1].astype(np.int64)
+    got = near_join.depths(met, crowd, 0.8, 0.9999, floor, 8)
+    assert (1 - np.prod(1 - 0.8**got, axis=1) >= 0.9999).all() and got.min() >= floor and len(np.unique(got)) > 2
+    # trees that meet nobody are short for nothing, so a crowd elsewhere stays at full length
+    met, crowd = np.zeros((1, 20), dtype=np.int64), np.zeros((1, 20, 8), dtype=np.int64)
+    met[0, :5], crowd[0, :5] = 8, 9
+    assert (near_join.depths(met, crowd, 0.8, 0.9999, floor, 8)[0] == [8] * 5 + [floor] * 15).all()
+
+
+def test_even_join(spark):
+    """Hot, null and missing keys, against the plain join."""
+    left = spark.createDataFrame([(i, None if i % 7 == 0 else "hot" if i % 3 else f"k{i}") for i in range(900)], "i int, k string")
+    right = spark.createDataFrame([("hot", 1), ("k9", 2), (None, 3)], "k string, v int")
+    for how in ("inner", "left"):
+        assert sorted(map(str, common.even_join(left, right, "k", how, least=50).select("i", "k", "v").collect())) == sorted(map(str, left.join(right, "k", how).select("i", "k", "v").collect()))
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     vectors = [rng.normal(size=8).tolist() for _ in range(300)] + [[0.5] * 8] * 60 + [None, [None] * 8, [float("nan")] * 8, [float("inf")] * 8]
