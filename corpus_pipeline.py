@@ -14,31 +14,31 @@ from asof_spark.llm import common, exact_dedup, mixing, near_join, packing, qual
 
 #: Share of the tokens that the mixing stage keeps in expectation.
 MIX_SHARE = 0.8
-#: Ids of dropped near copies (about 16 bytes each) are broadcast up to so many; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be bad go; null and empty texts are judged by their statistics."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays; null and empty texts are equal."""
     return exact_dedup.drop_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, the one with the smallest id."""
-    classes = near_join.join(docs)
-    dropped = common.cut(classes.filter("doc_id <> class_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(common.small(dropped, BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each class of near duplicates stays: that of the smallest id. Rows are told by id and text."""
+    return near_join.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are sampled to the target weights, MIX_SHARE of the tokens in expectation."""
     own = docs.withColumn("__own", F.struct(*docs.columns))
     return mixing.weigh(own, share=MIX_SHARE).filter("sampled").select("__own.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in windows of 1024 tokens; a null or empty text is one end token."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
