@@ -27,9 +27,11 @@ OPEN_WINDOWS = 256
 #: Partitions whose leftovers are merged by one task: at most MERGE_PARTITIONS x OPEN_WINDOWS windows.
 MERGE_PARTITIONS = 32
 #: Words whose ids a worker remembers, about.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 50_000
 #: A space belongs to the word after it, so a text can be cut before any space that no white space follows.
 CUT, UNEVEN_SPACE = re.compile(r" (?=\S)"), re.compile(r" (?:\s|\Z)")
+#: The pattern of the fast encoder recurses on white space; texts with longer runs go to `tokenizers`.
+LONG_SPACE = re.compile(r"\s{1000}")
 
 # How byte-level vocabularies write bytes, printable ones as themselves and the others from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -58,6 +60,16 @@ class Encoder:
         self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         self.sizes[list(ranks.values())] = list(map(len, ranks))
         self.words: dict[str, bytes] = {}
+        self.path, self._whole = path, None
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of one text by `tokenizers` itself, loaded when the first such text comes."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+            self._whole.encode_special_tokens = True
+        return np.array(self._whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 10_000):
@@ -69,13 +81,17 @@ class Encoder:
             self.words.update({w: data[i:j] for w, i, j in zip(some, edges[:-1], edges[1:], strict=True)})
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 500):
-            split = [CUT.split(t) if UNEVEN_SPACE.search(t) else t.split(" ") for t in texts[at : at + 500]]
+        for at in range(0, len(texts), 200):
+            some = texts[at : at + 200]
+            split = [None if LONG_SPACE.search(t) else CUT.split(t) if UNEVEN_SPACE.search(t) else t.split(" ") for t in some]
             if len(self.words) > CACHED_WORDS:
                 self.words.clear()
-            later = set().union(*[w[1:] for w in split])
+            later = set().union(*[w[1:] for w in split if w])
             self._learn(list(later.difference(self.words)))
-            for words in split:
+            for text, words in zip(some, split, strict=True):
+                if words is None:
+                    yield self._plain(text)
+                    continue
                 first = np.array(self.encoding.encode_ordinary(words[0]), dtype="<u4").tobytes()
                 yield first + b"".join(map(self.words.__getitem__, words[1:]))
 
@@ -212,8 +228,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if with_ids, ids
     (little-endian unsigned 32-bit). A document is the ids of its text and end_id; documents over `size` are
     cut every `size` ids. Null and empty texts are end_id alone; null and repeated ids are packed as they come.
-    An empty table gives no rows. Memory in a task: one batch, the open windows and a bounded word cache.
+    An empty table gives no rows; other columns of docs are not read. Memory in a task: one batch, the open windows
+    and a bounded word cache.
     """
+    common.small_batches(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     pieces = common.cut(texts.mapInArrow(_packer(tokenizer, size, end_id, open_windows, with_ids), PIECES), "pieces")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
