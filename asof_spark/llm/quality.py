@@ -93,7 +93,7 @@ class Model:
         self.projection = rng.normal(size=(len(mean), features)) / bandwidth
         self.phase = rng.uniform(0, 2 * np.pi, features)
         self.weights = np.zeros(features + 1)
-        self.at, self.probability = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+        self.at, self.probability = np.array([0.0, 1.0]), np.array([0.5, 0.5])
 
     def map(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.deviation, -6, 6) @ self.projection + self.phase
@@ -149,7 +149,8 @@ def fit(measured: DataFrame, labels: DataFrame, ridge: float = RIDGE) -> Model:
     total = np.zeros((size, size + 1))
     for r in parts.groupBy("row", "col").agg(F.sum("v")).collect():
         total[r[0], r[1]] = r[2]
-    if total[-1, -2] > 0:
+    if total[-1, -2] > 0:  # raw scores count as they are until fold 2 calibrates them
+        model.probability = np.array([0.0, 1.0])
         model.weights = np.linalg.solve(total[:, :-1] + ridge * np.eye(size), total[:, -1])
 
     def raw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,6 +165,7 @@ def fit(measured: DataFrame, labels: DataFrame, ridge: float = RIDGE) -> Model:
 
 
 def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    common.small_batches(docs.sparkSession)
     measured = common.cut(measure(docs, id_col, text_col), "statistics")
     model = fit(measured, labels)
 
