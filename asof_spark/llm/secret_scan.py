@@ -27,20 +27,28 @@ EXAMPLE_OWNERS = 2
 SPAN = "struct<start:bigint,kind:int,end:bigint,digest:string>"
 
 
+#: Matches whose spans are appended to one array; arrays of so many are joined, so the work is about linear in the matches.
+BLOCK = 256
+
+
 def _spans(text: Column, pattern: str, group: int, kind: int, keep: str) -> Column:
     """Spans of the leftmost non-overlapping matches. Start = length of the gaps and matches before it.
 
-    keep: SQL condition on x.`2`, the value of a match (x.`0` is the gap before it, x.`1` the match).
+    keep: SQL condition on x.`2`, the value of a match (x.`0` is the gap before it, x.`1` the match). Starts are
+    summed over blocks of BLOCK matches first, then within each block.
     """
     quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
     found = F.expr(
-        f"""aggregate(
-            arrays_zip(split(__text, '{quoted}', -1), regexp_extract_all(__text, '{quoted}', 0), regexp_extract_all(__text, '{quoted}', {group})),
-            named_struct('at', 0L, 'out', cast(array() as array<{SPAN}>)),
-            (acc, x) -> if(x.`1` is null, acc, named_struct(
-                'at', acc.at + length(x.`0`) + length(x.`1`),
-                'out', if({keep}, array_append(acc.out, named_struct('start', acc.at + length(x.`0`), 'kind', {kind}, 'end', acc.at + length(x.`0`) + length(x.`1`), 'digest', sha2(x.`2`, 256))), acc.out))),
-            acc -> acc.out)"""
+        f"""transform(array(arrays_zip(split(__text, '{quoted}', -1), regexp_extract_all(__text, '{quoted}', 0), regexp_extract_all(__text, '{quoted}', {group}))), all ->
+            transform(array(transform(sequence(0, (size(all) - 1) div {BLOCK}), b -> slice(all, b * {BLOCK} + 1, {BLOCK}))), blocks ->
+                flatten(transform(
+                    arrays_zip(blocks, slice(aggregate(blocks, array(0L), (acc, block) -> array_append(acc, element_at(acc, -1) + aggregate(block, 0L, (n, x) -> n + length(x.`0`) + coalesce(length(x.`1`), 0)))), 1, size(blocks))),
+                    p -> aggregate(p.blocks, named_struct('at', p.`1`, 'out', cast(array() as array<{SPAN}>)),
+                        (acc, x) -> if(x.`1` is null, acc, named_struct(
+                            'at', acc.at + length(x.`0`) + length(x.`1`),
+                            'out', if({keep}, array_append(acc.out, named_struct('start', acc.at + length(x.`0`), 'kind', {kind}, 'end', acc.at + length(x.`0`) + length(x.`1`), 'digest', sha2(x.`2`, 256))), acc.out))),
+                        acc -> acc.out)))
+            )[0])[0]"""
     )
     return F.when(text.rlike(pattern), found).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
 
@@ -58,7 +66,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     repositories, live). Offsets are code points, ends exclusive. Null texts count as empty; empty texts have no
     span; rows with equal id and text get equal results. A null owner or repository is one value of its own.
     An empty table gives no rows. Values are compared by SHA-256; frequencies are reduced to distinct
-    (value, owner, repository) before they are counted, so a value in a third of all rows is no hot task.
+    (value, owner, repository) before they are counted, and places of a frequent value are dealt out when they meet
+    its count, so a value in a third of all rows is no hot task.
     """
     repo = F.concat_ws("/", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("?")) for c in repo_cols])
     rows = docs.select(
@@ -80,10 +89,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     frequency = (
         hits.select("digest", "__owner", "__repo").distinct().groupBy("digest").agg(F.count_distinct("__owner").alias("owners"), F.count_distinct("__repo").alias("repositories"))
     )
+    places = common.cut(hits.select("doc_id", "__key", "start", "kind", "end", "digest").distinct(), "places")
     judged = (
-        hits.select("doc_id", "__key", "start", "kind", "end", "digest")
-        .distinct()
-        .join(frequency, "digest")
+        common.even_join(places, frequency, "digest")
         .withColumn("live", F.col("owners") < EXAMPLE_OWNERS)
         .filter("kind < 3 or live")
         .groupBy("doc_id", "__key")

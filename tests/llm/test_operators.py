@@ -69,7 +69,7 @@ def test_encoder_on_odd_space():
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
-    odd = ["  a  b \n c   ", "", " ", "a\n\n b  ", "<|endoftext|> x <|endoftext|>", "don't  it's \x1c d \x85 e  ", "é  日本 🙂", "\t a \t b", "a" * 5000]
+    odd = ["  a  b \n c   ", "", " ", "a\n\n b  ", "<|endoftext|> x <|endoftext|>", "don't  it's \x1c d \x85 e  ", "é  日本 🙂", "\t a \t b", "a" * 5000, " " * 1_000_000, "a" + " \n" * 3000 + " b", "\n" * 2000]
     assert [np.frombuffer(b, "<u4").tolist() for b in packing.encoder(path)(odd)] == [tok.encode(t, add_special_tokens=False).ids for t in odd]
 
 
@@ -147,6 +147,14 @@ def test_secret_scan(docs, empty, texts):
     assert secret_scan.scan(empty).count() == 0
 
 
+def test_secret_scan_of_one_long_text_with_many_spans(spark):
+    """80,000 spans in one text: the work stays about linear."""
+    text = "deadbeefdeadbeef é " * 80_000
+    row = secret_scan.scan(spark.createDataFrame([(1, text, "en", "s", "")], SCHEMA)).first()
+    want = ",".join(f"hex:{19 * i}:{19 * i + 16}" for i in range(80_000))
+    assert (row.n_hex, row.base_sha256) == (80_000, hashlib.sha256(want.encode()).hexdigest())
+
+
 def test_ownership_tells_examples_from_live(spark):
     key = "token=abcdefghijklmnop"
     rows = [(i, f"a {key} b", "en", f"s{i}", "") for i in range(4)] + [(9, "password: zyxwvutsrqponmlk", "en", "s0", ""), (9, "password: zyxwvutsrqponmlk", "en", "s0", "")]
