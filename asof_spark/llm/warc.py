@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,66 +16,107 @@ from . import common
 REVISIT_BYTES = 100
 #: Groups of equal payloads are broadcast up to so many rows (about 80 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: Target of an archive file before compression.
+#: Compressed bytes after which a task starts another archive file.
 FILE_BYTES = 32 << 20
+#: Copies of a repeated row that one task writes at most.
+COPIES = 1_000
 EPOCH = "2024-01-01T00:00:00Z"
 
 RECORDS = "record_type string, record_id string, concurrent_to string, refers_to string, target_uri string, block_digest string, fields map<string,string>, payload binary"
 
 
-def _uuid(kind: str) -> Column:
-    digest = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.col("digest"), F.coalesce("url", F.lit(""))))
+def _uuid(kind: str, first: bool = False) -> Column:
+    """A record id from the kind, the id, payload and url of the row and its number among equal rows; first: of the response that a revisit refers to."""
+    page, url, copy = (F.col("first.page_id"), F.col("first.url"), F.lit(0)) if first else (F.col("page_id"), F.coalesce("url", F.lit("")), F.col("copy"))
+    digest = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(page.cast("string"), F.lit("null")), F.col("digest"), copy.cast("string"), url))
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(digest, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
 def _record(kind: Column | str, record_id: Column, more: list[tuple[str, Column]], content_type: str, block: Column) -> Column:
-    """A record without its last line feed, which the writer adds. Fields whose value is null are left out."""
+    """A record. Fields whose value is null are left out."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
     fields = [("WARC-Type", kind), ("WARC-Record-ID", record_id), ("WARC-Date", F.lit(EPOCH)), *more, ("Content-Type", F.lit(content_type)), ("Content-Length", F.octet_length(block).cast("string"))]
     lines = [F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), v, F.lit("\r\n"))).otherwise("") for k, v in fields]
-    return F.concat(F.lit("WARC/1.1\r\n"), *lines, F.lit("\r\n"), block, F.lit("\r\n\r"))
+    return F.concat(F.lit("WARC/1.1\r\n"), *lines, F.lit("\r\n"), block, F.lit("\r\n\r\n"))
+
+
+_NOTHING = gzip.compress(b"", mtime=0)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records -> one gzip member each, without its last zero byte, and the number of the task's file.
+
+    The last byte of a member is zero for records under 16 MB; a longer one is followed by an empty member.
+    """
+    held = 0
+    for b in batches:
+        out, files = [], []
+        for record in b.column(0):
+            packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+            data = packer.compress(record.as_buffer()) + packer.flush()
+            data += _NOTHING if data[-1] else b""
+            out.append(data[:-1])
+            files.append(held // FILE_BYTES)
+            held += len(data)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(files, pa.int32())], ["value", "file"])
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write request, response (or revisit) and metadata records of every page to compressed archives under path.
+    """Write request, response (or revisit) and metadata records of every page to archives under path, a gzip member each.
 
     Of pages with equal payloads of REVISIT_BYTES or more, the one with the smallest id is the response and the
-    others are revisits of it, without payload. A null payload is empty, a null url has no target URI, line
-    breaks in a url are percent-encoded. Null ids come after all others; repeated rows are repeated records.
-    An empty table writes no record. Payloads are not shuffled unless there are over BROADCAST_ROWS groups of
-    equal payloads.
+    others are revisits of it, without payload; rows that share that id are all responses, null ids among
+    themselves too. A null payload is empty, a null url has no target URI, line breaks in a url are
+    percent-encoded. Null ids come after all others. Rows that repeat id, url and payload are captures of their own,
+    told apart by a number. An empty table writes no record. Payloads of rows that occur once are not shuffled
+    unless there are over BROADCAST_ROWS groups of equal payloads or of repeated rows.
     """
+    common.small_batches(pages.sparkSession)
     rows = pages.select(
         F.col(f"`{id_col}`").alias("page_id"),
         F.regexp_replace(F.regexp_replace(F.col(f"`{url_col}`"), "\r", "%0D"), "\n", "%0A").alias("url"),
         F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"),
     )
-    rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("bytes", F.octet_length("html"))
-    size = rows.agg(F.avg(F.col("bytes") + 1500)).first()[0] or 1.0
-    groups = rows.filter(F.col("bytes") >= REVISIT_BYTES).groupBy("digest")
-    # the smallest id, and the url that goes with it, name the response
-    groups = common.cut(groups.agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_id"), F.min_by(F.coalesce("url", F.lit("")), "page_id").alias("first_url")).filter("n > 1").drop("n"), "payloads")
+    rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("row", F.xxhash64("page_id", "url", "digest"))
+    counts = common.cut(rows.groupBy("row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
+    counts = common.small(counts, BROADCAST_ROWS)
+    # repeated rows are combined to one and written as often as they came
+    again = rows.join(counts, "row", "left_semi").groupBy("page_id", "url", "digest").agg(F.count(F.lit(1)).alias("n"), F.any_value("html").alias("html"))
+    again = again.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES)))).repartition("digest", "part")
+    copies = F.explode(F.sequence(F.col("part") * COPIES, F.least(F.col("n"), (F.col("part") + 1) * COPIES) - 1))
+    again = again.select("page_id", "url", "html", "digest", copies.alias("copy"))
+    rows = rows.join(counts, "row", "left_anti").select("page_id", "url", "html", "digest", F.lit(0).cast("long").alias("copy")).unionByName(again)
+    rows = rows.withColumn("bytes", F.octet_length("html"))
+    # the smallest id, and the least url that goes with it, name the response
+    own = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id"), F.coalesce("url", F.lit("")).alias("url"))
+    groups = rows.filter(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("first"))
+    groups = common.cut(groups.filter("n > 1").drop("n"), "payloads")
     rows = rows.join(common.small(groups, BROADCAST_ROWS), "digest", "left")
-    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    first = F.struct(F.col("first_id").alias("page_id"), "digest", F.col("first_url").alias("url"))
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     rows = rows.withColumn("is_revisit", revisit).withColumn("own_id", _uuid("response"))
-    response_of = F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(F.concat_ws("|", F.lit("response"), first["page_id"].cast("string"), first["digest"], first["url"])), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     uri, payload = ("WARC-Target-URI", F.col("url")), ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))
     profile = F.when(F.col("is_revisit"), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
+    refers = F.when(F.col("is_revisit"), _uuid("response", first=True))
     records = F.array(
         _record("request", _uuid("request"), [("WARC-Concurrent-To", F.col("own_id")), uri], "application/http; msgtype=request", F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(" HTTP/1.1\r\n\r\n"))),
-        _record(F.when(F.col("is_revisit"), "revisit").otherwise("response"), F.col("own_id"), [uri, payload, ("WARC-Refers-To", F.when(F.col("is_revisit"), response_of)), ("WARC-Profile", profile)], "application/http; msgtype=response", F.concat(http, F.when(F.col("is_revisit"), "").otherwise(F.col("html")))),
+        _record(F.when(F.col("is_revisit"), "revisit").otherwise("response"), F.col("own_id"), [uri, payload, ("WARC-Refers-To", refers), ("WARC-Profile", profile)], "application/http; msgtype=response", F.concat(http, F.when(F.col("is_revisit"), "").otherwise(F.col("html")))),
         _record("metadata", _uuid("metadata"), [("WARC-Concurrent-To", F.col("own_id")), uri], "application/warc-fields", F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit("\r\n"))),
     )
-    rows.select(F.explode(records).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", max(3, int(3 * FILE_BYTES / size))).text(path)
+    packed = rows.select(F.explode(records).alias("value")).select(F.col("value").cast("binary")).mapInArrow(_members, "value binary, file int")
+    packed.select(F.col("value").cast("string").alias("value"), "file").write.partitionBy("file").option("lineSep", "\0").text(path)
+
 
+def _parse(data: bytes, whole: bool = True) -> Iterator[tuple]:
+    """Records of a stretch of an archive with the places where they end, cut by their lengths alone.
 
-def _parse(data: bytes) -> Iterator[tuple]:
-    """Records of one archive, in order, cut by their lengths alone; ValueError on a damaged record."""
+    ValueError on a damaged record; unless data is whole, a record at its end that is not complete is left out.
+    """
     at = 0
     while at < len(data):
         head_end = data.find(b"\r\n\r\n", at)
+        if head_end < 0 and not whole:
+            return
         if not data.startswith(b"WARC/", at) or head_end < 0:
             raise ValueError(f"no record at byte {at}")
         fields = {}
@@ -82,6 +125,8 @@ def _parse(data: bytes) -> Iterator[tuple]:
             fields[key.strip().lower()] = value.strip()
         start = head_end + 4
         end = start + int(fields["content-length"])
+        if len(data) < end + 4 and not whole:
+            return
         block = data[start:end]
         if len(block) < end - start or data[end : end + 4] != b"\r\n\r\n":
             raise ValueError(f"record at byte {at} is cut short")
@@ -94,33 +139,45 @@ def _parse(data: bytes) -> Iterator[tuple]:
                 key, found, value = line.partition(":")
                 if found:
                     fields[key.strip().lower()] = value.strip()
-        yield kind, fields.get("warc-record-id"), fields.get("warc-concurrent-to"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), fields.get("warc-payload-digest"), list(fields.items()), payload
         at = end + 4
+        yield at, (kind, fields.get("warc-record-id"), fields.get("warc-concurrent-to"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), fields.get("warc-payload-digest"), list(fields.items()), payload)
+
+
+def _records(data: bytes) -> Iterator[tuple]:
+    """Records of an archive file, plain or of any gzip members; one member is inflated at a time."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (row for _, row in _parse(data))
+        return
+    rest, view = b"", memoryview(data)
+    while len(view):
+        member = zlib.decompressobj(31)
+        rest += member.decompress(view)
+        if not member.eof:
+            raise ValueError("the last gzip member is cut short")
+        view = view[len(view) - len(member.unused_data) :] if member.unused_data else view[:0]
+        done = 0
+        for done, row in _parse(rest, whole=False):
+            yield row
+        rest = rest[done:]
+    if rest:
+        raise ValueError("the last record is cut short")
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zlib
-
     kinds = [*[pa.string()] * 6, pa.map_(pa.string(), pa.string()), pa.binary()]
     schema = pa.schema([(c.split()[0], k) for c, k in zip(RECORDS.split(", "), kinds, strict=True)])
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=schema)
     for b in batches:
         for data in b.column("content"):
-            data, whole = data.as_py(), []
-            if data[:2] == b"\x1f\x8b":  # one or more gzip members
-                while data:
-                    member = zlib.decompressobj(31)
-                    whole.append(member.decompress(data))
-                    data = member.unused_data
-                data = b"".join(whole)
             rows, held = [], 0
-            for row in _parse(data):
+            for row in _records(data.as_py()):
                 rows.append(row)
                 held += len(row[-1])
-                if held > 8 << 20 or len(rows) >= 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=schema)
+                if held > 4 << 20 or len(rows) >= 5000:
+                    yield batch(rows)
                     rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=schema)
+                yield batch(rows)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -128,7 +185,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     A file is one task's work, so archives should stay under some hundred MB.
     """
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_reader, RECORDS)
+    common.small_batches(spark)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(_reader, RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Operators of the llm subpackage against plain versions, on small fixtures with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import gzip
 import hashlib
+import pathlib
 import random
 import re
 import struct
@@ -190,7 +192,7 @@ def test_exact_dedup(docs, empty, texts):
 
 
 def test_warc(spark):
-    rows = [(3, "http://a/1", "x" * 200), (1, None, "x" * 200), (2, "http://a/\r\nb", "short"), (5, "u", "short"), (6, "u", None), (7, "u", "a\r\n\r\nWARC/1.1\r\né" * 20), (9, "u", "x" * 200)]
+    rows = [(3, "http://a/1", "x" * 200), (1, None, "x" * 200), (2, "http://a/\r\nb", "short"), (5, "u", "short"), (6, "u", None), (7, "u", "a\r\n\r\nWARC/1.1\r\né" * 20), (9, "u", "x" * 200), (8, "u", "x" * (17 << 20))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     import tempfile
 
@@ -205,6 +207,18 @@ def test_warc(spark):
     assert bytes(out[7].capture.response.payload) == rows[5][2].encode() and out[7].capture.request.record_type == "request"
     path2 = tempfile.mkdtemp() + "/w"
     warc.write(df.limit(0), path2)
+    assert warc.captures(spark, path2).count() == 0
+    files = [f for f in pathlib.Path(path).rglob("part-*") if f.stat().st_size]
+    members = sum(f.read_bytes().count(b"\x1f\x8b\x08\x00") for f in files)
+    assert members >= 3 * len(rows) and all(b"WARC/1.1" in gzip.decompress(f.read_bytes()) for f in files)
+
+
+def test_warc_repeated_rows_and_null_ids(spark, tmp_path):
+    """Every row comes back, repeats and null ids too, and two payloads of one id keep apart."""
+    rows = [(1, "u", "y" * 150)] * 3 + [(2, "u", "y" * 150)] * 2 + [(None, "v", "y" * 150)] * 2 + [(None, None, "z" * 120)] * 2 + [(1, "u", "other")]
+    warc.write(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string"), f"{tmp_path}/w")
+    out = sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes) for r in warc.captures(spark, f"{tmp_path}/w").collect())
+    assert out == sorted([(1, "response", 0, 150)] * 3 + [(2, "revisit", 1, 150)] * 2 + [(0, "revisit", 1, 150)] * 2 + [(0, "response", 0, 120)] * 2 + [(1, "response", 0, 5)])
 
 
 def test_near_join(docs, empty, texts):
