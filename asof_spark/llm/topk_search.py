@@ -18,7 +18,8 @@ from pyspark.sql.window import Window
 
 from . import common
 
-PIVOTS, ANNULI = 32, 8
+#: Least and most pivots, vectors that an annulus should hold, and the most annuli of a pivot.
+PIVOTS, MOST_PIVOTS, ANNULUS, MOST_ANNULI = 32, 512, 256, 64
 #: Rows from which pivots are chosen, taken by a hash of the id. Every row is indexed.
 SAMPLE_ROWS = 4096
 #: Vectors in a block of an annulus, queries in a block, vectors that the first round visits at least.
@@ -27,16 +28,23 @@ BLOCK, QUERY_BLOCK, FIRST_VECTORS = 2048, 256, 2048
 HELD_QUERIES = 20_000
 
 
+def index_size(vectors: int) -> tuple[int, int]:
+    """Pivots and annuli of each for so many vectors: both grow with the root of their number, up to a fixed most."""
+    pivots = min(MOST_PIVOTS, max(PIVOTS, int(vectors**0.5 / 8)))
+    return pivots, min(MOST_ANNULI, max(2, vectors // (pivots * ANNULUS)))
+
+
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """id, v: floor(scale * x) of every component as little-endian 64-bit integers; vectors with null or non-finite components are left out."""
+    """id, v and square: floor(scale * x) of every component as little-endian 64-bit integers, and their sum of squares; vectors with null or non-finite components are left out."""
     x = F.col(f"`{vector_col}`")
     fine = x.isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "v": [np.floor(scale * np.asarray(e, dtype=np.float64)).astype("<i8").tobytes() for e in b["x"]]})
+            fixed = [np.floor(scale * np.asarray(e, dtype=np.float64)).astype("<i8") for e in b["x"]]
+            yield pd.DataFrame({"id": b["id"], "v": [e.tobytes() for e in fixed], "square": [int(e @ e) for e in fixed]})
 
-    return vectors.filter(fine & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), x.cast("array<double>").alias("x")).mapInPandas(pack, "id long, v binary")
+    return vectors.filter(fine & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), x.cast("array<double>").alias("x")).mapInPandas(pack, "id long, v binary, square long")
 
 
 def _matrix(rows, dim: int) -> np.ndarray:
@@ -127,14 +135,16 @@ def search(vectors: DataFrame, query_filter: str, id_col: str = "vec_id", vector
 
     Returns query_id, rank, vec_id, score; ties go to the smaller id, a row is no candidate of itself, and a
     query with fewer candidates gets them all. Components become floor(scale * x). Rows with a null id, a null
-    vector or null or non-finite components take no part; shorter vectors count as filled up with zeros; rows
-    that repeat an id and vector count once. An empty table gives no rows. Squared norms must stay below 2^62.
-    Equal vectors are one entry of the index with their k + 1 smallest ids, which is all that a result can hold,
-    so a vector in a third of all rows is no hot key. Pivots, the bounds of the annuli and their counts
-    (PIVOTS x ANNULI rows) are all that the driver sees; queries travel in blocks to the annuli they need.
+    vector or null or non-finite components take no part; shorter vectors count as filled up with zeros. Rows that
+    repeat an id and vector are one query, but candidates of their own, of each other too. An empty table gives no
+    rows; other columns are not read. Squared norms must stay below 2^62. Equal vectors are one entry of the index
+    with their k + 1 smallest ids, which is all that a result can hold, so a vector in a third of all rows is no hot
+    key. The sample of SAMPLE_ROWS for the pivots, the bounds of the annuli and their counts (MOST_PIVOTS x
+    MOST_ANNULI rows at most) are all that the driver sees; queries travel in blocks to the blocks of vectors.
     """
     spark = vectors.sparkSession
-    all_rows = common.cut(quantised(vectors, id_col, vector_col, scale).dropDuplicates(["id", "v"]), "vectors")
+    common.small_batches(spark)
+    all_rows = common.cut(quantised(vectors, id_col, vector_col, scale), "vectors")
     most = Window.partitionBy("v").orderBy("id")
     classes = all_rows.withColumn("n", F.row_number().over(most)).filter(F.col("n") <= k + 1).groupBy("v").agg(F.collect_list("id").alias("ids"))
 
@@ -144,12 +154,13 @@ def search(vectors: DataFrame, query_filter: str, id_col: str = "vec_id", vector
             yield pd.DataFrame({"v": b["v"], "ids": b["ids"], "dim": [len(x) for x in values], "norm2": [float((x.astype(float) ** 2).sum()) for x in values]})
 
     classes = common.cut(classes.mapInPandas(measured, "v binary, ids array<long>, dim int, norm2 double"), "classes")
-    dim, norm2 = classes.agg(F.max("dim"), F.max("norm2")).first()
+    dim, norm2, entries = classes.agg(F.max("dim"), F.max("norm2"), F.count(F.lit(1))).first()
     result = "query_id long, rank int, vec_id long, score long"
     if dim is None:
         return spark.createDataFrame([], result)
+    n_pivots, n_annuli = index_size(entries)
     sample = [r[0] for r in classes.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE_ROWS).collect()]
-    pivots = choose_pivots(_lifted(_matrix(sample, dim), norm2), PIVOTS)
+    pivots = choose_pivots(_lifted(_matrix(sample, dim), norm2), n_pivots)
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -158,22 +169,25 @@ def search(vectors: DataFrame, query_filter: str, id_col: str = "vec_id", vector
                 yield pd.DataFrame({"v": b["v"], "ids": b["ids"], "pivot": d.argmin(1), "distance": d.min(1)})
 
     index = common.cut(classes.select("v", "ids").mapInPandas(keyed, "v binary, ids array<long>, pivot int, distance double"), "index")
-    parts = [i / ANNULI for i in range(1, ANNULI)]
-    cuts = {r[0]: r[1] for r in index.groupBy("pivot").agg(F.percentile_approx("distance", parts)).collect()}
-    edges = F.create_map(*[x for p, c in sorted(cuts.items()) for x in (F.lit(p), F.array(*[F.lit(float(y)) for y in c]))])
-    ring = F.size(F.filter(edges[F.col("pivot")], lambda y: y < F.col("distance")))
-    index = index.withColumn("annulus", F.col("pivot") * ANNULI + ring)
-    rings = index.groupBy("annulus").agg(F.min("distance"), F.max("distance"), F.count(F.lit(1))).orderBy("annulus").collect()
+    parts = [i / n_annuli for i in range(1, n_annuli)]
+    # one row for each pivot, then one for each annulus
+    cuts = common.cut(index.groupBy("pivot").agg(F.percentile_approx("distance", parts).alias("cuts")), "cuts")
+    ring = F.size(F.filter("cuts", lambda y: y < F.col("distance")))
+    index = index.join(F.broadcast(cuts), "pivot").select("v", "ids", "distance", (F.col("pivot") * n_annuli + ring).alias("annulus"))
+    bounds = common.cut(index.groupBy("annulus").agg(F.min("distance").alias("low"), F.max("distance").alias("high"), F.count(F.lit(1)).alias("n")), "annuli")
+    rings = bounds.orderBy("annulus").collect()
     names, low, high, count = (np.array(x) for x in zip(*rings, strict=True))
-    low_slack = 1e-9 * np.sqrt(norm2) + 1e-9
-    chunks = F.create_map(*[x for a, n in zip(names, count, strict=True) for x in (F.lit(int(a)), F.lit(int(-(-n // BLOCK))))])
-    blocks = index.withColumn("chunk", F.pmod(F.xxhash64("v"), chunks[F.col("annulus")])).groupBy("annulus", "chunk").agg(F.collect_list(F.struct("v", "ids")).alias("e"))
-    blocks = common.cut(blocks.select("annulus", F.col("e.v").alias("vs"), F.col("e.ids").alias("lists")), "blocks")
+    # a distance is the root of a difference, so its error is up to the root of the rounding error of a squared norm
+    low_slack = 1e-6 * np.sqrt(norm2) + 1e-6
+    sizes = F.broadcast(bounds.select("annulus", F.ceil(F.col("n") / BLOCK).alias("chunks")))
+    chunked = index.join(sizes, "annulus").withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
+    blocks = chunked.groupBy("annulus", "chunk").agg(F.collect_list(F.struct("v", "ids")).alias("e"))
+    blocks = common.cut(blocks.select("annulus", "chunk", F.col("e.v").alias("vs"), F.col("e.ids").alias("lists")), "blocks")
 
     def bounds_of(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least distance to each annulus and the largest inner product that it allows."""
         lifted = np.hstack([q.astype(np.float64), np.zeros((len(q), 1))])
-        d = _distances(lifted, pivots)[:, names // ANNULI]
+        d = _distances(lifted, pivots)[:, names // n_annuli]
         least = np.maximum(0.0, np.maximum(d - high, low - d) - low_slack)
         return least, np.floor(((lifted * lifted).sum(1)[:, None] + norm2 - least**2) / 2 * (1 + 1e-9) + 1)
 
@@ -194,25 +208,31 @@ def search(vectors: DataFrame, query_filter: str, id_col: str = "vec_id", vector
                     bound = np.full(len(qs), np.iinfo(np.int64).min) if first else b["bound"].iloc[at : at + QUERY_BLOCK].to_numpy()
                     if not first:
                         chosen = ~chosen & (top >= bound[:, None].astype(float))
-                    rows = [(int(names[j]), [qs[i] for i in some], [int(x) for x in bound[some]]) for j in range(len(names)) if len(some := np.flatnonzero(chosen[:, j]))]
-                    yield pd.DataFrame(rows, columns=["annulus", "qs", "bounds"])
+                    rows = [(int(names[j]), c, [qs[i] for i in some], [int(x) for x in bound[some]]) for j in range(len(names)) if len(some := np.flatnonzero(chosen[:, j])) for c in range(-(-int(count[j]) // BLOCK))]
+                    yield pd.DataFrame(rows, columns=["annulus", "chunk", "qs", "bounds"])
 
         return visit
 
     def visited(queries: DataFrame, first: bool) -> DataFrame:
         # both sides grow with the input, which the planner cannot see behind the function: never broadcast
-        pairs = queries.mapInPandas(visits(first), "annulus int, qs array<binary>, bounds array<long>").hint("merge").join(blocks.hint("merge"), "annulus")
+        asked = queries.mapInPandas(visits(first), "annulus int, chunk int, qs array<binary>, bounds array<long>")
+        pairs = asked.hint("merge").join(blocks.hint("merge"), ["annulus", "chunk"])
         found = pairs.select("vs", "lists", "qs", "bounds").mapInPandas(_scorer(dim, k + 1), "q binary, score long, id long")
         return common.cut(_ranked(found, k + 1).drop("rank"), "visited")
 
-    queries = common.cut(all_rows.filter(query_filter).select(F.col("v").alias("q")).distinct(), "queries")
+    asked = all_rows.filter(query_filter).select(F.col("id").alias("query_id"), F.col("v").alias("q"), "square").distinct()
+    queries = common.cut(asked.select("q").distinct(), "queries")
     near = visited(queries, True)
     bound = near.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).select("q", F.when(F.col("n") > k, F.col("least")).otherwise(F.lit(-(1 << 63))).alias("bound"))
     best = common.cut(_ranked(near.unionByName(visited(common.cut(bound, "bounds"), False)), k + 1).drop("rank"), "best")
-    asked = all_rows.filter(query_filter).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    pairs = asked.join(best, "q").filter("id <> query_id")
+    # equal vectors can ask often, each for the same list
+    pairs = common.even_join(common.cut(asked, "asked"), best.groupBy("q").agg(F.collect_list(F.struct("score", "id")).alias("found")), "q")
+    pairs = pairs.select("query_id", "q", "square", F.explode("found").alias("f")).select("query_id", "q", "square", "f.*")
+    # one row with the query's id and its own score is the query itself, if it is among the best
+    itself = F.col("id").eqNullSafe(F.col("query_id")) & (F.col("score") == F.col("square"))
+    pairs = pairs.withColumn("itself", itself).withColumn("n", F.row_number().over(Window.partitionBy("query_id", "q", "itself").orderBy("id")))
     own = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+    return pairs.filter("not (itself and n = 1)").withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
