@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Known licence statements: fixed values, public notices and titles. Callers may pass their own.
+from . import common
+from .license_digests import WHOLE_TEXTS
+
+#: Known notices and titles, which are looked up as whole texts and as lines: fixed values, public notices and titles. Callers may pass their own.
 KNOWN = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Apache License Version 2.0, January 2004"),
@@ -49,28 +52,32 @@ def _digest(canon: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(canon, r"\s+", " ")), 256)
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """license, digest: one row for each distinct digest of the known texts (as many rows as the parameter, at most)."""
-    texts = spark.createDataFrame(known, "license string, text string")
-    return texts.select("license", _digest(canonical(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str]] = WHOLE_TEXTS) -> DataFrame:
+    """license, digest: one row for each distinct digest of the known texts and the given digests (as many rows as the parameters, at most)."""
+    texts = spark.createDataFrame(known, "license string, text string").select("license", _digest(canonical(F.col("text"))).alias("digest"))
+    return texts.union(spark.createDataFrame(digests, "license string, digest string")).groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def lookup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """Licences of every text.
+def lookup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str]] = WHOLE_TEXTS) -> DataFrame:
+    """Licences of every text: its canonical digest is joined to those of known licences.
 
     One row per row of docs: doc_id, text_digest (canonical SHA-256 of the whole text), text_license (the licence
-    whose text the whole document is, else null), line_licenses (sorted, distinct licences that fill a line of
-    their own) and n_license_lines. Null texts count as empty; an empty text or line has no licence. Repeated
-    rows get equal results; an empty table gives no rows. The list of known licences is the broadcast side, so
-    its size is that of the parameter; documents are not shuffled.
+    whose text the whole document is, else null), line_licenses (sorted, distinct licences of `known` that fill a line
+    of their own) and n_license_lines. Null texts count as empty; an empty text or line has no licence. Repeated
+    rows get equal results; an empty table gives no rows; other columns of docs are not read. Each text is normalised
+    once. The known digests are the broadcast side, so its size is that of the parameters; texts are not shuffled.
     """
+    spark = docs.sparkSession
+    table = known_digests(spark, known, digests)
+    # a line can only be a known one if it has the length of one
+    shapes = spark.createDataFrame(known, "license string, text string").select(F.length(F.trim(F.regexp_replace(canonical(F.col("text")), r"\s+", " "))).alias("n"))
+    lengths = sorted({r.n for r in shapes.collect()})
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), canonical(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("canon"))
-    rows = rows.withColumn("text_digest", _digest(F.col("canon")))
-    digests = F.broadcast(known_digests(docs.sparkSession, known))
-    lines = rows.select("doc_id", "text_digest", F.posexplode(F.split("canon", "\n")).alias("line", "words")).select("doc_id", "text_digest", "line", F.trim("words").alias("words"))
-    hits = lines.filter("words <> ''").withColumn("digest", F.sha2("words", 256)).join(digests, "digest").dropDuplicates(["doc_id", "text_digest", "line"])
-    hits = hits.groupBy(F.col("doc_id").alias("__id"), F.col("text_digest").alias("__text")).agg(F.array_sort(F.collect_set("license")).alias("__licenses"), F.count(F.lit(1)).alias("__lines"))
-    whole = rows.select("doc_id", "text_digest").join(digests.select(F.col("digest").alias("text_digest"), F.col("license").alias("text_license")), "text_digest", "left")
+    lines = F.filter(F.transform(F.split("canon", "\n"), lambda line: F.trim(line)), lambda line: F.length(line).isin(lengths))
+    rows = common.cut(rows.select("doc_id", _digest(F.col("canon")).alias("text_digest"), F.transform(lines, lambda line: F.sha2(line, 256)).alias("lines")), "licences")
+    found = rows.filter("size(lines) > 0").distinct().select("doc_id", "text_digest", F.explode("lines").alias("digest")).join(F.broadcast(table), "digest")
+    hits = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_digest").alias("__text")).agg(F.array_sort(F.collect_set("license")).alias("__licenses"), F.count(F.lit(1)).alias("__lines"))
+    whole = rows.select("doc_id", "text_digest").join(F.broadcast(table.select(F.col("digest").alias("text_digest"), F.col("license").alias("text_license"))), "text_digest", "left")
     return whole.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_digest") == F.col("__text")), "left").select(
         "doc_id",
         "text_digest",
