@@ -8,8 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common, exact_dedup, license_lookup, mixing, near_join, packing, quality, secret_scan, suffix_dedup, topk_search, warc
 
 
+TOKENIZER = "byte_bpe_50k.json"
+#: Target shares of `documents`, op10's and the pipeline's.
+MIX_TARGETS = {
+    "source": {**{f"src{i}": 1.0 for i in range(20)}, "src0": 2.0, mixing.OTHER: 1.0},
+    "lang": {"en": 0.5, "fr": 0.2, "de": 0.15, "es": 0.15, mixing.OTHER: 0.02},
+    "topic": {t: 1.0 for t in mixing.TOPICS},
+}
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return packing.pack(common.documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), with_ids=False)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +57,7 @@ def op9_license_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.weigh(common.documents(spark, sf_dir)).select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "draw", "sampled")
+    return mixing.weigh(common.documents(spark, sf_dir), MIX_TARGETS, public_tokenizers.path(TOKENIZER)).drop("text_key")
 
 
 def queries() -> dict:

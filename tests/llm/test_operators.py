@@ -298,6 +298,91 @@ def test_mixing(docs, empty):
         assert np.allclose(raked.sum(axis) / raked.sum(), t / t.sum(), atol=1e-6)
     p = mixing.calibrate(mixing.rake(mass, targets), mass, 0.3)
     assert p.max() <= 1 and (p * mass).sum() / mass.sum() == pytest.approx(0.3, abs=1e-6)
-    out = mixing.weigh(docs).collect()
-    assert len(out) == docs.count() and all(r.sampled == (r.draw < r.probability) for r in out)
-    assert mixing.weigh(empty).count() == 0
+    assert mixing.rake(np.zeros((2, 2, 2)), [np.ones(2)] * 3).sum() == 0
+
+
+TARGETS = {"source": {"s0": 1.0, "s1": 2.0}, "lang": {"en": 1.0}, "topic": {t: 1.0 for t in mixing.TOPICS}}
+
+
+def test_mixing_against_plain(spark, docs, empty, texts):
+    """Tokens by `tokenizers`, topics by a plain covariance, cells and factors by loops."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    more = docs.union(spark.createDataFrame([(None, "a b", None, None, ""), (3, texts[3], "en", "s0", "")], SCHEMA))
+    out = mixing.weigh(more, TARGETS, path, share=0.4).collect()
+    assert len(out) == len(texts) + 2 and all(r.sampled == (r.draw < r.probability) for r in out)
+    given = [(r.doc_id, r.text or "", r.lang, r.source) for r in more.collect()]
+    ids = [np.array(tok.encode(t, add_special_tokens=False).ids, dtype=np.int64) for _, t, _, _ in given]
+    x = np.zeros((len(given), mixing.TERMS))
+    for i, own in enumerate(ids):
+        for token in own.tolist():
+            x[i, (token * 0x9E3779B97F4A7C15 % (1 << 64)) >> 58] += 1 / len(own)
+    x = np.sqrt(x)
+    english = np.array([g[2] == "en" for g in given])
+    centred = np.where(english[:, None], x - x[english].mean(0), x - x[~english].mean(0))
+    vectors = np.linalg.svd(centred)[2][: mixing.AXES].T
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), range(mixing.AXES)])
+    sides = centred @ vectors
+    sure = np.abs(sides).min(1) > 1e-5
+    topic = [f"t{int(sum((s > 0) << k for k, s in enumerate(row)))}" for row in sides]
+    want = {(d, hashlib.md5(t.encode()).hexdigest()): (len(i) + 1, p) for (d, t, _, _), i, p, ok in zip(given, ids, topic, sure, strict=True) if ok}
+    text_of = {(r.doc_id, r.text_key): hashlib.md5((r.text or "").encode()).hexdigest() for r in more.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).collect()}
+    got = {(r.doc_id, text_of[r.doc_id, r.text_key]): (r.tokens, r.topic) for r in out}
+    assert sure.sum() > 20 and all(got[k] == v for k, v in want.items())
+    # the weighted marginals of the sources that have targets
+    total = {s: sum(r.weight * r.tokens for r in out if r.source == s) for s in ("s0", "s1", "s2")}
+    assert total["s1"] == pytest.approx(2 * total["s0"], rel=1e-3) and total["s2"] == 0
+    assert sum(r.probability * r.tokens for r in out) == pytest.approx(0.4 * sum(r.tokens for r in out), rel=1e-6) or max(r.probability for r in out) == 1
+    kept = mixing.sample(more, TARGETS, path, 0.4)
+    assert kept.columns == more.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in out if r.sampled)
+    assert mixing.weigh(empty, TARGETS, path).count() == 0
+
+
+def test_top_k_on_repeated_rows(spark):
+    """Rows that repeat id and vector are candidates of their own; another vector of the query's id is one too."""
+    rows = [(0, [1.0, 0.0])] * 3 + [(0, [0.5, 0.0]), (1, [2.0, 0.0]), (2, [-1.0, 0.5]), (None, [9.0, 9.0]), (5, None)]
+    out = topk_search.search(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, v int"), "id % 100 = 0", k=4).collect()
+    unit = 1024 * 1024
+    got = {}
+    for r in out:
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    both = sorted(got[0])
+    one = [(1, 1, 2 * unit), (2, 0, unit), (3, 0, unit), (4, 0, unit // 2)]
+    half = [(1, 1, unit), (2, 0, unit // 2), (3, 0, unit // 2), (4, 0, unit // 2)]
+    assert both == sorted(one + half)
+
+
+MIT = """{title}Copyright (c) {who}
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_whole_licences(spark):
+    """Whole texts with other holders, case, wrapping and punctuation; a changed word is no licence."""
+    plain = MIT.format(title="MIT License\n\n", who="2020 Someone")
+    rows = [plain, MIT.format(title="", who="1999-2024 Others, Inc."), plain.upper().replace('"', "''"), " ".join(plain.split("\n\n", 2)[2].split()), plain.replace("without restriction", "with restriction"), None, plain, "x " * 500_000]
+    df = spark.createDataFrame([(i if i < 6 else 0, t, "clash") for i, t in enumerate(rows)], "doc_id long, text string, digest string")
+    out = sorted((r.doc_id, r.text_license or "") for r in license_lookup.lookup(df).collect())
+    assert out == sorted([(0, "MIT"), (1, "MIT"), (2, "MIT"), (3, "MIT"), (4, ""), (5, ""), (0, "MIT"), (0, "")])
+    for name, path in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("MPL-2.0", "MPL-2.0")):
+        file = pathlib.Path("/usr/share/common-licenses") / path
+        if file.exists():
+            assert license_lookup.lookup(spark.createDataFrame([(1, file.read_text())], "doc_id long, text string")).first().text_license == name
