@@ -8,9 +8,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from asof_spark.llm import common, exact_dedup, mixing, near_join, packing, quality
+from asof_spark.llm import common, exact_dedup, mixing, near_join, packing, quality, queries
 
 #: Share of the tokens that the mixing stage keeps in expectation.
 MIX_SHARE = 0.8
@@ -33,13 +32,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled to the target weights, MIX_SHARE of the tokens in expectation."""
-    own = docs.withColumn("__own", F.struct(*docs.columns))
-    return mixing.weigh(own, share=MIX_SHARE).filter("sampled").select("__own.*")
+    return mixing.sample(docs, queries.MIX_TARGETS, public_tokenizers.path(queries.TOKENIZER), MIX_SHARE)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in windows of 1024 tokens; a null or empty text is one end token."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return packing.pack(docs, public_tokenizers.path(queries.TOKENIZER), with_ids=False)
 
 
 STAGES = [
