@@ -18,6 +18,8 @@ REVISIT_BYTES = 100
 BROADCAST_ROWS = 200_000
 #: Compressed bytes after which a task starts another archive file.
 FILE_BYTES = 32 << 20
+#: Compression level of a record; records are short, so higher ones gain little.
+LEVEL = 2
 #: Copies of a repeated row that one task writes at most.
 COPIES = 1_000
 EPOCH = "2024-01-01T00:00:00Z"
@@ -52,7 +54,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out, files = [], []
         for record in b.column(0):
-            packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+            packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
             data = packer.compress(record.as_buffer()) + packer.flush()
             data += _NOTHING if data[-1] else b""
             out.append(data[:-1])
