@@ -20,6 +20,8 @@ BROADCAST_ROWS = 200_000
 FILE_BYTES = 32 << 20
 #: Compression level of a record; records are short, so higher ones gain little.
 LEVEL = 2
+#: Bytes of an archive that are inflated at once.
+CHUNK = 1 << 14
 #: Copies of a repeated row that one task writes at most.
 COPIES = 1_000
 EPOCH = "2024-01-01T00:00:00Z"
@@ -150,14 +152,18 @@ def _records(data: bytes) -> Iterator[tuple]:
     if data[:2] != b"\x1f\x8b":
         yield from (row for _, row in _parse(data))
         return
-    rest, view = b"", memoryview(data)
-    while len(view):
-        member = zlib.decompressobj(31)
-        rest += member.decompress(view)
-        if not member.eof:
-            raise ValueError("the last gzip member is cut short")
-        view = view[len(view) - len(member.unused_data) :] if member.unused_data else view[:0]
-        done = 0
+    rest, view, at = b"", memoryview(data), 0
+    while at < len(view):
+        # fed in small chunks, since what follows a member is copied when the member ends
+        member, parts = zlib.decompressobj(31), [rest]
+        while not member.eof:
+            chunk = view[at : at + CHUNK]
+            if not len(chunk):
+                raise ValueError("the last gzip member is cut short")
+            parts.append(member.decompress(chunk))
+            at += len(chunk)
+        at -= len(member.unused_data)
+        rest, done = b"".join(parts), 0
         for done, row in _parse(rest, whole=False):
             yield row
         rest = rest[done:]
