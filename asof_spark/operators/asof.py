@@ -196,18 +196,57 @@ def build_features(games: DataFrame, logs: DataFrame, venues: DataFrame, mode: s
     )
 
 
+def team_state(games: DataFrame, venues: DataFrame) -> DataFrame:
+    """team_id, season, date, ord and what each team's season amounts to after every played game: form, run difference, games and offset."""
+    offsets = venues.select(F.col("venue_id").alias("__v"), F.col("offset").alias("last_offset"))
+    long = team_long(games).join(F.broadcast(offsets) if venues.limit(10_001).count() <= 10_000 else offsets, F.col("venue_id") == F.col("__v"), "left")
+    season = Window.partitionBy("team_id", "season").orderBy("ord")
+    near, all_ = season.rowsBetween(1 - FORM_GAMES, 0), season.rowsBetween(Window.unboundedPreceding, 0)
+    decided, n = F.count("won").over(near), F.count(F.lit(1)).over(all_)
+    return long.select(
+        "team_id", "season", "date", "ord", F.when(decided >= FORM_LEAST, F.sum("won").over(near) / decided).alias("form_15"),
+        F.when(n >= FORM_LEAST, F.sum("run_diff").over(all_) / n).alias("run_diff_pg"), n.cast("int").alias("games_played"), "last_offset",
+    )
+
+
+def _probed(targets: DataFrame, state: DataFrame, venues: DataFrame, side: str) -> DataFrame:
+    """game_pk and the columns of one side: the team's last state of the season before the target's day.
+
+    A target meets the games of its team's season, so its work is bounded by a season; rest days look at all seasons.
+    """
+    probe = targets.select("game_pk", F.col(f"{side}_team_id").alias("team_id"), F.col("season").alias("__season"), F.col("date").alias("__date"), "venue_id")
+    before = state.withColumnRenamed("date", "last_date")
+    met = probe.join(before, "team_id").filter("last_date < __date")
+    same = F.col("season") == F.col("__season")
+    last = F.max_by(F.when(same, F.struct("form_15", "run_diff_pg", "games_played", "last_offset")), F.when(same, F.col("ord")))
+    found = met.groupBy("game_pk").agg(F.max("last_date").alias("last_date"), last.alias("s"))
+    offsets = venues.select("venue_id", F.col("offset").alias("__offset"))
+    rows = probe.join(found, "game_pk", "left").join(offsets, "venue_id", "left")
+    played = F.coalesce("s.games_played", F.lit(0))
+    return rows.select(
+        "game_pk", F.col("s.form_15").alias(f"{side}_form_15"), F.col("s.run_diff_pg").alias(f"{side}_run_diff_pg"), played.alias(f"{side}_games_played"), (played < FORM_GAMES).alias(f"{side}_form_low_confidence"),
+        F.coalesce(F.least(F.datediff("__date", "last_date"), F.lit(REST_CAP)), F.lit(REST_CAP)).alias(f"{side}_rest_days"),
+        F.when(F.col("__offset").isNotNull(), F.coalesce(F.abs(F.col("__offset") - F.col("s.last_offset")), F.lit(0))).alias(f"{side}_tz_delta"),
+    )
+
+
 def live_features(games: DataFrame, logs: DataFrame, venues: DataFrame, targets: DataFrame) -> DataFrame:
     """Features of games not played yet (targets: game_pk, season, date, game_number, teams, venue and probables).
 
-    Targets join the history without results, so only strictly earlier days count for them; target rows come back.
+    Only played games of strictly earlier days count: a team's state is computed over played games and looked up for each
+    target, so a slate can hold several games of a team and several days.
     """
     blank = targets.select("game_pk", "season", "date", "game_number", "home_team_id", "away_team_id", "venue_id", "home_probable_id", "away_probable_id", F.lit(True).alias("is_target"))
     played = games.select(*[c for c in blank.columns if c in games.columns], "home_score", "away_score", "home_win").withColumn("is_target", F.lit(False))
     merged = played.unionByName(blank, allowMissingColumns=True)
-    # targets of a day come before its games, so results of that day are not seen; they do not follow each other either
+    # targets of a day come before its games, so results of that day are not seen
     ordered = canonical_order(merged.withColumn("game_number", F.when(F.col("is_target"), F.col("game_number") - 1_000).otherwise(F.col("game_number"))))
     out = build_features(ordered, logs, venues, "predict", park_games=games)
-    return out.join(targets.select("game_pk"), "game_pk", "left_semi").withColumn("game_number", F.col("game_number") + 1_000)
+    out = out.join(targets.select("game_pk"), "game_pk", "left_semi").withColumn("game_number", F.col("game_number") + 1_000)
+    state = team_state(games if "ord" in games.columns else canonical_order(games), venues)
+    home, away = _probed(targets, state, venues, "home").drop("home_tz_delta"), _probed(targets, state, venues, "away")
+    own = {c for c in (*home.columns, *away.columns) if c != "game_pk"}
+    return out.drop(*own).join(home, "game_pk").join(away, "game_pk").select(*out.columns)
 
 
 def low_confidence_reasons(pitcher: Column, low: Column) -> Column:
