@@ -11,6 +11,8 @@ from . import common
 PREFIX_BYTES = 256
 #: Key sets of at most so many rows (about 24 bytes each) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Beyond BROADCAST_ROWS, the groups with more than this part of all copies (so at most as many groups) are still broadcast.
+HOT_GROUPS = 10_000
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -45,6 +47,20 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows left joined to groups by __digest, without a hot task.
+
+    Few groups are broadcast. Else only the hot ones are, at most HOT_GROUPS, and their rows are not shuffled; the
+    others are met by shuffle. That second way reads rows twice.
+    """
+    if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), "__digest", "left")
+    is_hot = F.col("__size") > groups.agg(F.sum("__size")).first()[0] / HOT_GROUPS
+    hot = F.broadcast(groups.filter(is_hot))
+    others = rows.join(hot, "__digest", "left_anti").join(groups.filter(~is_hot).hint("merge"), "__digest", "left")
+    return rows.join(hot, "__digest").unionByName(others)
+
+
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_sha256, keep_id, group_size and kept; of equal texts the row with the largest id is kept.
 
@@ -59,7 +75,7 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.withColumn("__digest", digest)
     row_id = F.col(f"`{id_col}`")
     keep = F.when(F.col("__size").isNull(), row_id).otherwise(F.col("__keep"))
-    return rows.join(common.small(groups, BROADCAST_ROWS), "__digest", "left").select(
+    return _with_groups(rows, groups).select(
         *[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new],
         F.col("__digest").alias("text_sha256"),
         keep.alias("keep_id"),

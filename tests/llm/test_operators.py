@@ -191,6 +191,18 @@ def test_exact_dedup(docs, empty, texts):
     assert exact_dedup.mark_copies(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot_groups", [1, 3, 10_000])
+def test_exact_dedup_of_many_groups(docs, spark, monkeypatch, hot_groups):
+    """Whatever way the groups are met, the result is that of the broadcast."""
+    few = docs.select("doc_id", "text")
+    more = [(10_000 + i, None if i % 3 else "same text") for i in range(60)]
+    rows = few.union(few.filter("doc_id < 5")).union(spark.createDataFrame(more, few.schema))
+    want = sorted(map(str, exact_dedup.mark_copies(rows).collect()))
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(exact_dedup, "HOT_GROUPS", hot_groups)
+    assert sorted(map(str, exact_dedup.mark_copies(rows).collect())) == want
+
+
 def test_warc(spark):
     rows = [(3, "http://a/1", "x" * 200), (1, None, "x" * 200), (2, "http://a/\r\nb", "short"), (5, "u", "short"), (6, "u", None), (7, "u", "a\r\n\r\nWARC/1.1\r\né" * 20), (9, "u", "x" * 200), (8, "u", "x" * (17 << 20))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
