@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .asof import FORM_GAMES, FORM_LEAST, ORDER, team_long
+from .metrics import percentiles
 
 FEATURES = ("home_form_15", "away_form_15", "home_run_diff_pg", "away_run_diff_pg", "home_rest_days", "away_rest_days", "away_tz_delta", "home_sp_fip", "away_sp_fip", "home_sp_k_rate", "away_sp_k_rate", "park_factor")
 
@@ -139,11 +140,11 @@ def season_reset(long: DataFrame) -> DataFrame:
 
 
 def feature_distribution(features: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
-    def make(c: str):
-        v = F.col(c).cast("double")
-        return F.min(v), F.percentile(v, F.lit(0.01)), F.percentile(v, F.lit(0.5)), F.percentile(v, F.lit(0.99)), F.max(v)
-
-    return per_column(features, make, columns, "min", "p1", "median", "p99", "max")
+    """name, min, p1, median, p99, max; a column without values has nulls. features are read several times and should be stored."""
+    ends = per_column(features, lambda c: (F.min(F.col(c).cast("double")), F.max(F.col(c).cast("double"))), columns, "min", "max")
+    long = features.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*")
+    q = F.col("q")
+    return ends.join(percentiles(long, [0.01, 0.5, 0.99]), "name", "left").select("name", "min", q[0].alias("p1"), q[1].alias("median"), q[2].alias("p99"), "max")
 
 
 def label_correlations(features: DataFrame, columns: tuple[str, ...] = FEATURES, alarm: float = 0.20) -> DataFrame:
@@ -175,15 +176,26 @@ def shuffled_labels(rows: DataFrame, seed: int = 1, label: str = "home_win") ->
     return keys.join(labels, "n").select("game_pk", label)
 
 
-def recompute_form(games_ordered: DataFrame, keys: DataFrame) -> DataFrame:
-    """form_15 and run_diff_pg of the sampled games by their definition: a strict self-join, independent of the windows."""
-    long = team_long(games_ordered)
-    mine = long.join(keys.select("game_pk"), "game_pk", "left_semi").select(F.col("game_pk").alias("g"), F.col("team_id").alias("t"), F.col("season").alias("s"), F.col("ord").alias("o"))
-    before = mine.join(long, (F.col("t") == F.col("team_id")) & (F.col("s") == F.col("season")) & (F.col("ord") < F.col("o")), "left")
-    rank = F.row_number().over(Window.partitionBy("g", "t").orderBy(F.desc_nulls_last("ord")))
-    near = F.when(F.col("k") <= FORM_GAMES, F.col("won"))
-    out = before.withColumn("k", rank).groupBy("g", "t").agg(F.sum(near).alias("w"), F.count(near).alias("d"), F.sum("run_diff").alias("r"), F.count("ord").alias("n"))
-    return out.select(F.col("g").alias("game_pk"), F.col("t").alias("team_id"), F.when(F.col("d") >= FORM_LEAST, F.col("w") / F.col("d")).alias("form_15"), F.when(F.col("n") >= FORM_LEAST, F.col("r") / F.col("n")).alias("run_diff_pg"))
+def recompute_form(games_ordered: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """form_15 and run_diff_pg of every game (with keys: of their game_pk) by their definition, with joins instead of windows over rows.
+
+    Form: each game is sent to the next FORM_GAMES places of its team's season. Run difference: totals of the team's days,
+    joined to the later days of the season (a calendar bounds them), and to later games of the same day.
+    """
+    key = ["team_id", "season"]
+    long = team_long(games_ordered).select("game_pk", *key, "date", "ord", "won", "run_diff")
+    placed = long.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("ord")))
+    ahead = F.explode(F.sequence(F.col("place") + 1, F.col("place") + FORM_GAMES))
+    near = placed.select(*key, "won", ahead.alias("place")).groupBy(*key, "place").agg(F.sum("won").alias("w"), F.count("won").alias("d"))
+    days = long.groupBy(*key, "date").agg(F.sum("run_diff").alias("r"), F.count(F.lit(1)).alias("n"))
+    earlier = days.select(*key, F.col("date").alias("day"), "r", "n")
+    past = days.select(*key, "date").join(earlier, key).filter("day < date").groupBy(*key, "date").agg(F.sum("r").alias("r"), F.sum("n").alias("n"))
+    same = long.select(*key, "date", F.col("ord").alias("o"), F.col("run_diff").alias("x"))
+    today = long.select("game_pk", *key, "date", "ord").join(same, [*key, "date"]).filter("o < ord").groupBy("game_pk", "team_id").agg(F.sum("x").alias("r2"), F.count(F.lit(1)).alias("n2"))
+    asked = placed if keys is None else placed.join(keys.select("game_pk"), "game_pk", "left_semi")
+    rows = asked.join(near, [*key, "place"], "left").join(past, [*key, "date"], "left").join(today, ["game_pk", "team_id"], "left")
+    n, r = (F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)) for a, b in (("n", "n2"), ("r", "r2")))
+    return rows.select("game_pk", "team_id", F.when(F.col("d") >= FORM_LEAST, F.col("w") / F.col("d")).alias("form_15"), F.when(n >= FORM_LEAST, r / n).alias("run_diff_pg"))
 
 
 def differing(a: DataFrame, b: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...], tolerance: float = 1e-9) -> DataFrame:

@@ -27,15 +27,57 @@ def evaluate(df: DataFrame, *by: str, at_half: bool = False, clip: float = CLIP)
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(right).alias("accuracy"), log_loss_of(y, c).alias("log_loss"), F.avg((c - y) * (c - y)).alias("brier"), F.avg(p).alias("mean_pred"), F.avg(y).alias("base_rate"))
 
 
+#: Ranges of p or of a value over which running counts are taken, so that no window holds all rows.
+RANGES = 1 << 14
+
+
 def auc(df: DataFrame, *by: str) -> DataFrame:
-    """Area under the curve with ties averaged; null with one class or one value of p. Sorts distinct p only."""
-    cells = df.groupBy(*by, "p").agg(F.sum("y").alias("pos"), (F.count(F.lit(1)) - F.sum("y")).alias("neg"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    below = F.coalesce(F.sum("neg").over(w.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = cells.withColumn("won", F.col("pos") * (below + F.col("neg") / 2.0)).groupBy(*by).agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count(F.lit(1)).alias("values"))
+    """Area under the curve with ties averaged; null with one class or one value of p.
+
+    Counts run over the table of ranges of p first and then inside a range, over distinct p only.
+    """
+    p = F.col("p").cast("double")
+    # monotone in p: null, then the ranges of [0, 1], then NaN, as in a sort
+    at = F.when(p.isNull(), -1).when(F.isnan(p), RANGES + 1).otherwise(F.least(F.greatest(F.floor(p * RANGES), F.lit(0)), F.lit(RANGES)))
+    cells = df.groupBy(*by, "p").agg(F.sum("y").alias("pos"), (F.count(F.lit(1)) - F.sum("y")).alias("neg")).withColumn("__at", at.cast("int"))
+    ranges = cells.groupBy(*by, "__at").agg(F.sum("neg").alias("__neg"))
+    before = Window.partitionBy(*by).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    ranges = ranges.withColumn("__before", F.coalesce(F.sum("__neg").over(before), F.lit(0))).drop("__neg")
+    inside = Window.partitionBy(*by, "__at").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    left, right = cells.withColumn("__in", F.coalesce(F.sum("neg").over(inside), F.lit(0))).alias("c"), ranges.alias("r")
+    same = F.col("c.__at") == F.col("r.__at")
+    for c in by:
+        same = same & F.col(f"c.{c}").eqNullSafe(F.col(f"r.{c}"))
+    rows = left.join(right, same).select("c.*", (F.col("r.__before") + F.col("c.__in")).alias("below"))
+    won = F.col("pos") * (F.col("below") + F.col("neg") / 2.0)
+    total = rows.groupBy(*by).agg(F.sum(won).alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count(F.lit(1)).alias("values"))
     return total.select(*by, F.when((F.col("pos") > 0) & (F.col("neg") > 0) & (F.col("values") > 1), F.col("won") / (F.col("pos") * F.col("neg"))).alias("auc"))
 
 
+def percentiles(long: DataFrame, at: list[float]) -> DataFrame:
+    """name, q: exact interpolated percentiles of value for each name (a short list of names). long: name, value.
+
+    Distinct values are counted first, and their counts run over ranges of equal width, then inside the ranges that hold a
+    wanted rank. Nulls are left out; a name without values has no row.
+    """
+    cells = long.filter("value is not null").groupBy("name", F.col("value").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    span = cells.groupBy("name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("total"))
+    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * RANGES)).otherwise(0)
+    placed = cells.join(F.broadcast(span), "name").withColumn("__at", F.least(place, F.lit(RANGES)).cast("int"))  # one row a name
+    ranges = placed.groupBy("name", "__at").agg(F.sum("n").alias("m"), F.first("total").alias("total"))
+    ranges = ranges.withColumn("first", F.sum("m").over(Window.partitionBy("name").orderBy("__at")) - F.col("m"))  # RANGES rows at most
+    spot = (F.col("total") - 1) * F.col("f")
+    wanted = ranges.withColumn("k", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(f)).alias("f")) for i, f in enumerate(at)]))).select("*", "k.*")
+    wanted = wanted.select("name", "__at", "first", "i", spot.alias("spot"), F.explode(F.array(F.floor(spot), F.ceil(spot))).alias("rank"))
+    wanted = wanted.filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("m"))).distinct()
+    here = placed.join(F.broadcast(wanted.select("name", "__at", "first").distinct()), ["name", "__at"])  # two a percentile
+    upto = here.withColumn("end", F.col("first") + F.sum("n").over(Window.partitionBy("name", "__at").orderBy("value")))
+    hit = upto.select("name", "__at", "value", "n", "end").join(F.broadcast(wanted.drop("first")), ["name", "__at"]).filter((F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("n")))
+    ends = hit.groupBy("name", "i").agg(F.first("spot").alias("spot"), F.min("value").alias("a"), F.max("value").alias("b"))
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("spot") - F.col("spot")) * F.col("a") + (F.col("spot") - F.floor("spot")) * F.col("b"))
+    return ends.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))), lambda x: x["v"]).alias("q"))
+
+
 def compare(results: DataFrame) -> DataFrame:
     return results.withColumn("rank", F.row_number().over(Window.orderBy("log_loss", "model")))
 
@@ -73,13 +115,14 @@ def ece(table: DataFrame) -> DataFrame:
 
 def distribution(df: DataFrame, low: float = 0.35, high: float = 0.68) -> DataFrame:
     at = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
-    q = df.agg(F.min("p").alias("min"), F.percentile("p", F.array(*map(F.lit, at))).alias("q"), F.max("p").alias("max"), F.avg(F.when((F.col("p") < low) | (F.col("p") > high), 1.0).otherwise(0.0)).alias("outside"))
+    shape = df.agg(F.min("p").alias("min"), F.max("p").alias("max"), F.avg(F.when((F.col("p") < low) | (F.col("p") > high), 1.0).otherwise(0.0)).alias("outside"))
+    q = shape.join(percentiles(df.select(F.lit("p").alias("name"), F.col("p").alias("value")), at), how="left")  # one row each
     return q.select("min", *[F.col("q")[i].alias(f"p{round(100 * a)}") for i, a in enumerate(at)], "max", "outside")
 
 
 def by_decile(df: DataFrame, parts: int = 10) -> DataFrame:
     """Equal-count bins by exact quantile edges, right-closed: n, mean_pred, observed, gap."""
-    edges = df.agg(F.percentile("p", F.array(*[F.lit(i / parts) for i in range(1, parts)])).alias("edges"))
+    edges = percentiles(df.select(F.lit("p").alias("name"), F.col("p").alias("value")), [i / parts for i in range(1, parts)]).select(F.col("q").alias("edges"))
     binned = df.join(F.broadcast(edges)).withColumn("decile", F.size(F.filter("edges", lambda e: e < F.col("p"))))  # one row of edges
     return binned.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_pred"), F.avg("y").alias("observed")).withColumn("gap", F.col("mean_pred") - F.col("observed"))
 

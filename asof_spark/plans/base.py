@@ -103,9 +103,15 @@ PARTS = {
       win AS (SELECT i.game_pk, i.pitcher_id, i.is_home, i.is_starter, i.b_o >= 180 AS enough, i.b_o - coalesce(j.b_o, 0) AS outs, i.b_hr - coalesce(j.b_hr, 0) AS hr, i.b_bb - coalesce(j.b_bb, 0) AS bb, i.b_hb - coalesce(j.b_hb, 0) AS hb, i.b_k - coalesce(j.b_k, 0) AS k, i.b_bf - coalesce(j.b_bf, 0) AS bf
         FROM cum i LEFT JOIN walked w ON w.game_pk = i.game_pk AND w.pitcher_id = i.pitcher_id LEFT JOIN cum j ON j.pitcher_id = i.pitcher_id AND j.ord = w.stop),
       own AS (SELECT game_pk, pitcher_id, is_home, is_starter, enough, CAST(outs AS BIGINT) AS own_outs, CASE WHEN outs > 0 THEN CAST(13 * hr + 3 * (bb + hb) - 2 * k AS DOUBLE) / (outs / 3.0) END AS own_fip, CASE WHEN bf > 0 THEN CAST(k AS DOUBLE) / bf END AS own_k FROM win)""",
-    "league": """league AS (SELECT g.game_pk, CASE WHEN sum(ip_outs) > 0 THEN CAST(13 * sum(home_runs) + 3 * (sum(walks) + sum(hit_by_pitch)) - 2 * sum(strikeouts) AS DOUBLE) / (sum(ip_outs) / 3.0) END AS league_fip,
-        CASE WHEN sum(batters_faced) > 0 THEN CAST(sum(strikeouts) AS DOUBLE) / sum(batters_faced) END AS league_k
-      FROM o g LEFT JOIN rows_ r ON r.is_starter AND r.ord < g.ord AND r.date >= g.date - 365 GROUP BY g.game_pk)""",
+    "league": """counts AS (SELECT g.game_pk, g.date, g.ord, coalesce(sum(ip_outs), 0) AS o, coalesce(sum(home_runs), 0) AS hr, coalesce(sum(walks), 0) + coalesce(sum(hit_by_pitch), 0) AS bb, coalesce(sum(strikeouts), 0) AS k, coalesce(sum(batters_faced), 0) AS bf
+        FROM o g LEFT JOIN rows_ r ON r.is_starter AND r.game_pk = g.game_pk GROUP BY 1, 2, 3),
+      days AS (SELECT date, sum(o) OVER w AS o, sum(hr) OVER w AS hr, sum(bb) OVER w AS bb, sum(k) OVER w AS k, sum(bf) OVER w AS bf
+        FROM (SELECT date, sum(o) AS o, sum(hr) AS hr, sum(bb) AS bb, sum(k) AS k, sum(bf) AS bf FROM counts GROUP BY 1)
+        WINDOW w AS (ORDER BY date RANGE BETWEEN INTERVAL 365 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)),
+      pooled AS (SELECT c.game_pk, coalesce(d.o, 0) + coalesce(sum(c.o) OVER w, 0) AS o, coalesce(d.hr, 0) + coalesce(sum(c.hr) OVER w, 0) AS hr, coalesce(d.bb, 0) + coalesce(sum(c.bb) OVER w, 0) AS bb,
+          coalesce(d.k, 0) + coalesce(sum(c.k) OVER w, 0) AS k, coalesce(d.bf, 0) + coalesce(sum(c.bf) OVER w, 0) AS bf
+        FROM counts c JOIN days d USING (date) WINDOW w AS (PARTITION BY c.date ORDER BY c.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      league AS (SELECT game_pk, CASE WHEN o > 0 THEN CAST(13 * hr + 3 * bb - 2 * k AS DOUBLE) / (o / 3.0) END AS league_fip, CASE WHEN bf > 0 THEN CAST(k AS DOUBLE) / bf END AS league_k FROM pooled)""",
     "park": """park AS (SELECT s.season, v.venue_id, (CAST(sum(v.runs) AS DOUBLE) / sum(v.n)) / any_value(l.rate) AS park_factor FROM (SELECT DISTINCT season FROM o) s
         JOIN (SELECT season, venue_id, sum(home_score + away_score) AS runs, count(*) AS n FROM o WHERE venue_id IS NOT NULL AND season <> 2020 GROUP BY 1, 2) v ON v.season BETWEEN s.season - 3 AND s.season - 1
         JOIN (SELECT s2.season, CAST(sum(home_score + away_score) AS DOUBLE) / count(*) AS rate FROM (SELECT DISTINCT season FROM o) s2 JOIN o ON o.season BETWEEN s2.season - 3 AND s2.season - 1 AND o.venue_id IS NOT NULL AND o.season <> 2020 GROUP BY 1) l ON l.season = s.season
@@ -138,6 +144,21 @@ def sql(body: str, *parts: str) -> str:
     return "WITH " + ",\n".join(PARTS[p] for p in order) + "\n" + body
 
 
+def replay_sql(body: str, order: str, games: str = "played", pool: str = "0", won: str = "home_win", margin: bool = False) -> str:
+    """body over chain (pool, n, game_pk, season, h, a, ratings before the game, state after it; teams count from 1), one step a game."""
+    weight = "ln(abs(diff) + 1) * 2.2 / ((CASE WHEN won = 1 THEN home_elo - away_elo ELSE away_elo - home_elo END) * 0.001 + 2.2)" if margin else "1.0"
+    return sql(
+        f"""line AS (SELECT {pool} AS pool, game_pk, season, home_win, home_team_id + 1 AS h, away_team_id + 1 AS a, {won} AS won, CAST(home_score - away_score AS DOUBLE) AS diff, row_number() OVER (PARTITION BY {pool} ORDER BY {order}) AS n FROM {games}),
+      chain AS (SELECT pool, 0::BIGINT AS n, NULL::BIGINT AS game_pk, NULL::INT AS season, NULL::INT AS h, NULL::INT AS a, NULL::DOUBLE AS home_elo, NULL::DOUBLE AS away_elo, list_transform(range(30), lambda x: 1500.0::DOUBLE) AS state FROM (SELECT DISTINCT pool FROM line)
+        UNION ALL SELECT pool, n, game_pk, season, h, a, home_elo, away_elo, list_transform(st, lambda x, i: CASE i WHEN h THEN x + change WHEN a THEN x - change ELSE x END)
+        FROM (SELECT *, CASE WHEN won IS NULL THEN 0.0 ELSE 4.0::DOUBLE * {weight} * (won - 1 / (1 + pow(10, -(home_elo + 25 - away_elo) / 400))) END AS change
+        FROM (SELECT *, st[h] AS home_elo, st[a] AS away_elo
+        FROM (SELECT l.pool, l.n, l.game_pk, l.season, l.h, l.a, l.won, l.diff, CASE WHEN l.season <> c.season THEN list_transform(c.state, lambda x: x + (1500 - x) * (1.0::DOUBLE / 3)) ELSE c.state END AS st
+        FROM chain c JOIN line l ON l.pool = c.pool AND l.n = c.n + 1))))
+{body}""", "played"
+    ).replace("WITH ", "WITH RECURSIVE ", 1).replace("\nline AS", ",\nline AS", 1)
+
+
 def r(column: str, name: str | None = None) -> str:
     return f"round({column}, {DIGITS}) AS {name or column}"
 

@@ -9,7 +9,7 @@ from asof_spark.functions import scalars
 from asof_spark.operators import asof, normalize, ratings, readers, splits
 from asof_spark.sources import payloads, sinks
 
-from .base import DIGITS, FEATURE_SQL, Base, r, rounded, sql
+from .base import DIGITS, FEATURE_SQL, Base, r, replay_sql, rounded, sql
 
 Q, SQL = {}, {}
 DAY = lambda s: F.lit(s).cast("date")
@@ -382,12 +382,32 @@ def d20_low_confidence_reasons(b):
     return rows.select("game_pk", "side", asof.low_confidence_reasons(F.col("pitcher_id"), F.col("low_confidence")).alias("reason"))
 
 
-@query()
+# Every team's last five distinct starters before the day, with the walk back from the end of their appearances.
+_ROTATION = """before AS (SELECT * FROM cum WHERE date < DATE '2001-06-01'),
+  tot AS (SELECT pitcher_id, sum(ip_outs) AS o, sum(home_runs) AS hr, sum(walks) + sum(hit_by_pitch) AS bb, sum(strikeouts) AS k, sum(batters_faced) AS bf FROM before GROUP BY 1),
+  stops AS (SELECT t.pitcher_id, max(j.ord) AS stop FROM tot t JOIN before j ON j.pitcher_id = t.pitcher_id AND t.o - j.b_o >= 180 GROUP BY 1),
+  state AS (SELECT t.pitcher_id, t.o >= 180 AS enough, t.o - coalesce(j.b_o, 0) AS o, t.hr - coalesce(j.b_hr, 0) AS hr, t.bb - coalesce(j.b_bb + j.b_hb, 0) AS bb, t.k - coalesce(j.b_k, 0) AS k, t.bf - coalesce(j.b_bf, 0) AS bf
+    FROM tot t LEFT JOIN stops s USING (pitcher_id) LEFT JOIN before j ON j.pitcher_id = t.pitcher_id AND j.ord = s.stop),
+  pool AS (SELECT CAST(13 * sum(home_runs) + 3 * (sum(walks) + sum(hit_by_pitch)) - 2 * sum(strikeouts) AS DOUBLE) / (sum(ip_outs) / 3.0) AS fip, CAST(sum(strikeouts) AS DOUBLE) / sum(batters_faced) AS k FROM before WHERE is_starter AND date >= DATE '2001-06-01' - 365),
+  recent AS (SELECT * FROM (SELECT team_id, pitcher_id, row_number() OVER (PARTITION BY team_id ORDER BY max(ord) DESC, pitcher_id) AS place FROM before WHERE is_starter GROUP BY 1, 2) WHERE place <= 5),
+  rotation AS (SELECT team_id, avg(CASE WHEN enough THEN CAST(13 * s.hr + 3 * s.bb - 2 * s.k AS DOUBLE) / (s.o / 3.0) ELSE pool.fip END) AS rotation_fip, avg(CASE WHEN enough THEN CAST(s.k AS DOUBLE) / s.bf ELSE pool.k END) AS rotation_k, count(*) AS starters
+    FROM recent LEFT JOIN state s USING (pitcher_id) CROSS JOIN pool GROUP BY 1)"""
+
+
+def _rotation_sql(body: str) -> str:
+    return sql(body, "cum", "long").replace("\n" + body, ",\n" + _ROTATION + "\n" + body)
+
+
+@query(_rotation_sql(f"SELECT team_id, {r('rotation_fip')}, {r('rotation_k')}, starters FROM rotation"))
 def d21_rotation(b):
     return asof.rotation(b.rows, b.ordered, DAY("2001-06-01"))
 
 
-@query()
+_SEASON_RUNS = _SEASON.replace("count(*) AS gp,", "count(*) AS gp, CASE WHEN count(*) >= 5 THEN CAST(sum(run_diff) AS DOUBLE) / count(*) END AS rd,")
+
+
+@query(_rotation_sql(f"""SELECT t.team_id, t.side, {r('form', 'form_15')}, {r('rd', 'run_diff_pg')}, CAST(coalesce(least(date_diff('day', s.last, DATE '2001-06-01'), 5), 5) AS INT) AS rest_days, {r('rotation_fip')}, {r('rotation_k')}, starters, 0 AS away_tz_delta
+  FROM (SELECT DISTINCT CAST(unnest([team_id, (team_id + 1) % 30]) AS INT) AS team_id, unnest(['home', 'away']) AS side FROM (SELECT home_team_id AS team_id FROM games UNION SELECT away_team_id FROM games) WHERE team_id % 2 = 0) t LEFT JOIN {_SEASON_RUNS} s USING (team_id) LEFT JOIN rotation USING (team_id)"""))
 def d22_team_components(b):
     live = asof.live_features(b.played, b.logs, b.venues, targets_of(b))
     rot = asof.rotation(b.rows, b.ordered, DAY("2001-06-01"))
@@ -411,19 +431,26 @@ def e7_score_snapshot(b):
     return ratings.score_snapshot(b.games.filter("game_type = 'R'"), b.ratings).select("game_pk", "elo_prob_home")
 
 
-@query()
+_BY_HOUR, _BY_NUMBER = "date, start_hour, game_pk", "date, start_hour, game_number, game_pk"
+_BEFORE = f"{r('home_elo')}, {r('away_elo')}, round(1 / (1 + pow(10, -(home_elo + 25 - away_elo) / 400)), {DIGITS}) AS elo_prob_home"
+# The last state of each pool, less the teams that it never met; a tie is a loss of the home side.
+_AFTER = f"""SELECT CAST(pool AS BIGINT) AS pool, CAST(team_id - 1 AS INT) AS team_id, round(state[team_id], {DIGITS}) AS rating FROM (SELECT pool, arg_max(state, n) AS state FROM chain GROUP BY 1)
+  JOIN (SELECT pool, h AS team_id FROM line UNION SELECT pool, a FROM line) USING (pool)"""
+
+
+@query(replay_sql(_AFTER, _BY_NUMBER, pool="season", won="CAST(home_score > away_score AS INT)", margin=True))
 def e2_update(b):
     """Ratings after one game of each pairing by the step function, on the replay of a pool of seasons."""
     return ratings.build_ratings(b.played.withColumn("pool", F.col("season")), "pool", use_margin=True)
 
 
-@query()
+@query(replay_sql(f"SELECT game_pk, {_BEFORE} FROM chain WHERE n > 0", _BY_HOUR))
 def e3_regression(b):
     """One pool over all seasons: the regression at each season's start takes effect."""
     return ratings.replay_elo(b.played.withColumn("pool", F.lit(0)), "pool").drop("pool")
 
 
-@query()
+@query(replay_sql(_AFTER, _BY_NUMBER, won="CAST(home_score > away_score AS INT)"))
 def e4_build_ratings(b):
     return ratings.build_ratings(b.played)
 
@@ -433,12 +460,15 @@ def replayed_games(b):
     return readers.load_games(b.games, include_postseason=True, exclude_seasons=(), matchups_only=False)
 
 
-@query()
+REPLAY = replay_sql(f"SELECT game_pk, CAST(pool AS BIGINT) AS pool, {_BEFORE} FROM chain WHERE n > 0", _BY_HOUR, "(SELECT * FROM games WHERE is_final AND game_type IN ('R', 'F', 'D', 'L', 'W'))")
+
+
+@query(REPLAY)
 def e5_replay_elo(b):
     return ratings.replay_elo(replayed_games(b))
 
 
-@query()
+@query(replay_sql(f"SELECT game_pk, season, home_win, round(1 / (1 + pow(10, -(home_elo + 25 - away_elo) / 400)), {DIGITS}) AS elo_prob_home, CAST(0.54 AS DOUBLE) AS baseline_prob_home FROM chain JOIN (SELECT game_pk, home_win FROM line) USING (game_pk) WHERE season = 2000 AND home_win IS NOT NULL", _BY_HOUR))
 def e6_backtest(b):
     return ratings.backtest(ratings.replay_elo(b.played), b.played, 2000)
 

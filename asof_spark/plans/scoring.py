@@ -12,17 +12,22 @@ from asof_spark.sources.sinks import folder
 from asof_spark.streaming import refresh
 
 from .base import DIGITS, Base, r, sql
-from .batch import _TEST, _TRAIN, _TUNE, _VAL, DAY, SQL, query, replayed_games
+from .batch import _TEST, _TRAIN, _TUNE, _VAL, DAY, REPLAY, SQL, query, replayed_games
 
 D = DIGITS
 
 
+def stored(b: Base, rows: DataFrame, name: str) -> DataFrame:
+    """rows, written once to the shared folder and read back, for what reads them many times."""
+    path = folder(b.spark, name)
+    rows.write.parquet(path)
+    return b.spark.read.schema(rows.schema).parquet(path)
+
+
 def split_of(b: Base, seasons) -> DataFrame:
     """Rows of a split; the evaluation rows are written once per query, since fits read them many times."""
     if not hasattr(b, "stored"):
-        rows, path = b.eval_rows, folder(b.spark, "features")
-        rows.write.parquet(path)
-        b.stored = b.spark.read.schema(rows.schema).parquet(path)
+        b.stored = stored(b, b.eval_rows, "features")
     return splits.load_split(b.stored, seasons)
 
 
@@ -498,7 +503,7 @@ _PER = lambda body: " UNION ALL ".join(body.format(c=c) for c in audits.FEATURES
 
 @query(sql(_PER("SELECT '{c}' AS name, round(min({c}), 7) AS min, round(quantile_cont({c}::DOUBLE, 0.01), 7) AS p1, round(quantile_cont({c}::DOUBLE, 0.5), 7) AS median, round(quantile_cont({c}::DOUBLE, 0.99), 7) AS p99, round(max({c}), 7) AS max FROM features"), "features"))
 def l10_feature_distribution(b):
-    return audits.feature_distribution(b.features)
+    return audits.feature_distribution(stored(b, b.features.select(*audits.FEATURES), "features"))
 
 
 @query(sql(_PER("SELECT '{c}' AS name, round(corr({c}, home_win), 7) AS corr, abs(corr({c}, home_win)) > 0.2 AS alarm FROM features WHERE home_win IS NOT NULL"), "features"))
@@ -518,9 +523,9 @@ def l13_shuffled_labels(b):
     return mixed.agg(F.count(F.lit(1)).alias("n"), F.sum("home_win").alias("wins"), (F.abs(F.corr("p", F.col("home_win").cast("double"))) < 0.06).alias("weak"))
 
 
-@query(sql(f"SELECT game_pk, team_id, {r('form_15')}, {r('run_diff_pg')} FROM form WHERE game_pk % 10 = 0", "form"))
+@query(sql(f"SELECT game_pk, team_id, {r('form_15')}, {r('run_diff_pg')} FROM form", "form"))
 def l14_recompute(b):
-    return audits.recompute_form(b.ordered, b.played.filter("game_pk % 10 = 0"))
+    return audits.recompute_form(b.ordered)
 
 
 @query(sql("SELECT count(*) AS games, 0::BIGINT AS differing FROM o WHERE date <= DATE '1998-06-30'", "o"))
@@ -606,7 +611,9 @@ def m2_collapse_snapshots(b):
     return arriving(b, parts or [rows], refresh.collapse_snapshots, "collapsed").select("game_pk", "home_score")
 
 
-@query()
+# Without a result a prediction comes out once the watermark, a day behind both inputs, has passed its last ten days.
+@query(sql("""SELECT game_pk AS game_id, home_win FROM games WHERE game_type = 'R' AND (home_win IS NOT NULL OR date + INTERVAL 10 DAY <
+  (SELECT least(max(date) FILTER (game_type = 'R'), max(date) FILTER (home_win IS NOT NULL) + INTERVAL 1 DAY) - INTERVAL 1 DAY FROM games))"""))
 def m3_settle_late(b):
     at = F.col("date").cast("timestamp")
     p, ps = landed(b, b.games.filter("game_type = 'R'").select(F.col("game_pk").alias("game_id"), at.alias("logged_at")), "logged")
@@ -614,7 +621,7 @@ def m3_settle_late(b):
     return drained(b, refresh.settle_late(refresh.table_stream(b.spark, p, ps), refresh.table_stream(b.spark, f, fs)), "settled").select("game_id", "home_win")
 
 
-@query()
+@query(REPLAY)
 def m4_online_ratings(b):
     rows = replayed_games(b).select(F.lit(0).cast("long").alias("pool"), "game_pk", "season", F.col("date").cast("string").alias("date"), "start_hour", "home_team_id", "away_team_id", "home_win")
     return arriving(b, [rows.filter(F.col("season") == s) for s in seasons_of(rows)] or [rows], refresh.online_ratings, "online")
