@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import batch, scoring  # noqa: F401  scoring adds to the same tables
+from . import batch, checks, scoring  # noqa: F401  these add to the same tables
 
 
 def queries() -> dict:
