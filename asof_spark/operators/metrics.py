@@ -154,3 +154,19 @@ def tripwires(df: DataFrame, baseline_rows: int, train_rate: float) -> DataFrame
     m = evaluate(df).join(df.agg(F.min("p").alias("lo"), F.max("p").alias("hi")))  # two rows of one
     checks = [("accuracy", F.col("accuracy"), F.col("accuracy") < 0.62), ("least_p", F.col("lo"), F.col("lo") > 0), ("largest_p", F.col("hi"), F.col("hi") < 1), ("rows", F.col("n").cast("double"), F.col("n") == baseline_rows), ("mean_pred", F.col("mean_pred"), F.abs(F.col("mean_pred") - train_rate) < 0.05)]
     return m.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), v.alias("value"), ok.alias("ok")) for n, v, ok in checks])).alias("c")).select("c.*")
+
+
+# Bands that the accuracies of the two baselines must lie in.
+BANDS = {"constant": (0.51, 0.57), "elo": (0.52, 0.60)}
+
+
+def baseline_bands(long: DataFrame, constant: str = "constant", rated: str = "elo", bands: dict[str, tuple[float, float]] = BANDS) -> DataFrame:
+    """metric, value, low, high, ok: the accuracy of each baseline against its band (edges included), and the log loss of the
+    rated one, which must be lower than the constant's. long: model, y, p. A model without rows gives a null value, not ok."""
+    of = lambda c, m: F.max(F.when(F.col("model") == m, F.col(c)))
+    m = evaluate(long, "model").agg(*[of(c, x).alias(f"{x}_{c}") for x in (constant, rated) for c in ("accuracy", "log_loss")])
+    checks = [(f"{x}_accuracy", F.col(f"{x}_accuracy"), F.lit(low), F.lit(high), F.col(f"{x}_accuracy").between(low, high)) for x, (low, high) in bands.items()]
+    loss, limit = F.col(f"{rated}_log_loss"), F.col(f"{constant}_log_loss")
+    checks.append((f"{rated}_log_loss", loss, F.lit(None).cast("double"), limit, loss < limit))
+    row = lambda n, v, low, high, ok: F.struct(F.lit(n).alias("metric"), v.alias("value"), low.alias("low"), high.alias("high"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    return m.select(F.explode(F.array(*[row(*c) for c in checks])).alias("c")).select("c.*")

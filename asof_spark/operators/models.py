@@ -6,6 +6,7 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
@@ -141,17 +142,47 @@ def ablations(train: DataFrame, test: DataFrame, columns: tuple[str, ...] = MODE
     return train.sparkSession.createDataFrame(rows, "kind string, name string, log_loss double, accuracy double")
 
 
+def _checked(p: pd.Series, rows: int) -> np.ndarray:
+    p = pd.Series(list(p), dtype=float)
+    if len(p) != rows:
+        raise ValueError(f"{len(p)} probabilities for {rows} rows")
+    if not ((p > 0) & (p < 1)).all():
+        raise ValueError("probabilities must lie in (0, 1)")
+    return p.to_numpy()
+
+
 def score_with(rows: DataFrame, columns: tuple[str, ...], fn: Callable[[pd.DataFrame], pd.Series], key: str = "game_pk") -> DataFrame:
     """key, p from a user function on batches; one probability in (0, 1) per row or an error."""
     kind = dict(rows.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            p = pd.Series(list(fn(b[list(columns)])), dtype=float)
-            if len(p) != len(b):
-                raise ValueError(f"{len(p)} probabilities for {len(b)} rows")
-            if not ((p > 0) & (p < 1)).all():
-                raise ValueError("probabilities must lie in (0, 1)")
-            yield pd.DataFrame({key: b[key].to_numpy(), "p": p.to_numpy()})
+            yield pd.DataFrame({key: b[key].to_numpy(), "p": _checked(fn(b[list(columns)]), len(b))})
 
     return rows.select(key, *[c for c in columns if c != key]).mapInPandas(run, f"{key} {kind}, p double")
+
+
+def matchups_with(matchups: DataFrame, components: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], key: str = "game_pk") -> DataFrame:
+    """key, p: chance of the home side of games that need be on no schedule, by a user function on batches.
+
+    matchups: key, home_id, away_id, neutral; components: team_id and what the function wants to know of a team. It gets
+    home_<c> and away_<c> of each component (nulls for an unknown team) and gives a probability in (0, 1) for each row.
+    It has no home advantage to leave out, so for a neutral game the sides are exchanged as well: half of p + 1 - p'
+    counts. A null neutral counts as false.
+    """
+    names = [c for c in components.columns if c != "team_id"]
+    kind = dict(matchups.dtypes)[key]
+    side = lambda s: components.select(F.col("team_id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in names])
+    rows = matchups.select(key, "home_id", "away_id", F.coalesce("neutral", F.lit(False)).alias("neutral")).join(side("home"), "home_id", "left").join(side("away"), "away_id", "left")
+    home, away = [f"home_{c}" for c in names], [f"away_{c}" for c in names]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = b[home + away]
+            p, neutral = _checked(fn(x), len(b)), b["neutral"].to_numpy(dtype=bool)
+            if neutral.any():
+                exchanged = x[neutral].rename(columns=dict(zip(home + away, away + home, strict=True)))[home + away]
+                p[neutral] = 0.5 * (p[neutral] + 1 - _checked(fn(exchanged), int(neutral.sum())))
+            yield pd.DataFrame({key: b[key].to_numpy(), "p": p})
+
+    return rows.select(key, "neutral", *home, *away).mapInPandas(run, f"{key} {kind}, p double")

@@ -18,6 +18,11 @@ def is_final(abstract: Column, detailed: Column) -> Column:
     return F.coalesce((abstract == "Final") & ~low.contains("cancel") & ~low.contains("postpon"), F.lit(False))
 
 
+def is_anomalous_season(season: Column, anomalous: int = 2020) -> Column:
+    """True in the shortened season; a missing season is not."""
+    return F.coalesce(season == anomalous, F.lit(False))
+
+
 def dedupe_snapshots(df: DataFrame, key: str = "game_pk") -> DataFrame:
     """One row per key: final first, then scored, then the latest start (a missing one counts as latest), then the last ingested.
 

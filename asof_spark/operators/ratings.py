@@ -134,13 +134,47 @@ def backtest(replayed: DataFrame, games: DataFrame, test_season: int, constant:
     return rows.join(replayed.select("game_pk", "elo_prob_home"), "game_pk").withColumn("baseline_prob_home", F.lit(constant))
 
 
+def matchup_prob(matchups: DataFrame, ratings: DataFrame) -> DataFrame:
+    """matchups (home_id, away_id, neutral and other columns) with p, the chance of the home side by a frozen ratings table.
+
+    A neutral game has no home advantage; a null neutral counts as false. An unseen team has the start rating.
+    """
+    side = lambda s: ratings.select(F.col("team_id").alias(f"{s}_id"), F.col("rating").alias(f"__{s}"))
+    rows = matchups.join(side("home"), "home_id", "left").join(side("away"), "away_id", "left")
+    home, away = F.coalesce("__home", F.lit(START)), F.coalesce("__away", F.lit(START))
+    p = F.when(F.col("neutral"), expected_home(home, away, 0.0)).otherwise(expected_home(home, away))
+    return rows.select(*matchups.columns, p.alias("p"))
+
+
+def latest_names(games: DataFrame, order: tuple[str, ...] = ("date", "start_hour", "game_number", "game_pk")) -> DataFrame:
+    """team_id, team_name: the name in a team's last game by `order` that gives one. games: both sides' team ids and names."""
+    side = lambda s: F.struct(F.col(f"{s}_team_id").alias("team_id"), F.col(f"{s}_team_name").alias("team_name"))
+    rows = games.select(F.struct(*order).alias("at"), F.explode(F.array(side("home"), side("away"))).alias("t"))
+    return rows.filter("t.team_name is not null").groupBy("t.team_id").agg(F.max_by("t.team_name", "at").alias("team_name"))
+
+
+#: Parts that the first sides of ordered pairs are dealt over.
+DEALT = 64
+
+
+def ordered_pairs(teams: DataFrame, key: str = "team_id") -> DataFrame:
+    """a, b (structs of the columns of teams) for every ordered pair of different teams.
+
+    The first sides are dealt over DEALT parts by key and the second ones repeated for each, so that no task makes all pairs.
+    """
+    own = F.struct(*teams.columns)
+    a = teams.select(own.alias("a"), F.pmod(F.hash(key), F.lit(DEALT)).alias("__part"))
+    b = teams.select(own.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("__part"))
+    return a.join(b, "__part").filter(F.col(f"a.{key}") != F.col(f"b.{key}")).select("a", "b")
+
+
 def neutral_site(ratings: DataFrame) -> DataFrame:
-    """P(a beats b) without home advantage for every ordered pair of the ratings table's teams, met on a shared league key."""
-    a = ratings.select(F.col("team_id").alias("a_id"), F.col("rating").alias("a"), F.lit(0).alias("__j"))
-    b = ratings.select(F.col("team_id").alias("b_id"), F.col("rating").alias("b"), F.lit(0).alias("__j"))
-    pairs = a.join(b, "__j").filter("a_id <> b_id")
-    symmetric = 0.5 * (expected_home(F.col("a"), F.col("b")) + 1 - expected_home(F.col("b"), F.col("a")))
-    return pairs.select("a_id", "b_id", expected_home(F.col("a"), F.col("b"), 0.0).alias("neutral_prob"), symmetric.alias("symmetrised_prob"))
+    """P(a beats b) without home advantage for every ordered pair of the ratings table's teams."""
+    a, b = F.col("a.rating"), F.col("b.rating")
+    symmetric = 0.5 * (expected_home(a, b) + 1 - expected_home(b, a))
+    return ordered_pairs(ratings.select("team_id", "rating")).select(
+        F.col("a.team_id").alias("a_id"), F.col("b.team_id").alias("b_id"), expected_home(a, b, 0.0).alias("neutral_prob"), symmetric.alias("symmetrised_prob")
+    )
 
 
 def rating_table(ratings: DataFrame) -> DataFrame:

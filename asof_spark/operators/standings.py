@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from asof_spark.functions.scalars import expected_home, series_lengths
+from asof_spark.operators.ratings import ordered_pairs
 
 #: Home patterns by series length: 1 where the better seed hosts.
 HOSTING = {3: (1, 1, 1), 5: (1, 1, 0, 0, 1), 7: (1, 1, 0, 0, 0, 1, 1)}
@@ -96,9 +97,8 @@ def matchup_grid(ratings: DataFrame, teams: DataFrame, formats: tuple[int, ...]
 
     Teams of one league cannot meet in the final (best of 7), of two leagues only there.
     """
-    rows = ratings.select("team_id", "rating").join(teams.select("team_id", "league"), "team_id").withColumn("__j", F.lit(0))
-    a, b = (rows.select(F.col("team_id").alias(f"{s}_id"), F.col("rating").alias(s), F.col("league").alias(f"{s}_league"), "__j") for s in "ab")
-    pairs = a.join(b, "__j").filter("a_id <> b_id").drop("__j")
+    rows = ratings.select("team_id", "rating").join(teams.select("team_id", "league"), "team_id")
+    pairs = ordered_pairs(rows).select(*[F.col(f"{s}.{c}").alias(name) for s in "ab" for c, name in (("team_id", f"{s}_id"), ("rating", s), ("league", f"{s}_league"))])
     home, away = expected_home(F.col("a"), F.col("b")), 1 - expected_home(F.col("b"), F.col("a"))
     pairs = pairs.withColumns({"home": home, "away": away, "neutral_prob": expected_home(F.col("a"), F.col("b"), 0.0)})
     parts = []
@@ -124,6 +124,18 @@ def bracket_tallies(brackets: DataFrame, sims: int) -> DataFrame:
     return n.withColumn("k", best).filter("k = 1").select("slot", "hi", "lo", "n", (F.col("n") / sims).alias("share"))
 
 
+def pair_occurrences(brackets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (round, a_id, b_id) with n, the simulated seasons that met this pair in this round, in whatever order of seeds.
+
+    brackets: round, hi, lo, one row per slot and simulation. n is 0 for a pair that never met and null without a round,
+    as for single games, which are no bracket slots.
+    """
+    low, high = F.least("hi", "lo").alias("__low"), F.greatest("hi", "lo").alias("__high")
+    n = brackets.groupBy("round", low, high).agg(F.count(F.lit(1)).alias("n"))
+    rows = pairs.select("round", "a_id", "b_id", F.least("a_id", "b_id").alias("__low"), F.greatest("a_id", "b_id").alias("__high"))
+    return rows.join(n, ["round", "__low", "__high"], "left").select("round", "a_id", "b_id", F.when(F.col("round").isNotNull(), F.coalesce("n", F.lit(0))).alias("n"))
+
+
 def disagreement(odds: DataFrame, k: int = 10) -> DataFrame:
     """Teams by the spread of title odds between models. odds: model, team_id, prob."""
     return odds.groupBy("team_id").agg((F.max("prob") - F.min("prob")).alias("spread")).orderBy(F.desc("spread"), "team_id").limit(k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asof_spark.functions import scalars
@@ -28,15 +28,24 @@ def query(oracle: str | None = None, name: str | None = None):
 # --- sources -------------------------------------------------------------------------------------------------
 
 
-def schedules(b: Base) -> DataFrame:
-    """Nested schedules, one per date, written as JSON text and read by the explicit schema."""
+def game_payload() -> Column:
+    """A game of the games table as a nested struct of a schedule."""
     side = lambda s: F.struct(F.struct(F.col(f"{s}_team_id").cast("long").alias("id"), F.concat(F.lit("Team "), f"{s}_team_id").alias("name")).alias("team"), F.col(f"{s}_score").alias("score"))
-    game = F.struct(
+    return F.struct(
         F.col("game_pk").alias("gamePk"), F.col("season").cast("string").alias("season"), F.col("date").cast("string").alias("officialDate"), F.col("game_type").alias("gameType"),
         F.struct(F.when(F.col("is_final"), "Final").otherwise("Preview").alias("abstractGameState"), F.when(F.col("game_pk") % 50 == 0, "Postponed").otherwise("Final").alias("detailedState")).alias("status"),
         F.col("game_number").alias("gameNumber"), F.when(F.col("venue_id").isNotNull(), F.struct(F.col("venue_id").cast("long").alias("id"))).alias("venue"), F.struct(side("home").alias("home"), side("away").alias("away")).alias("teams"),
     )
-    days = b.games.groupBy("date").agg(F.collect_list(game).alias("games")).select(F.to_json(F.struct(F.array(F.struct(F.col("date").cast("string").alias("date"), "games")).alias("dates"))).alias("json"))
+
+
+def schedule_payload(games: Column) -> Column:
+    """The JSON text of a schedule of one date with these games."""
+    return F.to_json(F.struct(F.array(F.struct(F.col("date").cast("string").alias("date"), games.alias("games"))).alias("dates")))
+
+
+def schedules(b: Base) -> DataFrame:
+    """Nested schedules, one per date, written as JSON text and read by the explicit schema."""
+    days = b.games.groupBy("date").agg(F.collect_list(game_payload()).alias("games")).select(schedule_payload(F.col("games")).alias("json"))
     return days.select(F.from_json("json", f"struct<{payloads.SCHEDULE.replace('dates ', 'dates:', 1)}>").alias("p")).select("p.dates")
 
 
@@ -205,7 +214,7 @@ def c4_flag_matchups(b):
 
 @query(sql("SELECT game_pk, season = 1998 AS is_anomalous_season FROM games"))
 def c5_anomalous_season(b):
-    return b.games.select("game_pk", (F.col("season") == 1998).alias("is_anomalous_season"))
+    return b.games.select("game_pk", normalize.is_anomalous_season(F.col("season"), 1998).alias("is_anomalous_season"))
 
 
 @query(sql("SELECT game_pk, pitcher_id, CAST(ip_outs AS INT) AS ip_outs FROM logs", "logs"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asof_spark.functions.scalars import decision, ip_to_outs, is_opener
-from asof_spark.operators.normalize import home_win, is_final
+from asof_spark.operators.normalize import home_win, is_anomalous_season, is_final
 
 _SIDE = "struct<team:struct<id:bigint,name:string>,score:int,isWinner:boolean,leagueRecord:struct<wins:int,losses:int>,probablePitcher:struct<id:bigint>>"
 GAME = f"struct<gamePk:bigint,season:string,officialDate:string,gameDate:string,gameType:string,status:struct<abstractGameState:string,detailedState:string>,doubleHeader:string,gameNumber:int,rescheduledFrom:string,venue:struct<id:bigint>,linescore:struct<scheduledInnings:int,currentInning:int>,decisions:struct<winner:struct<id:bigint>,loser:struct<id:bigint>>,teams:struct<home:{_SIDE},away:{_SIDE}>>"
@@ -20,8 +20,14 @@ DIRECTORY = "teams array<struct<id:bigint,name:string,abbreviation:string,venue:
 OVERRIDES = "map<string,struct<venue:string,city:string,region:string>>"
 
 
-def read_schedule(spark: SparkSession, path: str) -> DataFrame:
-    return parse_schedule(spark.read.schema(SCHEDULE).option("multiLine", True).json(path))
+def read_schedule(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Games of schedule files: one payload a file, or with `lines` one a line, which large files can be split by."""
+    return parse_schedule(spark.read.schema(SCHEDULE).option("multiLine", not lines).json(path))
+
+
+def read_boxscores(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Nested boxscores of files, for parse_pitchers and parse_batters; lines as in read_schedule."""
+    return spark.read.schema(BOXSCORE).option("multiLine", not lines).json(path)
 
 
 def parse_schedule(payloads: DataFrame) -> DataFrame:
@@ -34,7 +40,7 @@ def parse_schedule(payloads: DataFrame) -> DataFrame:
         F.col("g.venue.id").alias("venue_id"), F.col("g.linescore.scheduledInnings").alias("scheduled_innings"), F.col("g.linescore.currentInning").alias("innings"), F.col("g.decisions.winner.id").alias("winning_pitcher_id"), F.col("g.decisions.loser.id").alias("losing_pitcher_id"),
         F.col("g.teams.home.isWinner").alias("home_is_winner_flag"), *side("home"), *side("away"),
     )
-    rows = rows.withColumn("is_final", is_final(F.col("abstract_state"), F.col("detailed_state"))).withColumn("is_anomalous_season", F.coalesce(F.col("season") == 2020, F.lit(False)))
+    rows = rows.withColumn("is_final", is_final(F.col("abstract_state"), F.col("detailed_state"))).withColumn("is_anomalous_season", is_anomalous_season(F.col("season")))
     return rows.withColumn("home_win", home_win())
 
 

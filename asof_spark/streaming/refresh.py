@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,30 +15,37 @@ from asof_spark.operators.ratings import Replay
 from asof_spark.sources.payloads import SCHEDULE, parse_schedule
 
 
-def schedule_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Games of schedule files as they land under path."""
-    return parse_schedule(spark.readStream.schema(SCHEDULE).option("multiLine", True).json(path))
+def schedule_stream(spark: SparkSession, path: str, lines: bool = False, files: int | None = None) -> DataFrame:
+    """Games of schedule files as they land under path, one payload a file or (lines) a line; files: most files of a batch."""
+    reader = spark.readStream.schema(SCHEDULE).option("multiLine", not lines)
+    return parse_schedule((reader.option("maxFilesPerTrigger", files) if files else reader).json(path))
 
 
 def table_stream(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def append_finals(stream: DataFrame, target: str, checkpoint: str):
+def append_finals(stream: DataFrame, target: str, checkpoint: str, partition: str = "season"):
     """Write decided finals whose key the target lacks. Each batch is one folder named by its id, so a batch that is
-    repeated after a failure writes the same folder again."""
+    repeated after a failure writes the same folder again.
+
+    Inside it rows lie by `partition`, a column that never changes for a key: of the history a batch reads only the
+    keys in its own values of it (few), not all that was ever written.
+    """
 
     def batch(df: DataFrame, batch_id: int) -> None:
         spark, new = df.sparkSession, df.filter("is_final and home_win is not null")
-        path = f"{target}/batch={batch_id}"
+        stored = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema.fields)
         try:
-            history = spark.read.option("basePath", target).parquet(target).filter(F.col("batch") != batch_id).drop("batch")
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            history = spark.read.schema(f"{stored}, batch long").option("basePath", target).parquet(target)
+        except AnalysisException as e:  # nothing written yet
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            history = new.limit(0)
-        rows = append_new(history.select(*new.columns).filter("1 = 0"), new).join(history.select("game_pk"), "game_pk", "left_anti")
-        rows.select(*new.columns).write.mode("overwrite").parquet(path)
+            history = new.withColumn("batch", F.lit(-1)).limit(0)
+        values = [r[0] for r in new.select(partition).distinct().collect()]
+        near = history.filter(F.col("batch") != batch_id).filter(F.col(partition).isin(values) | (F.col(partition).isNull() if None in values else F.lit(False)))
+        once = append_new(new.limit(0), new)
+        once.join(near.select("game_pk"), "game_pk", "left_anti").select(*new.columns).write.mode("overwrite").partitionBy(partition).parquet(f"{target}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
