@@ -63,12 +63,19 @@ def playoff_field(ranked: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("label", F.when(F.col("seed") == 1, "z").when(F.col("leader"), "y").otherwise("x"))
 
 
+#: Tasks of a simulation for each core.
+TASKS = 4
+
+
 def simulate(schedule: DataFrame, sims: int, u: Column | None = None, seed: int = 1) -> DataFrame:
     """sim, winner, loser of every scheduled game (game_pk, home_team_id, away_team_id, p) in every simulation.
 
-    u: a uniform number of (sim, game_pk); by default a hash of seed, sim and game. Rows are made by exploding, so
-    nothing is shuffled.
+    u: a uniform number of (sim, game_pk); by default a hash of seed, sim and game. Rows are made by exploding; only
+    the schedule is shuffled, so that all tasks get games of it, however few files it came from. Games of a pair of teams
+    lie together, so that what is added up by team or pair is added up before it is shuffled.
     """
+    pair = F.least("home_team_id", "away_team_id"), F.greatest("home_team_id", "away_team_id")
+    schedule = schedule.repartition(TASKS * schedule.sparkSession.sparkContext.defaultParallelism, *pair)
     u = u if u is not None else F.shiftrightunsigned(F.xxhash64(F.lit(seed), "sim", "game_pk"), 11) / F.lit(float(1 << 53))
     cells = schedule.select("*", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim")).withColumn("home_won", u < F.col("p"))
     pick = lambda a, b: F.when(F.col("home_won"), F.col(a)).otherwise(F.col(b))

@@ -322,8 +322,9 @@ def pairs(b: Base) -> DataFrame:
 
 
 def totals(b: Base) -> DataFrame:
+    """Totals of every simulation; from the sums by pair where the query has them, else straight from the games."""
     rec = standings.records(standings.winner_loser(b.played.filter("season = 2000")))
-    return standings.sim_totals(rec, pairs(b))
+    return standings.sim_totals(rec, b.simulated if hasattr(b, "simulated") else outcomes(b))
 
 
 _SIM = f"(SELECT sim, game_pk, CASE WHEN {_U} < elo THEN home_team_id ELSE away_team_id END AS winner, CASE WHEN {_U} < elo THEN away_team_id ELSE home_team_id END AS loser FROM slate CROSS JOIN (SELECT unnest(range({SIMS})) AS sim) WHERE season = 2001)"
