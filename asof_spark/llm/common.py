@@ -76,6 +76,13 @@ def even_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", l
     return salted.hint("merge").join(repeated.hint("merge"), [key, "__salt"], how).drop("__salt")
 
 
+def meet(left: DataFrame, right: DataFrame, key: str, max_rows: int) -> DataFrame:
+    """Left join on a key of which left may hold one value very often: right is broadcast when a count shows at most max_rows rows, else even_join."""
+    if right.limit(max_rows + 1).count() <= max_rows:
+        return left.join(F.broadcast(right), key, "left")
+    return even_join(left, right, key, "left")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

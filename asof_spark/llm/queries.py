@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, exact_dedup, license_lookup, mixing, near_join, packing, quality, secret_scan, suffix_dedup, topk_search, warc
+from . import common, conversations, exact_dedup, license_lookup, mixing, near_join, packing, quality, secret_scan, spelling, suffix_dedup, topk_search, url_reputation, warc
 
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -16,6 +17,9 @@ MIX_TARGETS = {
     "topic": {t: 1.0 for t in mixing.TOPICS},
 }
 
+#: Rules of op11, action and host/path.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), with_ids=False)
@@ -60,8 +64,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.weigh(common.documents(spark, sf_dir), MIX_TARGETS, public_tokenizers.path(TOKENIZER)).drop("text_key")
 
 
+def op11_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    # pages have no labels of their own: the label of the same id stands for the outcome of the page
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    judged = url_reputation.judge_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), outcomes, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(spelling.misspell(spelling.runs(common.documents(spark, sf_dir))))
+    return spelling.group_variants(words)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversations.repair(damaged, times_col="times")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_secret_scan, op4_quality, op5_exact_dedup, op6_warc, op7_near_join, op8_topk_search, op9_license_lookup, op10_mixing)}
+    return {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_secret_scan, op4_quality, op5_exact_dedup, op6_warc, op7_near_join, op8_topk_search, op9_license_lookup, op10_mixing, op11_url_reputation, op12_spelling, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
