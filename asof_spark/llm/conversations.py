@@ -244,18 +244,18 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield from batch.slice(at, 256).to_pylist()
 
 
-def _pieces(rows: Iterator[dict]) -> Iterator[dict]:
+def _pieces(rows: Iterator[dict], most: int) -> Iterator[dict]:
     """Pieces of sorted rows, each of one conversation, without costs. A row that stands for many copies is spread over pieces."""
     piece, size, before = None, 0, None
     for r in rows:
         left = r["times"]
         while left:
-            if piece is not None and (piece["conv"] != r["conv"] or len(piece["symbols"]) >= PIECE_ROWS or size >= PIECE_BYTES):
+            if piece is not None and (piece["conv"] != r["conv"] or len(piece["symbols"]) >= most or size >= PIECE_BYTES):
                 yield piece
                 piece = None
             if piece is None:
                 piece, size = {"conv": r["conv"], "symbols": bytearray(), "roles": [], "texts": [], "counts": [0, 0, 0, 0], "initials": [r["initial"], ""], "turns": 0, "low": None, "high": None}, 0
-            more = 1 if left == r["times"] else min(left, PIECE_ROWS)
+            more = 1 if left == r["times"] else min(left, most)
             fault = r["fault"] if left == r["times"] or r["fault"] == "blank" else "duplicate"
             if fault:
                 piece["counts"][_FAULTS[fault]] += more
@@ -289,13 +289,13 @@ def _write(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def _solve(with_turns: bool, conv: pa.DataType):
+def _solve(with_turns: bool, conv: pa.DataType, most: int):
     """Rows sorted by conversation to finished conversations and pieces of those that may go on in other tasks."""
     schema = pa.schema([("conv", conv), *_RESULT, *_PIECE])
 
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         part, no, outer = TaskContext.get().partitionId(), 0, True
-        for conv_pieces, inner in _conversations(_pieces(_rows(batches))):
+        for conv_pieces, inner in _conversations(_pieces(_rows(batches), most)):
             for k, (piece, only) in enumerate(conv_pieces):
                 piece["symbols"] = bytes(piece["symbols"])
                 if only and inner and not outer:
@@ -363,7 +363,7 @@ def _finish(with_turns: bool, conv_type: pa.DataType):
     return lambda batches: _write(found(batches), pa.schema([("conv", conv_type), *_RESULT]))
 
 
-def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", times_col: str | None = None, with_turns: bool = False) -> DataFrame:
+def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", times_col: str | None = None, with_turns: bool = False, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """One row a conversation: faults of its rows, the cheapest edits that make it legal, and the digest of the result.
 
     Rows are taken by turn (null turns first), then role, then a digest; equal rows lie side by side. times_col: a count of adjacent copies that a row
@@ -401,7 +401,7 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     dealt = once.unionByName(many.select(once.columns)).repartitionByRange(*order).sortWithinPartitions(*order).drop("same")
     kind = _arrow_type(turns, conv_col)
     ddl = turns.select(F.col(f"`{conv_col}`").alias("conv")).schema["conv"].dataType.simpleString()
-    solved = common.cut(dealt.mapInArrow(_solve(with_turns, kind), f"conv {ddl}, {_RESULT_DDL}, {_PIECE_DDL}"), "conversations")
+    solved = common.cut(dealt.mapInArrow(_solve(with_turns, kind, piece_rows), f"conv {ddl}, {_RESULT_DDL}, {_PIECE_DDL}"), "conversations")
     names = [n for n, _ in _RESULT]
     pieces = solved.filter("audit IS NULL").select("conv", *[n for n, _ in _PIECE])
     back = pieces.select("conv", "part", "no", "costs").repartition("conv").sortWithinPartitions("conv", F.desc("part"), F.desc("no"))

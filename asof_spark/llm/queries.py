@@ -90,6 +90,9 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
+#: Strength of the prior of a level, of rows good, n and m.
+_STRENGTH = """SELECT CASE WHEN coalesce(pairs, 0) = 0 OR over <= 0 THEN 1000.0 ELSE greatest(1.0, least(1000.0, pairs / over - 1)) END AS w
+          FROM (SELECT sum(pow(good - n * m, 2) / (m * (1 - m)) - n) AS over, sum(n * (n - 1.0)) AS pairs FROM {} WHERE n > 0)"""
 ORACLES = {
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -109,4 +112,24 @@ ORACLES = {
           FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_url_reputation": f"""
+        WITH p AS (SELECT row_number() OVER () AS line, page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+        told AS (SELECT doc_id AS id, sum(quality) AS good, count(*) AS n FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+        counted AS (SELECT host, coalesce(sum(good), 0) AS good, coalesce(sum(n), 0) AS n FROM p LEFT JOIN told ON page_id = id GROUP BY 1),
+        split AS (SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':\\d*$', ''), '.') AS labels FROM counted),
+        paired AS (SELECT *, array_to_string(labels[-2:], '.') IN ({", ".join(f"'{x}'" for x in url_reputation.TWO_PART_SUFFIXES)}) AS two FROM split),
+        hosts AS (SELECT host, good, n, array_to_string(labels[(CASE WHEN two THEN -2 ELSE -1 END):], '.') AS suffix, array_to_string(labels[(CASE WHEN two THEN -3 ELSE -2 END):], '.') AS domain FROM paired),
+        mean AS (SELECT (sum(good) + 0.5) / (sum(n) + 1) AS m FROM hosts),
+        suffixes AS (SELECT suffix, sum(good) AS good, sum(n) AS n, any_value(m) AS m FROM hosts, mean GROUP BY 1),
+        tops AS (SELECT suffix, (good + w * m) / (n + w) AS m FROM suffixes, ({_STRENGTH.format("suffixes")})),
+        domains AS (SELECT domain, any_value(suffix) AS suffix, sum(good) AS good, sum(n) AS n, any_value(m) AS m FROM hosts JOIN tops USING (suffix) GROUP BY 1),
+        shares AS (SELECT domain, (good + w * m) / (n + w) AS m FROM domains, ({_STRENGTH.format("domains")})),
+        known AS (SELECT host, good, n, m FROM hosts JOIN shares USING (domain)),
+        posterior AS (SELECT host, good + w * m AS a, n - good + w * (1 - m) AS b FROM known, ({_STRENGTH.format("known")})),
+        below AS (SELECT host, list_sum(list_transform(range(3000), lambda i: exp(a * ln(0.5) + b * ln(0.5) - ln(a) - lgamma(a) - lgamma(b) + lgamma(a + 1) + lgamma(a + b + i) - lgamma(a + 1 + i) + i * ln(0.5)))) AS p FROM posterior),
+        rules(action, rule) AS (VALUES {", ".join(f"('{a}', '{r}')" for a, r in URL_RULES)}),
+        fit AS (SELECT line, rule, action FROM p JOIN rules ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/')))
+          QUALIFY row_number() OVER (PARTITION BY line ORDER BY length(rule) DESC, length(split_part(rule, '/', 1)) DESC, action DESC) = 1)
+        SELECT page_id, host, path, rule, coalesce(action, CASE WHEN below.p >= 0.95 THEN 'block' ELSE 'allow' END) AS verdict FROM p JOIN below USING (host) LEFT JOIN fit USING (line)""",
 }

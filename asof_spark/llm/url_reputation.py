@@ -79,10 +79,10 @@ def host_posteriors(counts: DataFrame) -> DataFrame:
     mean = F.lit(((total[0] or 0) + 0.5) / ((total[1] or 0) + 1))
     weight = _strength(suffixes, mean)
     tops = suffixes.select("suffix", ((F.col("good") + weight * mean) / (F.col("n") + weight)).alias("top"))
-    domains = common.cut(common.meet(domains, common.cut(tops, "suffixes"), "suffix"), "domains", BROADCAST_ROWS)
+    domains = common.cut(common.meet(domains, common.cut(tops, "suffixes"), "suffix", BROADCAST_ROWS), "domains")
     weight = _strength(domains, F.col("top"))
     shares = domains.select("domain", ((F.col("good") + weight * F.col("top")) / (F.col("n") + weight)).alias("share"))
-    hosts = common.cut(common.meet(hosts, common.cut(shares, "shares"), "domain"), "hosts", BROADCAST_ROWS)
+    hosts = common.cut(common.meet(hosts, common.cut(shares, "shares"), "domain", BROADCAST_ROWS), "hosts")
     weight = _strength(hosts, F.col("share"))
     prior = weight * F.col("share")
     return hosts.select("host", "domain", "suffix", "good", "n", (F.col("good") + prior).alias("alpha"), (F.col("n") - F.col("good") + weight - prior).alias("beta"))
@@ -119,7 +119,7 @@ def reputations(counts: DataFrame, good_share: float = GOOD_SHARE, confidence: f
                 x["blocked"] = x.p_below >= confidence
                 yield x
 
-    return posts.mapInPandas(judge, posts.schema.add("p_below", "double").add("blocked", "boolean"))
+    return posts.mapInPandas(judge, "host string, domain string, suffix string, good long, n long, alpha double, beta double, p_below double, blocked boolean")
 
 
 def _rules_by_host(hosts: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
