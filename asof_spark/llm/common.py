@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], kind: str, name: str = "doc_id") -> DataFrame:
+    """df.mapInPandas(run, kind) that keeps the longs of `name` exact: pandas would make a column with nulls floating point.
+
+    run gets 0 for a null and has to give one frame for each that it gets, with the same rows.
+    """
+
+    def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nulls = []
+
+        def filled() -> Iterator[pd.DataFrame]:
+            for f in frames:
+                if len(f):
+                    nulls.append(f.pop("__null").to_numpy())
+                    yield f
+
+        for out in run(filled()):
+            yield out.assign(__null=nulls.pop(0))
+
+    own = F.col(name)
+    rows = df.withColumns({"__null": own.isNull(), name: F.coalesce(own, F.lit(0).cast("long"))})
+    return rows.mapInPandas(exact, f"{kind}, __null boolean").withColumn(name, F.when(~F.col("__null"), own)).drop("__null")
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """df with a broadcast hint when a count shows at most max_rows rows (of a few fixed-width columns), else df as it is.
 

@@ -93,7 +93,7 @@ def _signer(words: int, length: int, trees: int):
             for text in b["text"]:
                 s = shingles(text, hashes, words)
                 rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), signature(s, xor, odd)) if len(s) else (None, 0, None))
-            yield pd.concat([b[["doc_id", "own"]].astype({"doc_id": "Int64"}), pd.DataFrame(rows, columns=["set", "n", "signature"], index=b.index)], axis=1)
+            yield pd.concat([b[["doc_id", "own"]], pd.DataFrame(rows, columns=["set", "n", "signature"], index=b.index)], axis=1)
 
     return sign
 
@@ -281,7 +281,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     last = F.lit((1 << 63) - 1)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("own"), text.alias("text"))
-    signed = common.cut(texts.mapInPandas(_signer(words, DEEPEST, trees), "doc_id long, own long, set binary, n int, signature binary"), "signed")
+    signed = common.cut(common.map_frames(texts, _signer(words, DEEPEST, trees), "doc_id long, own long, set binary, n int, signature binary"), "signed")
     entries = (
         signed.filter("set is not null").groupBy("set")
         .agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "own")).alias("first"), F.count(F.lit(1)).alias("rows"), F.any_value("n").alias("n"), F.any_value("signature").alias("signature"))

@@ -236,5 +236,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     pieces = common.cut(texts.mapInArrow(_packer(tokenizer, size, end_id, open_windows, with_ids), PIECES), "pieces")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
     leftovers = pieces.filter("open").withColumn("group", F.expr(f"part div {MERGE_PARTITIONS}"))
+    # pandas would make ids beside a null floating point
+    own = F.col("doc_id")
+    leftovers = leftovers.withColumns({"no_id": own.isNull(), "doc_id": F.coalesce(own, F.lit(0).cast("long"))})
     merged = leftovers.groupBy("group").applyInPandas(_merger(size, MERGE_PARTITIONS * open_windows), leftovers.schema)
+    merged = merged.withColumn("doc_id", F.when(~F.col("no_id"), own))
     return pieces.filter("not open").select(columns).unionByName(merged.select(columns))

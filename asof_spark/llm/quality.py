@@ -72,7 +72,7 @@ def measure(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
-    return texts.mapInPandas(run, "doc_id long, key binary, x array<double>")
+    return common.map_frames(texts, run, "doc_id long, key binary, x array<double>")
 
 
 def text_key(text: Column) -> Column:
@@ -149,6 +149,9 @@ def fit(measured: DataFrame, labels: DataFrame, ridge: float = RIDGE) -> Model:
     total = np.zeros((size, size + 1))
     for r in parts.groupBy("row", "col").agg(F.sum("v")).collect():
         total[r[0], r[1]] = r[2]
+    if total[-1, -2] > 0 and total[-1, -1] in (0, total[-1, -2]):  # one class alone
+        model.probability = np.full(2, total[-1, -1] / total[-1, -2])
+        return model
     if total[-1, -2] > 0:  # raw scores count as they are until fold 2 calibrates them
         model.probability = np.array([0.0, 1.0])
         model.weights = np.linalg.solve(total[:, :-1] + ridge * np.eye(size), total[:, -1])
@@ -174,7 +177,7 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> D
             if len(b):
                 yield pd.DataFrame({"doc_id": b["doc_id"], "key": b["key"], "score": model.score(np.array(b["x"].tolist()))})
 
-    return measured.mapInPandas(run, "doc_id long, key binary, score double")
+    return common.map_frames(measured, run, "doc_id long, key binary, score double")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

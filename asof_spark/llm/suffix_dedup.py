@@ -38,7 +38,7 @@ PIECE_BYTES = 1 << 18
 #: Strings of a sorted run, of a segment at most, and (about) of a range that is merged at once.
 RUN, SEGMENT, RANGE = 60_000, 400, 100_000
 #: Ranges by splitters at most; beyond them a range is dealt out by the gram, so the driver's sample stays bounded.
-MAX_RANGES, SPLITTER_SOURCES = 2_048, 2_000
+MAX_RANGES, SPLITTER_SOURCES, SAMPLE_STRINGS = 2_048, 2_000, 100_000
 #: Bits of the filter for each gram that occurs again, and the most bits (32 MB).
 GRAM_BITS, MOST_BITS, SLICES = 16, 28, 64
 #: Packed stretches of a table are broadcast to the texts up to so many bytes and rows; more meet them by shuffle.
@@ -494,11 +494,19 @@ def _builder(strings_of: Callable, width: int, splitters: list[bytes], deals: in
     return build
 
 
-def _merged(rows: DataFrame, key: Column, sources: int, total: int, step: int, strings_of: Callable, width: int, merge: Callable, kind: str) -> DataFrame:
-    """Merge sort of the strings of rows; total: about how many they are. Splitters are chosen from every step-th string of about SPLITTER_SOURCES rows."""
+def _merged(rows: DataFrame, key: list[str], sources: int, total: int, step: int, strings_of: Callable, width: int, merge: Callable, kind: str) -> DataFrame:
+    """Merge sort of the strings of rows; total: about how many they are.
+
+    Splitters are chosen from every step-th string of about SPLITTER_SOURCES rows, of which the driver gets some
+    SAMPLE_STRINGS at most. key tells rows apart, so that copies of a text are not all taken.
+    """
     ranges = max(1, -(-total // RANGE))
-    some = rows.filter(F.pmod(F.xxhash64(key), F.lit(max(1, sources // SPLITTER_SOURCES))) == 0)
-    sample = sorted(bytes(r[0]) for r in some.mapInArrow(_sampler(strings_of, step), "s binary").collect()) if ranges > 1 else []
+    sample = []
+    if ranges > 1:
+        some = rows.filter(F.pmod(F.xxhash64(*key), F.lit(max(1, sources // SPLITTER_SOURCES))) == 0)
+        strings = common.cut(some.mapInArrow(_sampler(strings_of, step), "s binary"), "sample")
+        share = SAMPLE_STRINGS / max(1, strings.count())
+        sample = sorted(bytes(r[0]) for r in (strings if share >= 1 else strings.sample(share, 1)).collect())
     wanted = min(ranges, MAX_RANGES)
     splitters = sorted({sample[len(sample) * i // wanted] for i in range(1, wanted)}) if sample else []
     runs = rows.mapInArrow(_builder(strings_of, width, splitters, -(-ranges // wanted)), SEGMENTS)
@@ -522,11 +530,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     total = shared.agg(F.sum("n")).first()[0] or 0
     bits = spark.sparkContext.broadcast(gram_filter(shared))
     kind = f"{REPEATS}, {OPEN}"
-    merged = _merged(texts, F.col("version"), texts.count(), total, 4, lambda b: _shared_records(b, bits), RECORD, _merge_records, kind)
+    merged = _merged(texts, ["doc", "version"], texts.count(), total, 4, lambda b: _shared_records(b, bits), RECORD, _merge_records, kind)
     merged = common.cut(merged, "records")
     segments = merged.filter("open is not null").select("strings", "lcp", "tags", "least", "open")
     holders, windows = segments.agg(F.count(F.lit(1)), F.sum("open")).first()
-    again = _merged(segments.drop("open"), F.col("tags"), holders, windows or 0, 64, _open_windows, WINDOW, _merge_windows, REPEATS)
+    again = _merged(segments.drop("open"), ["tags"], holders, windows or 0, 64, _open_windows, WINDOW, _merge_windows, REPEATS)
     return merged.filter("open is null").select("doc", "version", "low", "windows").unionByName(again)
 
 
@@ -565,7 +573,7 @@ def _remover(with_kept: bool):
                 starts, ends = edges[::2], edges[1::2]
                 kept = b"".join([data[i:j] for i, j in zip([0, *ends], [*starts, len(data)], strict=True)])
                 out.append((doc_id, len(data), len(data) - len(kept), list(zip(starts, ends, strict=True)), kept if with_kept else None, hashlib.sha256(kept).hexdigest(), len(starts)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256", "n_spans"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256", "n_spans"])
 
     return removed
 
@@ -581,4 +589,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     found = _by_document(repeats(docs, id_col, text_col))
     kind = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string, n_spans long"
-    return _texts(docs, id_col, text_col).join(found, ["doc", "version"], "left").select("doc_id", "text", "packed").mapInPandas(_remover(with_kept), kind)
+    return common.map_frames(_texts(docs, id_col, text_col).join(found, ["doc", "version"], "left").select("doc_id", "text", "packed"), _remover(with_kept), kind)
