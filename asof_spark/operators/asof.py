@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from asof_spark.functions.scalars import fip_rate, k_rate
+from asof_spark.operators import segments
+from asof_spark.operators.segments import in_segment
+from asof_spark.sources import sinks
 
 ORDER = ("date", "game_number", "game_pk")
 FORM_GAMES, FORM_LEAST, REST_CAP, WINDOW_OUTS, LEAGUE_DAYS = 15, 5, 5, 180, 365
@@ -37,44 +43,98 @@ def _order(df: DataFrame) -> list[str]:
     return ["ord"] if "ord" in df.columns else list(ORDER)
 
 
+def _segmented(long: DataFrame) -> DataFrame:
+    """long, cut into segments where a team has too many games for one task. Seasons follow each other in time.
+
+    __games and __diff: games and run difference of the team's season in earlier segments.
+    """
+    if "ord" not in long.columns or "__seg" in long.columns:
+        return long
+    parts = segments.split_hot(long, ["team_id"])
+    if parts is None:
+        return long
+    parts = segments.carried(parts, ["team_id", "season"], {"__games": F.lit(1), "__diff": F.col("run_diff")})
+    return segments.with_context(parts, ["team_id"], [c for c in ("season", "date", "won", "venue_id") if c in long.columns], FORM_GAMES)
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    """Rows of _segmented without its context and columns."""
+    return rows.filter(~F.col("__context")).drop("__seg", "__context", "__games", "__diff") if "__seg" in rows.columns else rows
+
+
+def _by_segment(add: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A function that adds window columns to team_long rows: it gets them segmented, and gives them whole again."""
+
+    @wraps(add)
+    def added(long: DataFrame, *args, **kw) -> DataFrame:
+        rows = _segmented(long)
+        return add(rows, *args, **kw) if rows is long else _whole(add(rows, *args, **kw))
+
+    return added
+
+
+def _season_to_date(rows: DataFrame, last: int) -> tuple[Column, Column]:
+    """Games and run difference of the team's season up to `last` rows from this one."""
+    w = Window.partitionBy(*in_segment(rows, "team_id", "season")).orderBy(*_order(rows)).rowsBetween(Window.unboundedPreceding, last)
+    if "__seg" not in rows.columns:
+        return F.count(F.lit(1)).over(w), F.sum("run_diff").over(w)
+    games = F.coalesce(F.sum(F.when(F.col("__context"), 0).otherwise(1)).over(w), F.lit(0))
+    return games + F.coalesce("__games", F.lit(0)), F.coalesce(F.sum("run_diff").over(w), F.lit(0)) + F.coalesce("__diff", F.lit(0))
+
+
+def _form_of(rows: DataFrame, keys: list[str], last: int) -> Column:
+    w = Window.partitionBy(*in_segment(rows, *keys)).orderBy(*_order(rows)).rowsBetween(last + 1 - FORM_GAMES, last)
+    decided = F.count("won").over(w)
+    return F.when(decided >= FORM_LEAST, F.sum("won").over(w) / decided)
+
+
+@_by_segment
 def form(long: DataFrame, across_seasons: bool = False) -> DataFrame:
     """form_15: wins over decided games of the previous 15; ties take a slot; null under 5 decided games."""
-    keys = ["team_id"] if across_seasons else ["team_id", "season"]
-    w = Window.partitionBy(*keys).orderBy(*_order(long)).rowsBetween(-FORM_GAMES, -1)
-    decided = F.count("won").over(w)
-    return long.withColumn("form_15", F.when(decided >= FORM_LEAST, F.sum("won").over(w) / decided))
+    return long.withColumn("form_15", _form_of(long, ["team_id"] if across_seasons else ["team_id", "season"], -1))
 
 
+@_by_segment
 def games_played(long: DataFrame) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("team_id", "season").orderBy(*_order(long))) - 1
+    n = _season_to_date(long, -1)[0].cast("int")
     return long.withColumn("games_played", n).withColumn("form_low_confidence", F.col("games_played") < FORM_GAMES)
 
 
+@_by_segment
 def run_diff_pg(long: DataFrame) -> DataFrame:
     """Run difference before this game over all games played; null under 5 games."""
-    w = Window.partitionBy("team_id", "season").orderBy(*_order(long)).rowsBetween(Window.unboundedPreceding, -1)
-    n = F.count(F.lit(1)).over(w)
-    return long.withColumn("run_diff_pg", F.when(n >= FORM_LEAST, F.sum("run_diff").over(w) / n))
+    n, diff = _season_to_date(long, -1)
+    return long.withColumn("run_diff_pg", F.when(n >= FORM_LEAST, diff / n))
 
 
+@_by_segment
 def rest_days(long: DataFrame) -> DataFrame:
-    before = F.lag("date").over(Window.partitionBy("team_id").orderBy(*_order(long)))
+    before = F.lag("date").over(Window.partitionBy(*in_segment(long, "team_id")).orderBy(*_order(long)))
     return long.withColumn("rest_days", F.coalesce(F.least(F.datediff("date", before), F.lit(REST_CAP)), F.lit(REST_CAP)))
 
 
+def _offsets(venues: DataFrame, name: str) -> DataFrame:
+    """Offsets by __v, with a broadcast hint where they are few."""
+    table = venues.select(F.col("venue_id").alias("__v"), F.col("offset").alias(name))
+    return F.broadcast(table) if venues.limit(10_001).count() <= 10_000 else table
+
+
+@_by_segment
 def tz_delta(long: DataFrame, venues: DataFrame) -> DataFrame:
     """Offset change to the previous venue of the season: 0 without a known previous one, null at an unknown venue."""
-    offsets = venues.select(F.col("venue_id").alias("__v"), F.col("offset").alias("__offset"))
-    out = long.join(F.broadcast(offsets) if venues.limit(10_001).count() <= 10_000 else offsets, F.col("venue_id") == F.col("__v"), "left")
-    before = F.lag("__offset").over(Window.partitionBy("team_id", "season").orderBy(*_order(long)))
+    out = long.join(_offsets(venues, "__offset"), F.col("venue_id") == F.col("__v"), "left")
+    before = F.lag("__offset").over(Window.partitionBy(*in_segment(long, "team_id", "season")).orderBy(*_order(long)))
     delta = F.when(F.col("__offset").isNotNull(), F.coalesce(F.abs(F.col("__offset") - before), F.lit(0)))
     return out.withColumn("tz_delta", delta).drop("__v", "__offset")
 
 
 def team_features(games: DataFrame, venues: DataFrame) -> DataFrame:
-    """All team columns in one pass; rows are dealt by team once, which serves every window."""
-    long = team_long(games).repartition("team_id")
-    return tz_delta(rest_days(run_diff_pg(games_played(form(long)))), venues)
+    """All team columns in one pass; rows are dealt by team (and segment of a hot team) once, which serves every window."""
+    rows = _segmented(team_long(games))
+    rows = rows.repartition(*in_segment(rows, "team_id"))
+    for add in (form, games_played, run_diff_pg, rest_days):
+        rows = add.__wrapped__(rows)
+    return _whole(tz_delta.__wrapped__(rows, venues))
 
 
 def log_rows(logs: DataFrame, ordered: DataFrame) -> DataFrame:
@@ -83,27 +143,60 @@ def log_rows(logs: DataFrame, ordered: DataFrame) -> DataFrame:
     return logs.join(g, "game_pk").withColumn("team_id", F.when(F.col("is_home"), F.col("home_team_id")).otherwise(F.col("away_team_id"))).drop("home_team_id", "away_team_id")
 
 
+#: Outs of a bucket in which the end of a hot pitcher's walk is looked up.
+BUCKET_OUTS = 1 << 16
+
+
 def _cumulated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumns({f"c_{c}": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in COUNTS})
+    """rows with c_<count>, the sums of the key's earlier rows."""
+    w = Window.partitionBy(*in_segment(rows, *keys)).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    if "__seg" in rows.columns:
+        rows = segments.carried(rows, keys, {f"__b_{c}": F.col(c) for c in COUNTS})
+    before = lambda c: F.col(f"__b_{c}") if "__seg" in rows.columns else F.lit(0)
+    return rows.withColumns({f"c_{c}": F.coalesce(F.sum(c).over(w), F.lit(0)) + before(c) for c in COUNTS})
+
+
+def _stops(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """s_<count> by keys and c_ip_outs: the sums where the walk back from there stops.
+
+    One row for each sum of outs, in buckets of BUCKET_OUTS; a bucket looks into itself and gets the last sums of the earlier ones.
+    """
+    sums = [f"c_{c}" for c in COUNTS]
+    steps = rows.groupBy(*keys, "c_ip_outs").agg(*[F.max(c).alias(f"m{c}") for c in sums])
+    bucket = lambda c: F.floor(c / BUCKET_OUTS).alias("__bucket")
+    outs = F.col("c_ip_outs")
+    state = steps.select(*keys, bucket(outs), outs.alias("__at"), F.lit(0).alias("__kind"), *[F.col(f"m{c}") for c in sums])
+    probe = steps.filter(outs >= WINDOW_OUTS).select(*keys, bucket(outs - WINDOW_OUTS), (outs - WINDOW_OUTS).alias("__at"), F.lit(1).alias("__kind"), "c_ip_outs")
+    merged = state.unionByName(probe, allowMissingColumns=True)
+    here = Window.partitionBy(*keys, "__bucket").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    ends = merged.groupBy(*keys, "__bucket").agg(*[F.max(f"m{c}").alias(f"e{c}") for c in sums])
+    past = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "__bucket", *[F.max(f"e{c}").over(past).alias(f"e{c}") for c in sums])
+    found = merged.select(*keys, "__bucket", "__kind", "c_ip_outs", *[F.max(f"m{c}").over(here).alias(f"m{c}") for c in sums])
+    found = found.filter("__kind = 1").join(ends, [*keys, "__bucket"])
+    return found.select(*keys, "c_ip_outs", *[F.greatest(f"m{c}", f"e{c}").alias(f"s{c[1:]}") for c in sums])
 
 
 def pitcher_window(rows: DataFrame, cross_season: bool = True) -> DataFrame:
     """Trailing window of each appearance: walk back over earlier ones until WINDOW_OUTS outs are reached.
 
-    own_fip, own_k, own_outs and enough. Sums before each row are ordered, so the row where the walk stops is the
-    last one whose own sum is at least WINDOW_OUTS below; no row looks at its history twice. Without enough outs
-    the window holds all earlier appearances.
+    own_fip, own_k, own_outs and enough. Sums before each row grow with its place, so the row where the walk stops is the
+    last one whose own sum is at least WINDOW_OUTS below, and its sums are the largest of all such rows; no row looks at
+    its history twice. Without enough outs the window holds all earlier appearances. Counts are not negative.
     """
     keys = ["pitcher_id"] if cross_season else ["pitcher_id", "season"]
-    rows = _cumulated(rows, keys)
-    w = Window.partitionBy(*keys).orderBy("c_ip_outs").rangeBetween(Window.unboundedPreceding, -WINDOW_OUTS)
-    stop = F.max(F.struct("ord", *[f"c_{c}" for c in COUNTS])).over(w)
-    rows = rows.withColumn("__stop", stop)
-    used = {c: F.col(f"c_{c}") - F.coalesce(F.col(f"__stop.c_{c}"), F.lit(0)) for c in COUNTS}
+    parts = segments.split_hot(rows, keys)
+    rows = _cumulated(rows if parts is None else parts, keys)
+    if parts is None:
+        w = Window.partitionBy(*keys).orderBy("c_ip_outs").rangeBetween(Window.unboundedPreceding, -WINDOW_OUTS)
+        rows = rows.withColumns({f"s_{c}": F.max(f"c_{c}").over(w) for c in COUNTS})
+    else:
+        rows = rows.drop("__seg", *[f"__b_{c}" for c in COUNTS])
+        rows = rows.join(_stops(rows, keys), [*keys, "c_ip_outs"], "left")
+    used = {c: F.col(f"c_{c}") - F.coalesce(f"s_{c}", F.lit(0)) for c in COUNTS}
     return rows.withColumns({"enough": F.col("c_ip_outs") >= WINDOW_OUTS} | {f"u_{c}": v for c, v in used.items()}).withColumns(
         {"own_outs": F.col("u_ip_outs"), "own_fip": fip_rate(F.col("u_home_runs"), F.col("u_walks"), F.col("u_hit_by_pitch"), F.col("u_strikeouts"), F.col("u_ip_outs")), "own_k": k_rate(F.col("u_strikeouts"), F.col("u_batters_faced"))}
-    ).drop("__stop", *[f"u_{c}" for c in COUNTS], *[f"c_{c}" for c in COUNTS])
+    ).drop(*[f"{x}_{c}" for x in "ucs" for c in COUNTS])
 
 
 def league_asof(ordered: DataFrame, starters: DataFrame) -> DataFrame:
@@ -147,20 +240,27 @@ def asof_state(probes: DataFrame, rows: DataFrame) -> DataFrame:
     return probes.join(state, ["game_pk", "side"], "left")
 
 
-def starter_features(ordered: DataFrame, rows: DataFrame, mode: str = "train") -> DataFrame:
-    """game_pk, side, fip, k, trailing_ip, low_confidence: own window with enough outs, else the league's."""
-    probes = starters_of(ordered, rows, mode).join(ordered.select("game_pk", "ord"), "game_pk")
+def starter_features(ordered: DataFrame, rows: DataFrame, mode: str = "train", wanted: DataFrame | None = None) -> DataFrame:
+    """game_pk, side, fip, k, trailing_ip, low_confidence: own window with enough outs, else the league's.
+
+    wanted: the games of `ordered` that are asked for, if not all.
+    """
+    asked = ordered if wanted is None else wanted
+    probes = starters_of(asked, rows, mode).join(asked.select("game_pk", "ord"), "game_pk")
     league = league_asof(ordered, rows.filter("is_starter"))
     out = asof_state(probes, rows).join(league, "game_pk")
     enough = F.coalesce("enough", F.lit(False))
     return out.select("game_pk", "side", "pitcher_id", F.when(enough, F.col("own_fip")).otherwise(F.col("league_fip")).alias("fip"), F.when(enough, F.col("own_k")).otherwise(F.col("league_k")).alias("k"), (F.coalesce("own_outs", F.lit(0)) / 3.0).alias("trailing_ip"), (~enough).alias("low_confidence"))
 
 
-def park_factors(games: DataFrame, years: int = 3, without: tuple[int, ...] = (2020,)) -> DataFrame:
-    """season, venue_id, park_factor: runs per game at the venue over the league's, in the `years` seasons before."""
+def park_factors(games: DataFrame, years: int = 3, without: tuple[int, ...] = (2020,), seasons: DataFrame | None = None) -> DataFrame:
+    """season, venue_id, park_factor: runs per game at the venue over the league's, in the `years` seasons before.
+
+    seasons: season of the factors that are asked for, if not those of games.
+    """
     known = games.filter("venue_id is not null and home_score is not null and away_score is not null").filter(~F.col("season").isin(list(without)))
     cell = known.groupBy("season", "venue_id").agg(F.sum(F.col("home_score") + F.col("away_score")).alias("runs"), F.count(F.lit(1)).alias("n"))
-    seasons = games.select(F.col("season").alias("for_season")).distinct()
+    seasons = (games if seasons is None else seasons).select(F.col("season").alias("for_season")).distinct()
     reach = cell.select("venue_id", "runs", "n", F.explode(F.sequence(F.col("season") + 1, F.col("season") + years)).alias("for_season")).join(seasons, "for_season", "left_semi")
     venue = reach.groupBy("for_season", "venue_id").agg(F.sum("runs").alias("runs"), F.sum("n").alias("n"))
     league = venue.groupBy("for_season").agg(F.sum("runs").alias("all_runs"), F.sum("n").alias("all_n"))
@@ -177,76 +277,123 @@ def _by_side(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.groupBy("game_pk").agg(*[pick(s, c).alias(f"{s}_{n}") for s in ("home", "away") for c, n in columns.items()])
 
 
+FEATURE_COLUMNS = (
+    "game_pk", "season", "date", "game_number", "ord", "home_team_id", "away_team_id", "home_win", "home_form_15", "away_form_15", "home_run_diff_pg", "away_run_diff_pg", "home_rest_days", "away_rest_days", "away_tz_delta",
+    "home_sp_fip", "away_sp_fip", "home_sp_k_rate", "away_sp_k_rate", "park_factor", "home_games_played", "away_games_played", "home_form_low_confidence", "away_form_low_confidence",
+    "home_sp_trailing_ip", "away_sp_trailing_ip", "home_sp_low_confidence", "away_sp_low_confidence", "park_factor_imputed",
+)
+_TEAM = {"form_15": "form_15", "run_diff_pg": "run_diff_pg", "rest_days": "rest_days", "games_played": "games_played", "form_low_confidence": "form_low_confidence", "tz_delta": "tz_delta"}
+_PITCH = {"fip": "sp_fip", "k": "sp_k_rate", "trailing_ip": "sp_trailing_ip", "low_confidence": "sp_low_confidence"}
+
+
 def build_features(games: DataFrame, logs: DataFrame, venues: DataFrame, mode: str = "train", burn_in_end: Column | None = None, park_games: DataFrame | None = None) -> DataFrame:
     """One row per game with all features and flags; no game is dropped.
 
-    logs are those of played games; in predict mode the starters come from home_probable_id and away_probable_id.
+    logs are those of played games; in predict mode the starters come from home_probable_id and away_probable_id. The ordered
+    games and their logs serve several branches and are written once.
     """
-    ordered = games if "ord" in games.columns else canonical_order(games)
-    rows = log_rows(logs, ordered)
-    team = _by_side(team_features(ordered, venues), {"form_15": "form_15", "run_diff_pg": "run_diff_pg", "rest_days": "rest_days", "games_played": "games_played", "form_low_confidence": "form_low_confidence", "tz_delta": "tz_delta"}).drop("home_tz_delta")
-    pitch = _by_side(starter_features(ordered, rows, mode), {"fip": "sp_fip", "k": "sp_k_rate", "trailing_ip": "sp_trailing_ip", "low_confidence": "sp_low_confidence"})
+    ordered = sinks.cut(games if "ord" in games.columns else canonical_order(games), "ordered")
+    rows = sinks.cut(log_rows(logs, ordered), "log-rows")
+    team = _by_side(team_features(ordered, venues), _TEAM).drop("home_tz_delta")
+    pitch = _by_side(starter_features(ordered, rows, mode), _PITCH)
     parks = park_factor_of(ordered, park_factors(park_games if park_games is not None else ordered))
     out = parks.join(team, "game_pk").join(pitch, "game_pk")
     burn = burn_in_end if burn_in_end is not None else F.lit("1900-01-01").cast("date")
-    return out.select(
-        "game_pk", "season", "date", "game_number", "ord", "home_team_id", "away_team_id", "home_win", "home_form_15", "away_form_15", "home_run_diff_pg", "away_run_diff_pg", "home_rest_days", "away_rest_days", "away_tz_delta",
-        "home_sp_fip", "away_sp_fip", "home_sp_k_rate", "away_sp_k_rate", "park_factor", "home_games_played", "away_games_played", "home_form_low_confidence", "away_form_low_confidence",
-        "home_sp_trailing_ip", "away_sp_trailing_ip", "home_sp_low_confidence", "away_sp_low_confidence", "park_factor_imputed", (F.col("date") < burn).alias("is_burn_in"),
-    )
+    return out.select(*FEATURE_COLUMNS, (F.col("date") < burn).alias("is_burn_in"))
 
 
 def team_state(games: DataFrame, venues: DataFrame) -> DataFrame:
     """team_id, season, date, ord and what each team's season amounts to after every played game: form, run difference, games and offset."""
-    offsets = venues.select(F.col("venue_id").alias("__v"), F.col("offset").alias("last_offset"))
-    long = team_long(games).join(F.broadcast(offsets) if venues.limit(10_001).count() <= 10_000 else offsets, F.col("venue_id") == F.col("__v"), "left")
-    season = Window.partitionBy("team_id", "season").orderBy("ord")
-    near, all_ = season.rowsBetween(1 - FORM_GAMES, 0), season.rowsBetween(Window.unboundedPreceding, 0)
-    decided, n = F.count("won").over(near), F.count(F.lit(1)).over(all_)
-    return long.select(
-        "team_id", "season", "date", "ord", F.when(decided >= FORM_LEAST, F.sum("won").over(near) / decided).alias("form_15"),
-        F.when(n >= FORM_LEAST, F.sum("run_diff").over(all_) / n).alias("run_diff_pg"), n.cast("int").alias("games_played"), "last_offset",
-    )
+    rows = _segmented(team_long(games))
+    n, diff = _season_to_date(rows, 0)
+    out = _whole(rows.withColumns({"form_15": _form_of(rows, ["team_id", "season"], 0), "run_diff_pg": F.when(n >= FORM_LEAST, diff / n), "games_played": n.cast("int")}))
+    return out.join(_offsets(venues, "last_offset"), F.col("venue_id") == F.col("__v"), "left").select("team_id", "season", "date", "ord", "form_15", "run_diff_pg", "games_played", "last_offset")
 
 
-def _probed(targets: DataFrame, state: DataFrame, venues: DataFrame, side: str) -> DataFrame:
-    """game_pk and the columns of one side: the team's last state of the season before the target's day.
+def team_probes(probes: DataFrame, state: DataFrame, venues: DataFrame) -> DataFrame:
+    """form_15, run_diff_pg, games_played, form_low_confidence, rest_days and tz_delta of teams at positions of their own.
 
-    A target meets the games of its team's season, so its work is bounded by a season; rest days look at all seasons.
+    probes: game_pk, side, team_id, season, date, ord and venue_id. The state of the season is the last one before; rest days
+    look at all seasons. Probes and states are one stream, so the work grows with their sum.
     """
-    probe = targets.select("game_pk", F.col(f"{side}_team_id").alias("team_id"), F.col("season").alias("__season"), F.col("date").alias("__date"), "venue_id")
-    before = state.withColumnRenamed("date", "last_date")
-    met = probe.join(before, "team_id").filter("last_date < __date")
-    same = F.col("season") == F.col("__season")
-    last = F.max_by(F.when(same, F.struct("form_15", "run_diff_pg", "games_played", "last_offset")), F.when(same, F.col("ord")))
-    found = met.groupBy("game_pk").agg(F.max("last_date").alias("last_date"), last.alias("s"))
-    offsets = venues.select("venue_id", F.col("offset").alias("__offset"))
-    rows = probe.join(found, "game_pk", "left").join(offsets, "venue_id", "left")
+    season = segments.last_before(state, probes, ["team_id", "season"], ["form_15", "run_diff_pg", "games_played", "last_offset"], "s")
+    both = segments.last_before(state, season, ["team_id"], ["date"], "d")
     played = F.coalesce("s.games_played", F.lit(0))
+    rows = both.join(_offsets(venues, "__offset"), F.col("venue_id") == F.col("__v"), "left")
     return rows.select(
-        "game_pk", F.col("s.form_15").alias(f"{side}_form_15"), F.col("s.run_diff_pg").alias(f"{side}_run_diff_pg"), played.alias(f"{side}_games_played"), (played < FORM_GAMES).alias(f"{side}_form_low_confidence"),
-        F.coalesce(F.least(F.datediff("__date", "last_date"), F.lit(REST_CAP)), F.lit(REST_CAP)).alias(f"{side}_rest_days"),
-        F.when(F.col("__offset").isNotNull(), F.coalesce(F.abs(F.col("__offset") - F.col("s.last_offset")), F.lit(0))).alias(f"{side}_tz_delta"),
+        "game_pk", "side", "team_id", F.col("s.form_15").alias("form_15"), F.col("s.run_diff_pg").alias("run_diff_pg"), played.alias("games_played"), (played < FORM_GAMES).alias("form_low_confidence"),
+        F.coalesce(F.least(F.datediff("date", "d.date"), F.lit(REST_CAP)), F.lit(REST_CAP)).alias("rest_days"),
+        F.when(F.col("__offset").isNotNull(), F.coalesce(F.abs(F.col("__offset") - F.col("s.last_offset")), F.lit(0))).alias("tz_delta"),
     )
 
 
+def _merged(games: DataFrame, targets: DataFrame) -> DataFrame:
+    """Played games and targets in one order; targets of a day come before its games, so results of that day are not seen."""
+    same = ("game_pk", "season", "date", "game_number", "home_team_id", "away_team_id", "venue_id", "home_probable_id", "away_probable_id")
+    blank = targets.select(*[c for c in same if c in targets.columns], F.lit(True).alias("is_target"))
+    played = games.select(*[c for c in same[:7]], "home_score", "away_score", "home_win").withColumn("is_target", F.lit(False))
+    merged = played.unionByName(blank, allowMissingColumns=True)
+    first = F.when(F.col("is_target"), F.col("game_number") - 1_000).otherwise(F.col("game_number"))
+    return canonical_order(merged.withColumn("game_number", first))
+
+
+def played_targets(games: DataFrame, targets: DataFrame) -> DataFrame:
+    """game_pk, played_pk: the played game of the same teams and day; of several that of the target's number, else the first."""
+    at = ["home_team_id", "away_team_id", "date"]
+    done = games.select(*at, F.col("game_number").alias("__number"), F.col("game_pk").alias("__pk"))
+    met = targets.select("game_pk", *at, "game_number").join(done, at)
+    other = F.coalesce(F.col("__number") != F.col("game_number"), F.lit(True))
+    return met.groupBy("game_pk").agg(F.min(F.struct(other.alias("other"), "__number", "__pk")).alias("b")).select("game_pk", F.col("b.__pk").alias("played_pk"))
+
+
 def live_features(games: DataFrame, logs: DataFrame, venues: DataFrame, targets: DataFrame) -> DataFrame:
-    """Features of games not played yet (targets: game_pk, season, date, game_number, teams, venue and probables).
+    """Features of games to come, as of the morning of their day; FEATURE_COLUMNS, is_burn_in (false) and played.
 
-    Only played games of strictly earlier days count: a team's state is computed over played games and looked up for each
-    target, so a slate can hold several games of a team and several days.
+    targets: game_pk (a key that no game has), season, date, game_number (null: 1), teams, probables and, if known, venue_id; without
+    one the venue is that of the home team's last home game. A target that has been played is looked up instead: it gets the features
+    of its game with the actual starters, and its number and ord. For the others only games of strictly earlier days count, so a slate can
+    hold several games of a team and several days. An empty slate gives no rows.
     """
-    blank = targets.select("game_pk", "season", "date", "game_number", "home_team_id", "away_team_id", "venue_id", "home_probable_id", "away_probable_id", F.lit(True).alias("is_target"))
-    played = games.select(*[c for c in blank.columns if c in games.columns], "home_score", "away_score", "home_win").withColumn("is_target", F.lit(False))
-    merged = played.unionByName(blank, allowMissingColumns=True)
-    # targets of a day come before its games, so results of that day are not seen
-    ordered = canonical_order(merged.withColumn("game_number", F.when(F.col("is_target"), F.col("game_number") - 1_000).otherwise(F.col("game_number"))))
-    out = build_features(ordered, logs, venues, "predict", park_games=games)
-    out = out.join(targets.select("game_pk"), "game_pk", "left_semi").withColumn("game_number", F.col("game_number") + 1_000)
-    state = team_state(games if "ord" in games.columns else canonical_order(games), venues)
-    home, away = _probed(targets, state, venues, "home").drop("home_tz_delta"), _probed(targets, state, venues, "away")
-    own = {c for c in (*home.columns, *away.columns) if c != "game_pk"}
-    return out.drop(*own).join(home, "game_pk").join(away, "game_pk").select(*out.columns)
+    targets = targets.withColumn("game_number", F.coalesce("game_number", F.lit(1)))
+    if "venue_id" not in targets.columns:
+        targets = targets.withColumn("venue_id", F.lit(None).cast(games.schema["venue_id"].dataType))
+    hits = sinks.cut(played_targets(games, targets), "played-targets")
+    ordered = sinks.cut(_merged(games, targets.join(hits, "game_pk", "left_anti")), "ordered")
+    past, asked = ordered.filter("not is_target"), ordered.filter("is_target").withColumn("game_number", F.col("game_number") + 1_000)
+    homes = past.select(F.col("home_team_id").alias("team_id"), "ord", "venue_id")
+    asked = segments.last_before(homes, asked.withColumn("team_id", F.col("home_team_id")), ["team_id"], ["venue_id"], "home")
+    asked = sinks.cut(asked.withColumn("venue_id", F.coalesce("venue_id", "home.venue_id")).drop("home", "team_id"), "targets")
+    side = lambda s: F.struct(F.lit(s).alias("side"), F.col(f"{s}_team_id").alias("team_id"))
+    probes = asked.select("game_pk", "season", "date", "ord", "venue_id", F.explode(F.array(side("home"), side("away"))).alias("s")).select("game_pk", "season", "date", "ord", "venue_id", "s.*")
+    team = _by_side(team_probes(probes, team_state(past, venues), venues), _TEAM).drop("home_tz_delta")
+    pitch = _by_side(starter_features(ordered, log_rows(logs, past), "predict", asked), _PITCH)
+    parks = park_factor_of(asked, park_factors(games, seasons=asked))
+    live = parks.join(team, "game_pk").join(pitch, "game_pk").select(*FEATURE_COLUMNS, F.lit(False).alias("is_burn_in"), F.lit(False).alias("played"))
+    if hits.isEmpty():
+        return live
+    whole = build_features(games, logs, venues).withColumnRenamed("game_pk", "played_pk")
+    stored = hits.join(whole, "played_pk").select(*FEATURE_COLUMNS, "is_burn_in", F.lit(True).alias("played"))
+    return live.unionByName(stored)
+
+
+def team_components(games: DataFrame, logs: DataFrame, venues: DataFrame, teams: DataFrame, as_of: Column) -> DataFrame:
+    """team_id, side, form_15, run_diff_pg, games_played, rest_days and rotation of every team for either side, as of a date.
+
+    They do not depend on the opponent, so any pairing can be put together from them; away_tz_delta of such a pairing is 0.
+    """
+    asked = teams.select(F.col("team_id").cast("long").alias("game_pk"), F.year(as_of).alias("season"), as_of.alias("date"), F.lit(1).alias("game_number"), F.col("team_id").alias("home_team_id"), F.col("team_id").alias("away_team_id"))
+    ordered = sinks.cut(_merged(games, asked), "ordered")
+    past = ordered.filter("not is_target")
+    probes = ordered.filter("is_target").select("game_pk", F.explode(F.array(F.lit("home"), F.lit("away"))).alias("side"), F.col("home_team_id").alias("team_id"), "season", "date", "ord", "venue_id")
+    rot = rotation(log_rows(logs, past), past, as_of)
+    state = team_probes(probes, team_state(past, venues), venues).select("team_id", "side", "form_15", "run_diff_pg", "games_played", "rest_days")
+    return state.join(rot, "team_id", "left").withColumn("away_tz_delta", F.lit(0))
+
+
+def pair_components(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """Feature rows of pairs (home_team_id, away_team_id) from team_components: the home team's home row and the away team's away row."""
+    side = lambda s: components.filter(F.col("side") == s).select(F.col("team_id").alias(f"{s}_team_id"), *[F.col(a).alias(f"{s}_{b}") for a, b in (("form_15", "form_15"), ("run_diff_pg", "run_diff_pg"), ("rest_days", "rest_days"), ("rotation_fip", "sp_fip"), ("rotation_k", "sp_k_rate"))])
+    return pairs.join(side("home"), "home_team_id", "left").join(side("away"), "away_team_id", "left").withColumn("away_tz_delta", F.lit(0))
 
 
 def low_confidence_reasons(pitcher: Column, low: Column) -> Column:

@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import boosting
 from .metrics import evaluate
 from .splits import MODEL_COLUMNS
 
-C_GRID = tuple(10 ** (e / 2) for e in range(-6, 7))
+# Inverse regularisation tried for the logistic model.
+C_GRID = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0)
 GAIN = 0.002
 #: Less is better for fip, so its home side is negative.
 ASSERTED_SIGNS = {"home_form_15": 1, "away_form_15": -1, "home_run_diff_pg": 1, "away_run_diff_pg": -1, "home_sp_fip": -1, "away_sp_fip": 1, "home_sp_k_rate": 1, "away_sp_k_rate": -1}
-BOOSTED_GRID = tuple({"stepSize": lr, "maxIter": n, "maxDepth": d, "minInstancesPerNode": m} for lr in (0.03, 0.1, 0.2) for n in (50, 100, 200) for d in (3, 4, 5) for m in (1, 20))
+# The grid of the boosted model, 54 configurations.
+LEARNING_RATES, MAX_ITERS, MAX_LEAVES, L2 = (0.03, 0.05, 0.1), (100, 200, 400), (15, 31, 63), (0.0, 1.0)
+BOOSTED_GRID = tuple({"learning_rate": r, "max_iter": n, "leaves": m, "l2": l2} for r in LEARNING_RATES for n in MAX_ITERS for m in MAX_LEAVES for l2 in L2)
 
 
 def fit_logistic(train: DataFrame, columns: tuple[str, ...] = MODEL_COLUMNS, c: float = 1.0, impute: bool = False) -> PipelineModel:
@@ -35,10 +36,6 @@ def fit_logistic(train: DataFrame, columns: tuple[str, ...] = MODEL_COLUMNS, c:
     return Pipeline(stages=stages).fit(train)
 
 
-def fit_boosted(train: DataFrame, columns: tuple[str, ...] = MODEL_COLUMNS, **config) -> PipelineModel:
-    return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), GBTClassifier(labelCol="home_win", seed=7, **config)]).fit(train)
-
-
 def predict(model: PipelineModel, rows: DataFrame, name: str = "p") -> DataFrame:
     out = model.transform(rows)
     return out.select(*rows.columns, vector_to_array("probability")[1].alias(name))
@@ -68,35 +65,24 @@ def sign_audit(train: DataFrame, expected: dict[str, int]) -> DataFrame:
     return train.sparkSession.createDataFrame(rows, "name string, univariate double, multivariate double, expected int, ok boolean, collinear boolean")
 
 
-def search_boosted(tune: DataFrame, val: DataFrame, grid: tuple[dict, ...] = BOOSTED_GRID, at_once: int = 6) -> DataFrame:
+def search_boosted(tune: DataFrame, val: DataFrame, grid: tuple[dict, ...] = BOOSTED_GRID, columns: tuple[str, ...] = MODEL_COLUMNS) -> DataFrame:
     """config, its values and log_loss on val, for every configuration of the grid.
 
-    The first n trees of a longer fit are the fit of n iterations, so configurations that differ in maxIter alone share
-    the longest one's trees, and its loss after each iteration is read off. Spark's loss of a tree ensemble is twice the
-    log loss. Fits run side by side, at_once at a time.
+    The first n trees of a longer fit are the fit of n iterations, so configurations that differ in max_iter alone share
+    the longest one's trees. All fits advance together, a Spark job a round (boosting.boost).
     """
-    alike = defaultdict(list)
-    for g in grid:
-        alike[tuple(sorted((k, v) for k, v in g.items() if k != "maxIter"))].append(g["maxIter"])
-    tune, val = tune.cache(), val.cache()
-    tune.count(), val.count()  # before the fits, so that they do not all fill the cache
-
-    def losses(shared: tuple) -> list[float]:
-        assembler, boosted = fit_boosted(tune, maxIter=max(alike[shared]), **dict(shared)).stages
-        return boosted.evaluateEachIteration(assembler.transform(val))
-
-    with ThreadPool(at_once) as pool:
-        found = dict(zip(alike, pool.map(inheritable_thread_target(tune.sparkSession)(losses), alike, chunksize=1), strict=True))
-    rows = [(i, g["stepSize"], g["maxIter"], g["maxDepth"], g["minInstancesPerNode"], found[tuple(sorted((k, v) for k, v in g.items() if k != "maxIter"))][g["maxIter"] - 1] / 2) for i, g in enumerate(grid)]
-    tune.unpersist(), val.unpersist()
-    return tune.sparkSession.createDataFrame(rows, "config int, step_size double, max_iter int, max_depth int, min_instances int, log_loss double")
+    alike = list(dict.fromkeys((g["learning_rate"], g["leaves"], g["l2"]) for g in grid))
+    at = tuple(sorted({g["max_iter"] for g in grid}))
+    losses = boosting.boost(tune, val, [boosting.Fit(*a) for a in alike], columns, at[-1], at)
+    rows = [(i, g["learning_rate"], g["max_iter"], g["leaves"], g["l2"], losses[alike.index((g["learning_rate"], g["leaves"], g["l2"])), g["max_iter"]]) for i, g in enumerate(grid)]
+    return tune.sparkSession.createDataFrame(rows, "config int, learning_rate double, max_iter int, leaves int, l2 double, log_loss double")
 
 
 def select_config(search: DataFrame, within: float = GAIN) -> DataFrame:
-    """The simplest configuration within `within` of the best: few iterations, shallow, large leaves, small steps."""
+    """The simplest configuration within `within` of the best: few iterations, few leaves, much l2, small steps."""
     best = search.agg(F.min("log_loss").alias("best"))
     near = search.join(F.broadcast(best)).filter(F.col("log_loss") <= F.col("best") + within)  # one row
-    return near.orderBy("max_iter", "max_depth", F.desc("min_instances"), "step_size", "config").limit(1).drop("best")
+    return near.orderBy("max_iter", "leaves", F.desc("l2"), "learning_rate", "config").limit(1).drop("best")
 
 
 def winner_gate(spark: SparkSession, logistic_loss: float, boosted_loss: float, override: str | None = None) -> DataFrame:

@@ -82,10 +82,67 @@ def simulate(schedule: DataFrame, sims: int, u: Column | None = None, seed: int
     return cells.select("sim", "game_pk", pick("home_team_id", "away_team_id").alias("winner"), pick("away_team_id", "home_team_id").alias("loser"))
 
 
-def sim_totals(current: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """sim, team_id, wins, losses: current record and simulated games."""
-    sim = records(outcomes, "sim")
-    return sim.join(current.select("team_id", F.col("wins").alias("w0"), F.col("losses").alias("l0")), "team_id", "left").select("sim", "team_id", (F.col("wins") + F.coalesce("w0", F.lit(0))).alias("wins"), (F.col("losses") + F.coalesce("l0", F.lit(0))).alias("losses"))
+def sim_totals(current: DataFrame, outcomes: DataFrame, teams: DataFrame, sims: int) -> DataFrame:
+    """sim, team_id, wins, losses: current record and simulated games, for every team in every simulation.
+
+    teams: team_id of all that count; a team without games left has its current record, one without any game 0 and 0.
+    """
+    frame = teams.select("team_id", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
+    zero = lambda *c: [F.coalesce(x, F.lit(0)) for x in c]
+    now = F.broadcast(teams.select("team_id").join(current.select("team_id", F.col("wins").alias("w0"), F.col("losses").alias("l0")), "team_id"))  # a row a team
+    rows = frame.join(records(outcomes, "sim"), ["sim", "team_id"], "left").join(now, "team_id", "left")
+    wins, w0, losses, l0 = zero("wins", "w0", "losses", "l0")
+    return rows.select("sim", "team_id", (wins + w0).alias("wins"), (losses + l0).alias("losses"))
+
+
+def sim_fields(played: DataFrame, pairs: DataFrame, teams: DataFrame, sims: int, draw: Column) -> DataFrame:
+    """sim, league, team_id, wins, losses, seed (1-6), leader: the playoff field of each simulation by the whole tie-break.
+
+    Wins, wins against those of the league with equal wins, share of games inside the division, then draw (a number of sim and
+    team_id) and team_id. played: winner, loser, n so far; pairs: sim, winner, loser, n simulated; teams: team_id, league, division; all
+    of a season's size but for pairs. Each simulation becomes one row per league with an array of its teams, and is
+    ranked there; nothing is joined by simulation. Teams without games stay.
+    """
+    place = lambda side: teams.select(F.col("team_id").alias(side), F.col("league").alias(f"{side}_league"), F.col("division").alias(f"{side}_division"))
+    known = pairs.select("sim", "winner", "loser", "n").join(F.broadcast(place("winner")), "winner").join(F.broadcast(place("loser")), "loser")  # a row a team
+    same_division, same_league = F.col("winner_division") == F.col("loser_division"), F.col("winner_league") == F.col("loser_league")
+
+    def sides(rows: DataFrame, *by: str) -> DataFrame:
+        n, inside = F.col("n"), F.when(same_division, F.col("n")).otherwise(0)
+        none = F.lit(0)
+        one = F.struct(F.col("winner").alias("team_id"), n.alias("w"), none.alias("l"), inside.alias("dw"), none.alias("dl"), F.when(same_league, F.struct(F.col("loser").alias("other"), n.alias("n"))).alias("beaten"))
+        two = F.struct(F.col("loser").alias("team_id"), none.alias("w"), n.alias("l"), none.alias("dw"), inside.alias("dl"), F.lit(None).cast("struct<other:int,n:long>").alias("beaten"))
+        sums = [F.sum(c).alias(c) for c in ("w", "l", "dw", "dl")]
+        # at most one entry for each other team of the league
+        return rows.select(*by, F.explode(F.array(one, two)).alias("s")).select(*by, "s.*").groupBy(*by, "team_id").agg(*sums, F.collect_list("beaten").alias("beaten"))
+
+    past = played.select("winner", "loser", "n").join(F.broadcast(place("winner")), "winner").join(F.broadcast(place("loser")), "loser")
+    before = teams.select("team_id", "league", "division").join(sides(past).select("team_id", *[F.col(c).alias(f"{c}0") for c in ("w", "l", "dw", "dl", "beaten")]), "team_id", "left")
+    # a row for each team of each simulation, so that those without games stay
+    frame = teams.select(F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"), "team_id")
+    empty = {c: F.lit(0).cast("long") for c in ("w", "l", "dw", "dl")} | {"beaten": F.lit(None).cast("array<struct<other:int,n:long>>")}
+    rows = sides(known, "sim").unionByName(frame.withColumns(empty)).join(F.broadcast(before), "team_id")  # a row a team
+    total = lambda c: F.sum(c) + F.coalesce(F.first(f"{c}0"), F.lit(0))
+    team = rows.groupBy("sim", "league", "division", "team_id").agg(
+        total("w").alias("wins"), total("l").alias("losses"), total("dw").alias("dw"), total("dl").alias("dl"),
+        F.flatten(F.array_append(F.collect_list("beaten"), F.coalesce(F.first("beaten0"), F.array().cast("array<struct<other:int,n:long>>")))).alias("beaten"),
+    )
+    share = F.when(F.col("dw") + F.col("dl") > 0, F.col("dw") / (F.col("dw") + F.col("dl"))).otherwise(0.0)
+    one = F.struct("team_id", "division", "wins", "losses", share.alias("share"), draw.alias("draw"), "beaten")
+    leagues = team.groupBy("sim", "league").agg(F.collect_list(one).alias("teams"))
+
+    def placed(t: Column) -> Column:
+        level = F.transform(F.filter("teams", lambda o: (o["wins"] == t["wins"]) & (o["team_id"] != t["team_id"])), lambda o: o["team_id"])
+        inside = F.aggregate(t["beaten"], F.lit(0).cast("long"), lambda s, x: s + F.when(F.array_contains(level, x["other"]), x["n"]).otherwise(0))
+        inside = F.when(F.size(level) > 0, inside).otherwise(0)
+        return F.struct((-t["wins"]).alias("a"), (-inside).alias("b"), (-t["share"]).alias("c"), t["draw"].alias("d"), t["team_id"].alias("team_id"), t["division"].alias("division"), t["losses"].alias("losses"))
+
+    order = leagues.select("sim", "league", F.array_sort(F.transform("teams", placed)).alias("order"))
+    leads = lambda t, i: ~F.exists(F.slice("order", F.lit(1), i), lambda o: o["division"] == t["division"])
+    marked = order.select("sim", "league", F.transform("order", lambda t, i: F.struct(t.alias("t"), leads(t, i).alias("leader"))).alias("m"))
+    seeds = F.slice(F.concat(F.filter("m", lambda x: x["leader"]), F.filter("m", lambda x: ~x["leader"])), 1, 6)
+    out = marked.select("sim", "league", F.posexplode(seeds).alias("at", "x"))
+    return out.select("sim", "league", F.col("x.t.team_id").alias("team_id"), (-F.col("x.t.a")).alias("wins"), F.col("x.t.losses").alias("losses"), (F.col("at") + 1).alias("seed"), F.col("x.leader").alias("leader"))
 
 
 def win_distribution(totals: DataFrame) -> DataFrame:

@@ -376,13 +376,69 @@ def targets_of(b: Base, day: str = "2001-06-01") -> DataFrame:
     return t.join(p("home"), "home_team_id", "left").join(p("away"), "away_team_id", "left")
 
 
-_SEASON = "(SELECT team_id, CASE WHEN count(won) FILTER (k <= 15) >= 5 THEN CAST(sum(won) FILTER (k <= 15) AS DOUBLE) / count(won) FILTER (k <= 15) END AS form, count(*) AS gp, max(date) AS last FROM (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY ord DESC) AS k FROM long WHERE season = 2001 AND date < DATE '2001-06-01') GROUP BY 1)"
-
-
-@query(sql(f"""SELECT CAST(-1 - t.team_id AS BIGINT) AS game_pk, round(h.form, {DIGITS}) AS home_form_15, round(a.form, {DIGITS}) AS away_form_15, CAST(coalesce(h.gp, 0) AS INT) AS home_games_played, CAST(coalesce(a.gp, 0) AS INT) AS away_games_played, CAST(coalesce(least(date_diff('day', h.last, DATE '2001-06-01'), 5), 5) AS INT) AS home_rest_days
-  FROM (SELECT home_team_id AS team_id FROM games UNION SELECT away_team_id FROM games) t LEFT JOIN {_SEASON} h USING (team_id) LEFT JOIN {_SEASON} a ON a.team_id = (t.team_id + 1) % 30 WHERE t.team_id % 2 = 0""", "long"))
+def slate_of(b: Base) -> DataFrame:
+    """Targets of two days, the second without venues and partly without probables, and played games of the season."""
+    first = targets_of(b)
+    t = F.col("home_team_id")
+    probable = lambda s: F.when(F.col(f"{s}_team_id") % 3 != 0, F.col(f"{s}_probable_id")).alias(f"{s}_probable_id")
+    second = first.select(
+        (F.lit(-101) - t).cast("long").alias("game_pk"), "season", DAY("2001-06-04").alias("date"), F.lit(2).alias("game_number"), "home_team_id", "away_team_id",
+        F.lit(None).cast("int").alias("venue_id"), probable("home"), probable("away"),
+    )
+    number = (F.col("game_number") + (F.col("game_pk") % 80 == 0).cast("int")).alias("game_number")
+    done = b.played.filter("season = 2001 and game_pk % 40 = 0").select((F.lit(-1000) - F.col("game_pk")).cast("long").alias("game_pk"), "season", "date", number, "home_team_id", "away_team_id")
+    return first.select(second.columns).unionByName(second).unionByName(done, allowMissingColumns=True)
+
+
+_TARGETS = """pick AS (SELECT team_id, arg_max(pitcher_id, ord) AS p FROM rows_ WHERE is_starter AND date < DATE '2001-06-01' GROUP BY 1),
+  homes AS (SELECT home_team_id AS team_id FROM games UNION SELECT away_team_id FROM games),
+  first AS (SELECT -1 - t.team_id AS game_pk, DATE '2001-06-01' AS date, 1 AS game_number, t.team_id AS h, (t.team_id + 1) % 30 AS a, t.team_id AS venue, x.p AS hp, y.p AS ap
+    FROM homes t LEFT JOIN pick x ON x.team_id = t.team_id LEFT JOIN pick y ON y.team_id = (t.team_id + 1) % 30 WHERE t.team_id % 2 = 0),
+  tt AS (SELECT * FROM first UNION ALL SELECT -101 - h, DATE '2001-06-04', 2, h, a,
+      (SELECT arg_max({'v': venue_id}, ord).v FROM o WHERE home_team_id = h AND o.date < DATE '2001-06-04'), CASE WHEN h % 3 <> 0 THEN hp END, CASE WHEN a % 3 <> 0 THEN ap END FROM first)"""
+# What is known of a team, a pitcher and the league on the morning of a target's day. The season is the last one, so its rows come first.
+_MORNING = """sides AS (SELECT game_pk, date, venue, 'home' AS side, h AS team_id, hp AS pitcher FROM tt UNION ALL SELECT game_pk, date, venue, 'away', a, ap FROM tt),
+  hist AS (SELECT s.game_pk, s.side, l.season, l.won, l.run_diff, l.date, v.off, row_number() OVER (PARTITION BY s.game_pk, s.side ORDER BY l.ord DESC) AS k
+    FROM sides s JOIN long l ON l.team_id = s.team_id AND l.date < s.date LEFT JOIN venues v ON v.venue_id = l.venue_id),
+  teamed AS (SELECT s.game_pk, s.side, any_value(s.team_id) AS team_id, count(h.k) FILTER (h.season = 2001) AS gp,
+      CASE WHEN count(h.won) FILTER (h.season = 2001 AND k <= 15) >= 5 THEN CAST(sum(h.won) FILTER (h.season = 2001 AND k <= 15) AS DOUBLE) / count(h.won) FILTER (h.season = 2001 AND k <= 15) END AS form,
+      CASE WHEN count(h.k) FILTER (h.season = 2001) >= 5 THEN CAST(sum(h.run_diff) FILTER (h.season = 2001) AS DOUBLE) / count(h.k) FILTER (h.season = 2001) END AS rd,
+      CAST(coalesce(least(date_diff('day', max(h.date), any_value(s.date)), 5), 5) AS INT) AS rest,
+      CASE WHEN any_value(t.off) IS NOT NULL THEN coalesce(abs(any_value(t.off) - max(h.off) FILTER (h.season = 2001 AND k = 1)), 0) END AS tz
+    FROM sides s LEFT JOIN hist h USING (game_pk, side) LEFT JOIN venues t ON t.venue_id = s.venue GROUP BY 1, 2),
+  apps AS (SELECT s.game_pk AS target, s.side, c.* FROM sides s JOIN cum c ON c.pitcher_id = s.pitcher AND c.date < s.date),
+  tot AS (SELECT target, side, sum(ip_outs) AS o, sum(home_runs) AS hr, sum(walks) + sum(hit_by_pitch) AS bb, sum(strikeouts) AS k, sum(batters_faced) AS bf FROM apps GROUP BY 1, 2),
+  stops AS (SELECT t.target, t.side, max(j.ord) AS stop FROM tot t JOIN apps j USING (target, side) WHERE t.o - j.b_o >= 180 GROUP BY 1, 2),
+  state AS (SELECT t.target, t.side, t.o >= 180 AS enough, t.o - coalesce(j.b_o, 0) AS o, t.hr - coalesce(j.b_hr, 0) AS hr, t.bb - coalesce(j.b_bb + j.b_hb, 0) AS bb, t.k - coalesce(j.b_k, 0) AS k, t.bf - coalesce(j.b_bf, 0) AS bf
+    FROM tot t LEFT JOIN stops s USING (target, side) LEFT JOIN apps j ON j.target = t.target AND j.side = t.side AND j.ord = s.stop),
+  pool AS (SELECT tt.game_pk AS target, CAST(13 * sum(home_runs) + 3 * (sum(walks) + sum(hit_by_pitch)) - 2 * sum(strikeouts) AS DOUBLE) / (sum(ip_outs) / 3.0) AS fip, CAST(sum(strikeouts) AS DOUBLE) / sum(batters_faced) AS k
+    FROM tt JOIN rows_ r ON r.is_starter AND r.date < tt.date AND r.date >= tt.date - 365 GROUP BY 1),
+  thrown AS (SELECT s.game_pk, s.side, CASE WHEN enough THEN CAST(13 * c.hr + 3 * c.bb - 2 * c.k AS DOUBLE) / (c.o / 3.0) ELSE p.fip END AS fip, CASE WHEN enough THEN CAST(c.k AS DOUBLE) / c.bf ELSE p.k END AS k,
+      coalesce(c.o, 0) / 3.0 AS trailing_ip, NOT coalesce(enough, FALSE) AS low FROM sides s LEFT JOIN state c ON c.target = s.game_pk AND c.side = s.side LEFT JOIN pool p ON p.target = s.game_pk)"""
+_LIVE_COLUMNS = [c for c in asof.FEATURE_COLUMNS if c != "ord"]
+
+
+def _morning_sql(body: str, more: str = "") -> str:
+    head = ",\n".join(x for x in (_TARGETS, _MORNING, more) if x)
+    return sql(f", {head}\n{body}", "cum", "long", "venues", "features")
+
+
+_LIVE = """live AS (SELECT tt.game_pk, 2001 AS season, tt.date, tt.game_number, h AS home_team_id, a AS away_team_id, NULL::INT AS home_win, th.form AS home_form_15, ta.form AS away_form_15, th.rd AS home_run_diff_pg, ta.rd AS away_run_diff_pg,
+      th.rest AS home_rest_days, ta.rest AS away_rest_days, ta.tz AS away_tz_delta, ph.fip AS home_sp_fip, pa.fip AS away_sp_fip, ph.k AS home_sp_k_rate, pa.k AS away_sp_k_rate, coalesce(f.park_factor, 1.0) AS park_factor,
+      th.gp AS home_games_played, ta.gp AS away_games_played, th.gp < 15 AS home_form_low_confidence, ta.gp < 15 AS away_form_low_confidence, ph.trailing_ip AS home_sp_trailing_ip, pa.trailing_ip AS away_sp_trailing_ip,
+      ph.low AS home_sp_low_confidence, pa.low AS away_sp_low_confidence, f.park_factor IS NULL AS park_factor_imputed, FALSE AS played
+    FROM tt JOIN teamed th ON th.game_pk = tt.game_pk AND th.side = 'home' JOIN teamed ta ON ta.game_pk = tt.game_pk AND ta.side = 'away'
+      JOIN thrown ph ON ph.game_pk = tt.game_pk AND ph.side = 'home' JOIN thrown pa ON pa.game_pk = tt.game_pk AND pa.side = 'away' LEFT JOIN park f ON f.season = 2001 AND f.venue_id = tt.venue),
+  asked AS (SELECT -1000 - game_pk AS game_pk, date, game_number + CAST(game_pk % 80 = 0 AS INT) AS number, home_team_id AS h, away_team_id AS a FROM played WHERE season = 2001 AND game_pk % 40 = 0),
+  hits AS (SELECT t.game_pk, p.game_pk AS pk FROM asked t JOIN played p ON p.home_team_id = t.h AND p.away_team_id = t.a AND p.date = t.date
+    QUALIFY row_number() OVER (PARTITION BY t.game_pk ORDER BY p.game_number <> t.number, p.game_number, p.game_pk) = 1)"""
+_DOUBLES = {"home_form_15", "away_form_15", "home_run_diff_pg", "away_run_diff_pg", "home_sp_fip", "away_sp_fip", "home_sp_k_rate", "away_sp_k_rate", "park_factor", "home_sp_trailing_ip", "away_sp_trailing_ip"}
+_SHOWN = ", ".join(r(c) if c in _DOUBLES else c for c in _LIVE_COLUMNS)
+
+
+@query(_morning_sql(f"SELECT {_SHOWN}, played FROM live UNION ALL SELECT h.game_pk, {_SHOWN.replace('game_pk, ', '', 1)}, TRUE FROM hits h JOIN features f ON f.game_pk = h.pk", _LIVE))
 def d19_live_features(b):
-    return asof.live_features(b.played, b.logs, b.venues, targets_of(b)).select("game_pk", "home_form_15", "away_form_15", "home_games_played", "away_games_played", "home_rest_days")
+    return asof.live_features(b.played, b.logs, b.venues, slate_of(b)).select(*_LIVE_COLUMNS, "played")
 
 
 @query(sql("SELECT game_pk, side, CASE WHEN pitcher_id IS NULL THEN 'starter_not_announced' WHEN low_confidence THEN 'starter_low_ip' END AS reason FROM starter", "starter"))
@@ -404,7 +460,7 @@ _ROTATION = """before AS (SELECT * FROM cum WHERE date < DATE '2001-06-01'),
 
 
 def _rotation_sql(body: str) -> str:
-    return sql(body, "cum", "long").replace("\n" + body, ",\n" + _ROTATION + "\n" + body)
+    return sql(body, "cum", "long", "venues").replace("\n" + body, ",\n" + _ROTATION + "\n" + body)
 
 
 @query(_rotation_sql(f"SELECT team_id, {r('rotation_fip')}, {r('rotation_k')}, starters FROM rotation"))
@@ -412,17 +468,18 @@ def d21_rotation(b):
     return asof.rotation(b.rows, b.ordered, DAY("2001-06-01"))
 
 
-_SEASON_RUNS = _SEASON.replace("count(*) AS gp,", "count(*) AS gp, CASE WHEN count(*) >= 5 THEN CAST(sum(run_diff) AS DOUBLE) / count(*) END AS rd,")
+_EVERY_TEAM = """tt AS (SELECT team_id AS game_pk, DATE '2001-06-01' AS date, 1 AS game_number, team_id AS h, team_id AS a, NULL::INT AS venue, NULL::BIGINT AS hp, NULL::BIGINT AS ap
+    FROM (SELECT home_team_id AS team_id FROM games UNION SELECT away_team_id FROM games))"""
 
 
-@query(_rotation_sql(f"""SELECT t.team_id, t.side, {r('form', 'form_15')}, {r('rd', 'run_diff_pg')}, CAST(coalesce(least(date_diff('day', s.last, DATE '2001-06-01'), 5), 5) AS INT) AS rest_days, {r('rotation_fip')}, {r('rotation_k')}, starters, 0 AS away_tz_delta
-  FROM (SELECT DISTINCT CAST(unnest([team_id, (team_id + 1) % 30]) AS INT) AS team_id, unnest(['home', 'away']) AS side FROM (SELECT home_team_id AS team_id FROM games UNION SELECT away_team_id FROM games) WHERE team_id % 2 = 0) t LEFT JOIN {_SEASON_RUNS} s USING (team_id) LEFT JOIN rotation USING (team_id)"""))
+@query(
+    _rotation_sql(
+        f"""SELECT t.team_id, t.side, {r('form', 'form_15')}, {r('rd', 'run_diff_pg')}, CAST(t.gp AS INT) AS games_played, rest AS rest_days, {r('rotation_fip')}, {r('rotation_k')}, starters, 0 AS away_tz_delta
+        FROM teamed t LEFT JOIN rotation USING (team_id)"""
+    ).replace("\n" + _ROTATION, "\n" + _EVERY_TEAM + ",\n" + _MORNING.partition(",\n  apps AS")[0] + ",\n" + _ROTATION)
+)
 def d22_team_components(b):
-    live = asof.live_features(b.played, b.logs, b.venues, targets_of(b))
-    rot = asof.rotation(b.rows, b.ordered, DAY("2001-06-01"))
-    home = live.select(F.col("home_team_id").alias("team_id"), F.lit("home").alias("side"), F.col("home_form_15").alias("form_15"), F.col("home_run_diff_pg").alias("run_diff_pg"), F.col("home_rest_days").alias("rest_days"))
-    away = live.select(F.col("away_team_id").alias("team_id"), F.lit("away").alias("side"), F.col("away_form_15").alias("form_15"), F.col("away_run_diff_pg").alias("run_diff_pg"), F.col("away_rest_days").alias("rest_days"))
-    return home.unionByName(away).join(rot, "team_id", "left").withColumn("away_tz_delta", F.lit(0))
+    return asof.team_components(b.played, b.logs, b.venues, b.teams, DAY("2001-06-01"))
 
 
 @query(sql("""SELECT game_pk, team_id, feature, games, last_ord FROM (SELECT game_pk, team_id, 'form_15' AS feature, count(*) OVER w AS games, max(ord) OVER w AS last_ord FROM long WINDOW w AS (PARTITION BY team_id, season ORDER BY ord ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING)

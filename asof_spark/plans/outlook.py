@@ -10,7 +10,7 @@ from asof_spark.operators import metrics, models, ratings, standings
 
 from .base import DIGITS, Base, replay_sql, sql
 from .batch import _AFTER, _BY_NUMBER, query
-from .scoring import sim_field, stored
+from .scoring import sim_field, sim_sql, stored
 
 # --- ratings -------------------------------------------------------------------------------------------------
 
@@ -49,9 +49,16 @@ def first_round(field: DataFrame) -> DataFrame:
     return slots.select("sim", F.lit("first").alias("round"), F.explode("slots").alias("s")).select("sim", "round", "s.hi", "s.lo")
 
 
-@query()
+@query(
+    sim_sql(
+        """SELECT round, a_id, b_id, CASE WHEN round IS NOT NULL THEN coalesce(n, 0) END AS n
+        FROM (SELECT a.team_id AS a_id, b.team_id AS b_id, unnest(['first', NULL]) AS round FROM teams a JOIN teams b ON a.team_id < b.team_id)
+        LEFT JOIN (SELECT least(a.team_id, b.team_id) AS a_id, greatest(a.team_id, b.team_id) AS b_id, count(*) AS n FROM field a
+          JOIN field b ON b.sim = a.sim AND b.league = a.league AND ((a.seed = 3 AND b.seed = 6) OR (a.seed = 4 AND b.seed = 5)) GROUP BY ALL) USING (a_id, b_id)"""
+    )
+)
 def j12_pair_occurrences(b: Base):
-    """Every pair of teams in the first round, and in a single game, which is no round. Its draws cannot be said in SQL."""
+    """Every pair of teams in the first round, and in a single game, which is no round."""
     brackets = stored(b, first_round(sim_field(b)), "brackets")
     pairs = ratings.ordered_pairs(b.teams).filter("a.team_id < b.team_id").select(F.col("a.team_id").alias("a_id"), F.col("b.team_id").alias("b_id"))
     rounds = pairs.select(F.explode(F.array(F.lit("first"), F.lit(None).cast("string"))).alias("round"), "a_id", "b_id")

@@ -66,14 +66,31 @@ def g4_search_boosted(b):
     return models.search_boosted(split_of(b, _TUNE), split_of(b, _VAL))
 
 
-_SEARCH = "SELECT CAST(team_id AS INT) AS config, CAST(CASE team_id % 3 WHEN 0 THEN 0.03 WHEN 1 THEN 0.1 ELSE 0.2 END AS DOUBLE) AS step_size, CAST(50 * (1 + team_id % 4) AS INT) AS max_iter, CAST(3 + team_id % 3 AS INT) AS max_depth, CAST(1 + team_id % 2 * 19 AS INT) AS min_instances, round(0.68 + (rating - 1455) / 20000, 9) AS log_loss FROM ratings"
-
-
-@query(sql(f"SELECT * FROM ({_SEARCH}) WHERE log_loss <= (SELECT min(log_loss) FROM ({_SEARCH})) + 0.002 ORDER BY max_iter, max_depth, min_instances DESC, step_size, config LIMIT 1", "ratings"))
+# A search table of the grid's configurations: the log loss of ratings that are trusted the more, the further a
+# configuration goes.
+_TRUST = "least(1.0, learning_rate * max_iter / 10.0) / (1.0 + 10.0 * l2 / leaves)"
+_SEARCH = f"""SELECT learning_rate, max_iter, leaves, l2,
+    round(avg(CASE WHEN home_win = 1 THEN -ln(0.5 + {_TRUST} * (elo - 0.5)) ELSE -ln(0.5 - {_TRUST} * (elo - 0.5)) END), 9) AS log_loss
+  FROM scored, unnest([{", ".join(map(str, models.LEARNING_RATES))}]) AS r(learning_rate), unnest([{", ".join(map(str, models.MAX_ITERS))}]) AS i(max_iter),
+    unnest([{", ".join(map(str, models.MAX_LEAVES))}]) AS m(leaves), unnest([{", ".join(map(str, models.L2))}]) AS l(l2)
+  WHERE home_win IS NOT NULL GROUP BY ALL"""
+
+
+@query(
+    sql(
+        f""", s AS ({_SEARCH})
+        SELECT CAST(learning_rate AS DOUBLE) AS learning_rate, CAST(max_iter AS INT) AS max_iter, CAST(leaves AS INT) AS leaves, CAST(l2 AS DOUBLE) AS l2, log_loss
+        FROM s WHERE log_loss <= (SELECT min(log_loss) FROM s) + 0.002
+        ORDER BY max_iter, leaves, l2 DESC, learning_rate LIMIT 1""",
+        "scored",
+    )
+)
 def g5_select_config(b):
-    t = F.col("team_id")
-    search = b.ratings.select(t.cast("int").alias("config"), F.when(t % 3 == 0, 0.03).when(t % 3 == 1, 0.1).otherwise(0.2).alias("step_size"), (50 * (1 + t % 4)).cast("int").alias("max_iter"), (3 + t % 3).cast("int").alias("max_depth"), (1 + t % 2 * 19).cast("int").alias("min_instances"), F.round(0.68 + (F.col("rating") - 1455) / 20000, 9).alias("log_loss"))
-    return models.select_config(search)
+    configs = F.array(*[F.struct(F.lit(i).alias("config"), *[F.lit(v).alias(k) for k, v in g.items()]) for i, g in enumerate(models.BOOSTED_GRID)])
+    grid = b.scored.filter("home_win IS NOT NULL").select("home_win", "elo", F.explode(configs).alias("g")).select("home_win", "elo", "g.*")
+    lean = F.expr(_TRUST) * (F.col("elo") - 0.5)
+    loss = F.round(F.avg(-F.ln(0.5 + F.when(F.col("home_win") == 1, lean).otherwise(-lean))), 9)
+    return models.select_config(grid.groupBy("config", "learning_rate", "max_iter", "leaves", "l2").agg(loss.alias("log_loss"))).drop("config")
 
 
 @query()
@@ -324,11 +341,37 @@ def pairs(b: Base) -> DataFrame:
 def totals(b: Base) -> DataFrame:
     """Totals of every simulation; from the sums by pair where the query has them, else straight from the games."""
     rec = standings.records(standings.winner_loser(b.played.filter("season = 2000")))
-    return standings.sim_totals(rec, b.simulated if hasattr(b, "simulated") else outcomes(b))
-
-
-_SIM = f"(SELECT sim, game_pk, CASE WHEN {_U} < elo THEN home_team_id ELSE away_team_id END AS winner, CASE WHEN {_U} < elo THEN away_team_id ELSE home_team_id END AS loser FROM slate CROSS JOIN (SELECT unnest(range({SIMS})) AS sim) WHERE season = 2001)"
-_TOTALS = f"(SELECT s.sim, s.team_id, s.wins + coalesce(r.wins, 0) AS wins, s.losses + coalesce(r.losses, 0) AS losses FROM (SELECT sim, team_id, CAST(sum(w) AS BIGINT) AS wins, CAST(sum(1 - w) AS BIGINT) AS losses FROM (SELECT sim, winner AS team_id, 1 AS w FROM {_SIM} UNION ALL SELECT sim, loser, 0 FROM {_SIM}) GROUP BY 1, 2) s LEFT JOIN ({_REC}) r ON r.season = 2000 AND r.team_id = s.team_id)"
+    return standings.sim_totals(rec, b.simulated if hasattr(b, "simulated") else outcomes(b), b.teams, SIMS)
+
+
+_SIM = f"""(SELECT sim, game_pk, CASE WHEN {_U} < elo THEN home_team_id ELSE away_team_id END AS winner,
+    CASE WHEN {_U} < elo THEN away_team_id ELSE home_team_id END AS loser
+  FROM slate CROSS JOIN (SELECT unnest(range({SIMS})) AS sim) WHERE season = 2001)"""
+#: Common tables: results by pair of teams in every simulation, played ones included, and totals of every team.
+_PAIRED = f"""past AS (SELECT winner, loser, count(*) AS n FROM wl WHERE season = 2000 GROUP BY ALL),
+  seasons AS (SELECT unnest(range({SIMS})) AS sim),
+  teams AS (SELECT home_team_id AS team_id FROM games UNION SELECT away_team_id FROM games),
+  met AS (SELECT sim, winner, loser, count(*) AS n FROM {_SIM} GROUP BY ALL UNION ALL SELECT sim, winner, loser, n FROM past CROSS JOIN seasons),
+  sums AS (SELECT sim, team_id, sum(w) AS wins, sum(l) AS losses, sum(w) FILTER (inside) AS dw, sum(l) FILTER (inside) AS dl FROM (
+      SELECT sim, winner AS team_id, n AS w, 0 AS l, winner % 6 = loser % 6 AS inside FROM met
+      UNION ALL SELECT sim, loser, 0, n, winner % 6 = loser % 6 FROM met) GROUP BY ALL),
+  totals AS (SELECT s.sim, t.team_id, t.team_id % 2 AS league, t.team_id % 6 AS division, coalesce(wins, 0)::BIGINT AS wins, coalesce(losses, 0)::BIGINT AS losses,
+      CASE WHEN coalesce(dw, 0) + coalesce(dl, 0) > 0 THEN coalesce(dw, 0)::DOUBLE / (coalesce(dw, 0) + coalesce(dl, 0)) ELSE 0 END AS share
+    FROM seasons s CROSS JOIN teams t LEFT JOIN sums u ON u.sim = s.sim AND u.team_id = t.team_id)"""
+#: A number drawn for a team in a simulation, the last step of the tie-break.
+_DRAW = "((team_id + 1) * 611953L + (sim + 1) * 104729L * (team_id % 7 + 1)) % 1000003"
+_FIELD = f"""{_PAIRED},
+  level AS (SELECT a.sim, a.team_id, sum(m.n) AS h2h FROM totals a JOIN totals b ON b.sim = a.sim AND b.league = a.league AND b.wins = a.wins AND b.team_id <> a.team_id
+      JOIN met m ON m.sim = a.sim AND m.winner = a.team_id AND m.loser = b.team_id GROUP BY ALL),
+  drawn AS (SELECT *, {_DRAW.replace('L', '::BIGINT')} AS draw FROM totals),
+  ranked AS (SELECT t.*, row_number() OVER (PARTITION BY t.sim, league ORDER BY wins DESC, coalesce(h2h, 0) DESC, share DESC, draw, t.team_id) AS place
+    FROM drawn t LEFT JOIN level l ON l.sim = t.sim AND l.team_id = t.team_id),
+  led AS (SELECT *, row_number() OVER (PARTITION BY sim, league, division ORDER BY place) = 1 AS leader FROM ranked),
+  field AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sim, league ORDER BY leader DESC, place) AS seed FROM led) WHERE seed <= 6)"""
+
+
+def sim_sql(body: str, tables: str = _FIELD) -> str:
+    return sql(f", {tables}\n{body}", "scored", "wl")
 
 
 @query(sql(f"SELECT CAST(sim AS INT) AS sim, game_pk, winner, loser FROM {_SIM}", "scored"))
@@ -336,23 +379,23 @@ def j6_simulate(b):
     return outcomes(b)
 
 
-@query(sql(f"SELECT team_id, round(avg(wins), {D}) AS mean_wins, round(quantile_cont(wins, 0.1), {D}) AS p10, round(quantile_cont(wins, 0.9), {D}) AS p90 FROM {_TOTALS} GROUP BY 1", "scored", "wl"))
+@query(sim_sql(f"SELECT team_id, round(avg(wins), {D}) AS mean_wins, round(quantile_cont(wins, 0.1), {D}) AS p10, round(quantile_cont(wins, 0.9), {D}) AS p90 FROM totals GROUP BY 1", _PAIRED))
 def j7_win_distribution(b):
     return standings.win_distribution(totals(b))
 
 
-_FIELD = f"""(SELECT *, row_number() OVER (PARTITION BY sim, league ORDER BY leader DESC, wins DESC, team_id) AS seed FROM (SELECT *, row_number() OVER (PARTITION BY sim, league, division ORDER BY wins DESC, team_id) = 1 AS leader FROM (SELECT sim, team_id, wins, team_id % 2 AS league, team_id % 6 AS division FROM {_TOTALS})))"""
-
-
 def sim_field(b: Base) -> DataFrame:
     """Fields by the whole tie-break inside each simulation: played and simulated games count, the draw is made anew."""
     past = standings.winner_loser(b.played.filter("season = 2000")).groupBy("winner", "loser").agg(F.count(F.lit(1)).alias("n"))
-    both = pairs(b).unionByName(past.select(F.explode(F.sequence(F.lit(0), F.lit(SIMS - 1))).alias("sim"), "winner", "loser", "n"))
-    ranked = standings.rank_league(totals(b), standings.head_to_head(both, "sim"), standings.division_records(both, b.teams, "sim"), b.teams, "sim", draw=F.xxhash64(F.lit(1), "sim", "team_id"))
-    return standings.playoff_field(ranked, "sim")
+    return standings.sim_fields(past, pairs(b), b.teams, SIMS, F.expr(_DRAW))
 
 
-@query(sql(f"SELECT team_id, round(avg_leader, {D}) AS division_prob, round(n / {SIMS}.0, {D}) AS berth_prob, seed_1, seed_6 FROM (SELECT team_id, sum(CASE WHEN leader THEN 1 ELSE 0 END) / {SIMS}.0 AS avg_leader, count(*) AS n, count(*) FILTER (seed = 1) AS seed_1, count(*) FILTER (seed = 6) AS seed_6 FROM {_FIELD} WHERE seed <= 6 GROUP BY 1)", "scored", "wl"))
+@query(
+    sim_sql(
+        f"""SELECT team_id, round(count(*) FILTER (leader) / {SIMS}.0, {D}) AS division_prob, round(count(*) / {SIMS}.0, {D}) AS berth_prob,
+        count(*) FILTER (seed = 1) AS seed_1, count(*) FILTER (seed = 6) AS seed_6 FROM field GROUP BY 1"""
+    )
+)
 def j8_title_odds(b):
     return standings.title_odds(sim_field(b), SIMS).select("team_id", "division_prob", "berth_prob", "seed_1", "seed_6")
 
@@ -377,7 +420,13 @@ def j11_length_distribution(b):
     return standings.length_distribution(standings.matchup_grid(b.ratings, b.teams, (3,)))
 
 
-@query(sql(f"SELECT slot, hi, lo, n, round(n / {SIMS}.0, {D}) AS share FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY n DESC, hi, lo) AS k FROM (SELECT a.league AS slot, a.team_id AS hi, b.team_id AS lo, count(*) AS n FROM {_FIELD} a JOIN {_FIELD} b ON a.sim = b.sim AND a.league = b.league AND a.seed = 3 AND b.seed = 6 GROUP BY 1, 2, 3)) WHERE k = 1", "scored", "wl"))
+@query(
+    sim_sql(
+        f"""SELECT slot, hi, lo, n, round(n / {SIMS}.0, {D}) AS share FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY n DESC, hi, lo) AS k
+        FROM (SELECT a.league AS slot, a.team_id AS hi, b.team_id AS lo, count(*) AS n FROM field a JOIN field b ON a.sim = b.sim AND a.league = b.league AND a.seed = 3 AND b.seed = 6 GROUP BY 1, 2, 3))
+        WHERE k = 1"""
+    )
+)
 def j12_bracket_tallies(b):
     f = sim_field(b).groupBy("sim", F.col("league").alias("slot")).agg(F.max(F.when(F.col("seed") == 3, F.col("team_id"))).alias("hi"), F.max(F.when(F.col("seed") == 6, F.col("team_id"))).alias("lo"))
     return standings.bracket_tallies(f, SIMS)

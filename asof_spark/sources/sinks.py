@@ -13,12 +13,20 @@ def folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; on a local master without one, a temporary folder."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = tempfile.mkdtemp(prefix="spark-shared-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: computed once for all that use it."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_table(df: DataFrame, path: str, partition: str = "season", order: tuple[str, ...] = ("date", "game_pk"), fmt: str = "parquet") -> None:
     """Overwrite path; rows of a partition value are dealt over several tasks by the first order column and sorted in files."""
     df.repartition(partition, order[0]).sortWithinPartitions(partition, *order).write.mode("overwrite").format(fmt).option("header", True).partitionBy(partition).save(path)
