@@ -3,7 +3,8 @@
 Rows are binned once and kept as blocks of arrays, spread over the executors. A round is one Spark job for all
 configurations: each block sums gradients, hessians and rows by (configuration, leaf, feature, bin), sums are combined by
 configuration, and only the best split of each leaf reaches the driver. A round evaluates every leaf that the best-first tree
-can still come to split, so a tree takes as many rounds as it is deep, not as it has leaves.
+can still come to split, so a tree takes as many rounds as it is deep, not as it has leaves. Rows that fill one block alone
+need no exchange of sums: there a job grows KEEP_EVERY trees of every configuration, by the same steps.
 """
 
 from __future__ import annotations
@@ -163,7 +164,15 @@ def _chosen(nodes: list[_Node], leaves: int) -> set[int]:
     return used
 
 
-def _round(state: RDD, many: bool, fits: list[Fit], trees: list[list[_Node]], wanted: list[list[int]]) -> None:
+def _settle(nodes: list[_Node], wanted: list[int], found: list[tuple]) -> None:
+    """Sums and splits of the wanted leaves."""
+    for i, (total, split) in zip(wanted, found):
+        node = nodes[i]
+        node.sums, node.split = total, split
+        node.key = min(node.above, split[0]) if split else -1.0
+
+
+def _round(state: RDD, fits: list[Fit], trees: list[list[_Node]], wanted: list[list[int]]) -> None:
     """One job: evaluates the wanted leaves of every fit."""
     asked = {k: (_arrays(trees[k], None, fits[k]), w) for k, w in enumerate(wanted) if w}
     l2 = [f.l2 for f in fits]
@@ -174,14 +183,51 @@ def _round(state: RDD, many: bool, fits: list[Fit], trees: list[list[_Node]], wa
             if k in asked:
                 yield k, _histograms(x, y, raw[i], *asked[k])
 
-    found = state.flatMap(sums)
-    if many:
-        found = found.reduceByKey(lambda a, b: a + b, min(len(fits), state.ctx.defaultParallelism))
+    found = state.flatMap(sums).reduceByKey(lambda a, b: a + b, min(len(fits), state.ctx.defaultParallelism))
     for k, best in found.map(lambda kv: (kv[0], best_splits(kv[1], l2[kv[0]]))).collect():  # a row a leaf
-        for i, (total, split) in zip(wanted[k], best):
-            node = trees[k][i]
-            node.sums, node.split = total, split
-            node.key = min(node.above, split[0]) if split else -1.0
+        _settle(trees[k], wanted[k], best)
+
+
+def _advance(state: RDD, fits: list[Fit]) -> RDD:
+    """State after one more tree of every fit, grown over all blocks."""
+    trees, wanted = [[_Node()] for _ in fits], [[0] for _ in fits]
+    while any(wanted):
+        _round(state, fits, trees, wanted)
+        wanted = [_grow(t, f.leaves) for t, f in zip(trees, fits)]
+    for f, t in zip(fits, trees):
+        f.trees.append(_arrays(t, _chosen(t, f.leaves), f))
+    now = state.ctx.broadcast([f.trees[-1] for f in fits])
+
+    def step(block: tuple) -> tuple:
+        own, x, y, raw = block
+        return own, x, y, np.stack([r + now.value[k][4][_leaf_of(x, now.value[k])] for k, r in zip(own, raw)])
+
+    return state.map(step).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _advance_block(state: RDD, fits: list[Fit], times: int) -> RDD:
+    """State after `times` more trees of every fit where a block holds all rows; one job."""
+    plain = [Fit(f.learning_rate, f.leaves, f.l2) for f in fits]
+
+    def grow(block: tuple) -> tuple:
+        own, x, y, raw = block
+        raw, grown = raw.copy(), []
+        for i, k in enumerate(own):
+            fit = plain[k]
+            for _ in range(times):
+                nodes, wanted = [_Node()], [0]
+                while wanted:
+                    _settle(nodes, wanted, best_splits(_histograms(x, y, raw[i], _arrays(nodes, None, fit), wanted), fit.l2))
+                    wanted = _grow(nodes, fit.leaves)
+                tree = _arrays(nodes, _chosen(nodes, fit.leaves), fit)
+                raw[i] += tree[4][_leaf_of(x, tree)]
+                grown.append((k, tree))
+        return (own, x, y, raw), grown
+
+    grown = state.map(grow).persist(StorageLevel.MEMORY_AND_DISK)
+    for k, tree in grown.flatMap(lambda b: b[1]).collect():  # trees of bounded size
+        fits[k].trees.append(tree)
+    return grown.map(lambda b: b[0])
 
 
 def boost(tune: DataFrame, val: DataFrame, fits: list[Fit], columns: tuple[str, ...], iterations: int, at: tuple[int, ...], label: str = "home_win") -> dict[tuple[int, int], float]:
@@ -213,30 +259,17 @@ def boost(tune: DataFrame, val: DataFrame, fits: list[Fit], columns: tuple[str,
     kept = sinks.folder(spark, "held-out")
     _binned(val, columns, label, edges).write.parquet(kept)
     held = spark.read.schema("n long, x binary, y binary").parquet(kept)
-    losses, before = {}, None
-    for done in range(1, iterations + 1):
-        trees = [[_Node()] for _ in fits]
-        wanted = [[0] for _ in fits]
-        while any(wanted):
-            _round(state, blocks > 1, fits, trees, wanted)
-            if before is not None:
-                before.unpersist()
-                before = None
-            wanted = [_grow(t, f.leaves) for t, f in zip(trees, fits)]
-        for f, t in zip(fits, trees):
-            f.trees.append(_arrays(t, _chosen(t, f.leaves), f))
+    losses, done = {}, 0
+    for end in sorted({*range(KEEP_EVERY, iterations, KEEP_EVERY), *(n for n in at if n <= iterations), iterations}):
+        if blocks == 1:
+            state = _advance_block(state, fits, end - done)
+        else:
+            for _ in range(done, end):
+                state = _advance(state, fits)
+        state.checkpoint()  # the lineage starts anew; earlier states are cleaned up with their last reference
+        done = end
         if done in at:
             losses |= {(k, done): v for k, v in _losses(held, fits, start, width).items()}
-        now = sc.broadcast([f.trees[-1] for f in fits])
-
-        def step(block: tuple, now=now) -> tuple:
-            own, x, y, raw = block
-            return own, x, y, np.stack([r + now.value[k][4][_leaf_of(x, now.value[k])] for k, r in zip(own, raw)])
-
-        before, state = state, state.map(step).persist(StorageLevel.MEMORY_AND_DISK)
-        if done % KEEP_EVERY == 0:
-            state.checkpoint()
-    state.unpersist()
     return losses
 
 
