@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .asof import LEAGUE_DAYS, WINDOW_OUTS
 from .audits import count_if, per_column, shuffled_labels
 from .metrics import evaluate
-from .models import fit_logistic, predict
+from .newton import Fit, fit_many
 from .splits import MODEL_COLUMNS
 
 # Codes of split and traditional double-headers.
@@ -163,7 +163,7 @@ def shuffled_refit(train: DataFrame, test: DataFrame, columns: tuple[str, ...] =
     flat = flat.select(F.col("name").alias("metric"), "value", F.coalesce(F.abs("value") <= most, F.lit(False)).alias("ok"))
     if train.isEmpty():
         return flat.unionByName(flat.sparkSession.createDataFrame([("log_loss", None, False)], flat.schema))
-    loss = evaluate(predict(fit_logistic(rows, columns), mixed(test)).select(F.col("home_win").alias("y"), "p"))
+    loss = evaluate(fit_many(rows, [Fit("shuffled", columns)]).predict(mixed(test)).select(F.col("home_win").alias("y"), "p"))
     return flat.unionByName(loss.select(F.lit("log_loss").alias("metric"), F.col("log_loss").alias("value"), F.coalesce(F.col("log_loss") >= floor, F.lit(False)).alias("ok")))
 
 

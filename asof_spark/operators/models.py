@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from . import boosting
 from .metrics import evaluate
+from .newton import Fit, fit_many, metrics_many
 from .splits import MODEL_COLUMNS
 
 # Inverse regularisation tried for the logistic model.
@@ -46,22 +47,21 @@ def metrics_of(model: PipelineModel, rows: DataFrame) -> dict:
 
 
 def tune_c(tune: DataFrame, val: DataFrame, grid: tuple[float, ...] = C_GRID) -> DataFrame:
-    """C, log_loss, chosen: the best C is adopted only if it gains GAIN over C = 1. Inputs are cached for the fits."""
-    tune, val = tune.cache(), val.cache()
-    loss = {c: metrics_of(fit_logistic(tune, c=c), val)["log_loss"] for c in sorted({*grid, 1.0})}
+    """C, log_loss, chosen: the best C is adopted only if it gains GAIN over C = 1. All fits share their passes."""
+    fitted = fit_many(tune, [Fit(f"C={c}", MODEL_COLUMNS, c) for c in sorted({*grid, 1.0})])
+    loss = {f.c: m["log_loss"] for f, m in zip(fitted.fits, metrics_many(val, fitted))}
     best = min(loss, key=loss.get)
     chosen = best if loss[1.0] - loss[best] >= GAIN else 1.0
-    tune.unpersist(), val.unpersist()
     return tune.sparkSession.createDataFrame([(float(c), float(v), c == chosen) for c, v in loss.items()], "C double, log_loss double, chosen boolean")
 
 
 def sign_audit(train: DataFrame, expected: dict[str, int]) -> DataFrame:
     """name, univariate, multivariate, expected, ok, collinear: signs of one-feature fits against the full fit."""
-    full = dict(zip(MODEL_COLUMNS, fit_logistic(train).stages[-1].coefficients, strict=True))
-    rows = []
-    for name, sign in expected.items():
-        one = float(fit_logistic(train, (name,)).stages[-1].coefficients[0])
-        rows.append((name, one, float(full[name]), sign, bool(one * sign >= 0), bool(one * full[name] < 0)))
+    fitted = fit_many(train, [Fit("all", MODEL_COLUMNS), *[Fit(name, (name,)) for name in expected]])
+    full, rows = fitted.coefficients(0), []
+    for k, (name, sign) in enumerate(expected.items(), 1):
+        one = fitted.coefficients(k)[name]
+        rows.append((name, one, full[name], sign, bool(one * sign >= 0), bool(one * full[name] < 0)))
     return train.sparkSession.createDataFrame(rows, "name string, univariate double, multivariate double, expected int, ok boolean, collinear boolean")
 
 
@@ -118,13 +118,9 @@ def metric_deltas(with_: DataFrame, without: DataFrame) -> DataFrame:
 
 def ablations(train: DataFrame, test: DataFrame, columns: tuple[str, ...] = MODEL_COLUMNS) -> DataFrame:
     """kind (only, without), name, log_loss, accuracy for each column alone and left out."""
-    train, test = train.cache(), test.cache()
-    rows = []
-    for c in columns:
-        for kind, used in (("only", (c,)), ("without", tuple(x for x in columns if x != c))):
-            m = metrics_of(fit_logistic(train, used), test)
-            rows.append((kind, c, float(m["log_loss"]), float(m["accuracy"])))
-    train.unpersist(), test.unpersist()
+    kinds = [(kind, c, used) for c in columns for kind, used in (("only", (c,)), ("without", tuple(x for x in columns if x != c)))]
+    fitted = fit_many(train, [Fit(f"{kind} {c}", used) for kind, c, used in kinds])
+    rows = [(kind, c, m["log_loss"], m["accuracy"]) for (kind, c, _), m in zip(kinds, metrics_many(test, fitted))]
     return train.sparkSession.createDataFrame(rows, "kind string, name string, log_loss double, accuracy double")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asof_spark.functions import scalars
-from asof_spark.operators import asof, audits, metrics, models, predlog, ratings, splits, standings
+from asof_spark.operators import asof, audits, metrics, models, newton, predlog, ratings, splits, standings
 from asof_spark.sources import sinks
 from asof_spark.sources.sinks import folder
 from asof_spark.streaming import refresh
@@ -58,7 +58,7 @@ def g2_tune_c(b):
 
 @query()
 def g3_sign_audit(b):
-    return models.sign_audit(split_of(b, _TRAIN).cache(), models.ASSERTED_SIGNS)
+    return models.sign_audit(split_of(b, _TRAIN), models.ASSERTED_SIGNS)
 
 
 @query()
@@ -123,9 +123,9 @@ def g9_side_by_side(b):
 
 @query()
 def g10_metric_deltas(b):
-    train, test = split_of(b, _TRAIN).cache(), split_of(b, _TEST).cache()
-    plain = models.predict(models.fit_logistic(train), test).select(F.col("home_win").alias("y"), "p")
-    park = models.predict(models.fit_logistic(train, (*splits.MODEL_COLUMNS, "park_factor")), test).select(F.col("home_win").alias("y"), "p")
+    kinds = [newton.Fit("plain", splits.MODEL_COLUMNS), newton.Fit("park", (*splits.MODEL_COLUMNS, "park_factor"))]
+    fitted, test = newton.fit_many(split_of(b, _TRAIN), kinds), split_of(b, _TEST)
+    plain, park = (fitted.predict(test, k).select(F.col("home_win").alias("y"), "p") for k in (0, 1))
     return models.metric_deltas(park, plain)
 
 
@@ -141,7 +141,7 @@ def g12_imputed(b):
     return models.predict(model, rows.filter(F.col("season").isin(list(_TEST)))).select("game_pk", "home_win", "p")
 
 
-@query()
+@query(sql(f"SELECT game_pk, round(0.4 + home_rest_days * 0.02, {D}) AS p FROM features", "features"))
 def n1_model_seam(b):
     return models.score_with(b.features.select("game_pk", "home_rest_days"), ("home_rest_days",), lambda x: 0.4 + x["home_rest_days"] * 0.02)
 
