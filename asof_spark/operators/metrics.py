@@ -27,21 +27,36 @@ def evaluate(df: DataFrame, *by: str, at_half: bool = False, clip: float = CLIP)
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(right).alias("accuracy"), log_loss_of(y, c).alias("log_loss"), F.avg((c - y) * (c - y)).alias("brier"), F.avg(p).alias("mean_pred"), F.avg(y).alias("base_rate"))
 
 
-#: Ranges of p or of a value over which running counts are taken, so that no window holds all rows.
-RANGES = 1 << 14
+#: Ranges of values over which running counts are taken, WIDTH x WIDTH of about equally many distinct values.
+WIDTH = 32
+
+
+def with_range(cells: DataFrame, value: str, *by: str) -> DataFrame:
+    """cells with __at, the range of its value: -1 for null, growing with the value, NaN last.
+
+    Edges are quantiles of the values of each group of `by`, so distinct values that lie close together are still spread
+    over the ranges. by: a short list of names, or nothing.
+    """
+    n = WIDTH * WIDTH
+    at = F.percentile_approx(F.nanvl(value, F.lit(None)), [i / n for i in range(1, n)], 10 * n).alias("__edges")
+    edges = cells.groupBy(*by).agg(at) if by else cells.agg(at)
+    edges = F.broadcast(edges.select(*by, "__edges", F.transform(F.sequence(F.lit(1), F.lit(WIDTH - 1)), lambda i: F.get("__edges", i * WIDTH - 1)).alias("__coarse")))  # a row a name
+    below = lambda xs: F.size(F.filter(xs, lambda x: x < F.col(value)))
+    rows = (cells.join(edges, list(by), "left") if by else cells.join(edges)).withColumn("__c", below("__coarse"))
+    place = F.col("__c") * (WIDTH + 1) + below(F.slice("__edges", F.col("__c") * WIDTH + 1, F.lit(WIDTH)))
+    place = F.when(F.col(value).isNull(), -1).when(F.isnan(value), WIDTH * (WIDTH + 1) + 1).otherwise(F.coalesce(place, F.lit(0)))
+    return rows.withColumn("__at", place.cast("int")).drop("__edges", "__coarse", "__c")
 
 
 def auc(df: DataFrame, *by: str) -> DataFrame:
-    """Area under the curve with ties averaged; null with one class or one value of p.
+    """Area under the curve with ties averaged; null with one class or one value of p. by: names of few values.
 
     Counts run over the table of ranges of p first and then inside a range, over distinct p only.
     """
-    p = F.col("p").cast("double")
-    # monotone in p: null, then the ranges of [0, 1], then NaN, as in a sort
-    at = F.when(p.isNull(), -1).when(F.isnan(p), RANGES + 1).otherwise(F.least(F.greatest(F.floor(p * RANGES), F.lit(0)), F.lit(RANGES)))
-    cells = df.groupBy(*by, "p").agg(F.sum("y").alias("pos"), (F.count(F.lit(1)) - F.sum("y")).alias("neg")).withColumn("__at", at.cast("int"))
+    cells = df.withColumn("p", F.col("p").cast("double")).groupBy(*by, "p").agg(F.sum("y").alias("pos"), (F.count(F.lit(1)) - F.sum("y")).alias("neg"))
+    cells = with_range(cells, "p")
     ranges = cells.groupBy(*by, "__at").agg(F.sum("neg").alias("__neg"))
-    before = Window.partitionBy(*by).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    before = Window.partitionBy(*by).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)  # some WIDTH x WIDTH rows
     ranges = ranges.withColumn("__before", F.coalesce(F.sum("__neg").over(before), F.lit(0))).drop("__neg")
     inside = Window.partitionBy(*by, "__at").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     left, right = cells.withColumn("__in", F.coalesce(F.sum("neg").over(inside), F.lit(0))).alias("c"), ranges.alias("r")
@@ -57,19 +72,18 @@ def auc(df: DataFrame, *by: str) -> DataFrame:
 def percentiles(long: DataFrame, at: list[float]) -> DataFrame:
     """name, q: exact interpolated percentiles of value for each name (a short list of names). long: name, value.
 
-    Distinct values are counted first, and their counts run over ranges of equal width, then inside the ranges that hold a
-    wanted rank. Nulls are left out; a name without values has no row.
+    Distinct values are counted first, and their counts run over ranges of about equally many of them, then inside the ranges that
+    hold a wanted rank. Nulls are left out; a name without values has no row.
     """
     cells = long.filter("value is not null").groupBy("name", F.col("value").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    span = cells.groupBy("name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("total"))
-    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * RANGES)).otherwise(0)
-    placed = cells.join(F.broadcast(span), "name").withColumn("__at", F.least(place, F.lit(RANGES)).cast("int"))  # one row a name
-    ranges = placed.groupBy("name", "__at").agg(F.sum("n").alias("m"), F.first("total").alias("total"))
-    ranges = ranges.withColumn("first", F.sum("m").over(Window.partitionBy("name").orderBy("__at")) - F.col("m"))  # RANGES rows at most
+    placed = with_range(cells, "value", "name")
+    ranges = placed.groupBy("name", "__at").agg(F.sum("n").alias("m"))
+    running = Window.partitionBy("name").orderBy("__at")  # some WIDTH x WIDTH rows
+    ranges = ranges.select("*", (F.sum("m").over(running) - F.col("m")).alias("first"), F.sum("m").over(Window.partitionBy("name")).alias("total"))
     spot = (F.col("total") - 1) * F.col("f")
     wanted = ranges.withColumn("k", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(f)).alias("f")) for i, f in enumerate(at)]))).select("*", "k.*")
-    wanted = wanted.select("name", "__at", "first", "i", spot.alias("spot"), F.explode(F.array(F.floor(spot), F.ceil(spot))).alias("rank"))
-    wanted = wanted.filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("m"))).distinct()
+    wanted = wanted.select("name", "__at", "first", "i", spot.alias("spot"), F.explode(F.array(F.floor(spot), F.ceil(spot))).alias("rank"), "m")
+    wanted = wanted.filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("m"))).drop("m").distinct()
     here = placed.join(F.broadcast(wanted.select("name", "__at", "first").distinct()), ["name", "__at"])  # two a percentile
     upto = here.withColumn("end", F.col("first") + F.sum("n").over(Window.partitionBy("name", "__at").orderBy("value")))
     hit = upto.select("name", "__at", "value", "n", "end").join(F.broadcast(wanted.drop("first")), ["name", "__at"]).filter((F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("n")))

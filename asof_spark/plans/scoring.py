@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -400,24 +402,62 @@ def j8_title_odds(b):
     return standings.title_odds(sim_field(b), SIMS).select("team_id", "division_prob", "berth_prob", "seed_1", "seed_6")
 
 
-_BO3 = "hp * ap + hp * (1 - ap) * h3 + (1 - hp) * ap * h3"
-_PAIRS = "(SELECT a.team_id AS a_id, b.team_id AS b_id, 1 / (1 + pow(10, -(a.rating + 25 - b.rating) / 400)) AS hp FROM ratings a, ratings b WHERE a.team_id <> b.team_id)"
+_PAIRS = """(SELECT a.team_id AS a_id, b.team_id AS b_id, 1 / (1 + pow(10, -(a.rating + 25 - b.rating) / 400)) AS hp, 1 - 1 / (1 + pow(10, -(b.rating + 25 - a.rating) / 400)) AS ap
+  FROM ratings a, ratings b WHERE a.team_id <> b.team_id)"""
+FORMATS = (3, 5, 7)
+
 
+def _lengths_sql(games: int) -> list[str]:
+    """Chance that a wins in exactly as many games, from the least on: a wins the last one and all but one of the others it needs."""
+    need, out = games // 2 + 1, []
+    for n in range(need, games + 1):
+        hosted = sum(standings.HOSTING[games][: n - 1])
+        away = n - 1 - hosted
+        ways = [(i, need - 1 - i) for i in range(hosted + 1) if 0 <= need - 1 - i <= away]
+        sums = " + ".join(f"{comb(hosted, i) * comb(away, j)} * pow(hp, {i}) * pow(1 - hp, {hosted - i}) * pow(ap, {j}) * pow(1 - ap, {away - j})" for i, j in ways)
+        out.append(f"{'hp' if standings.HOSTING[games][n - 1] else 'ap'} * ({sums})")
+    return out
 
-@query(sql(f"SELECT game_pk, round(elo * elo * (3 - 2 * elo), {D}) AS series_prob FROM slate", "scored"))
+
+@query(
+    sql(
+        f"""SELECT game_pk, CAST(unnest([3, 5, 7]) AS INT) AS games,
+        round(unnest([elo * elo * (3 - 2 * elo), pow(elo, 3) * (10 - 15 * elo + 6 * elo * elo), pow(elo, 4) * (35 - 84 * elo + 70 * elo * elo - 20 * pow(elo, 3))]), {D}) AS series_prob FROM slate""",
+        "scored",
+    )
+)
 def j9_series_prob(b):
     rows = b.log.select(F.col("game_id").alias("game_pk"), F.round("elo_prob_home", 12).alias("e"))
-    return rows.select("game_pk", F.aggregate(scalars.series_lengths("array(e, e, e)", 3), F.lit(0.0), lambda s, x: s + x).alias("series_prob"))
+    one = lambda n: F.struct(F.lit(n).alias("games"), F.aggregate(scalars.series_lengths(f"array_repeat(e, {n})", n), F.lit(0.0), lambda s, x: s + x).alias("series_prob"))
+    return rows.select("game_pk", F.explode(F.array(*map(one, FORMATS))).alias("s")).select("game_pk", "s.*")
 
 
-@query(sql(f"SELECT a_id, b_id, CAST(3 AS INT) AS games, round(hp * hp * (3 - 2 * hp), {D}) AS series_prob, CASE WHEN a_id % 2 <> b_id % 2 THEN 'other_league' END AS notice FROM {_PAIRS}", "ratings"))
+@query(
+    sql(
+        " UNION ALL ".join(
+            f"""SELECT a_id, b_id, CAST({n} AS INT) AS games, round({" + ".join(_lengths_sql(n))}, {D}) AS series_prob,
+          CASE WHEN a_id % 2 {"=" if n == 7 else "<>"} b_id % 2 THEN '{"same" if n == 7 else "other"}_league' END AS notice FROM {_PAIRS}"""
+            for n in FORMATS
+        ),
+        "ratings",
+    )
+)
 def j10_matchup_grid(b):
-    return standings.matchup_grid(b.ratings, b.teams, (3,)).select("a_id", "b_id", "games", "series_prob", "notice")
+    return standings.matchup_grid(b.ratings, b.teams, FORMATS).select("a_id", "b_id", "games", "series_prob", "notice")
 
 
-@query(sql(f"SELECT a_id, b_id, CAST(3 AS INT) AS games, CAST(unnest([2, 3]) AS INT) AS in_games, round(unnest([hp * hp, 2 * hp * hp * (1 - hp)]), {D}) AS prob FROM {_PAIRS}", "ratings"))
+@query(
+    sql(
+        " UNION ALL ".join(
+            f"""SELECT a_id, b_id, CAST({n} AS INT) AS games, CAST(unnest([{", ".join(map(str, range(n // 2 + 1, n + 1)))}]) AS INT) AS in_games,
+          round(unnest([{", ".join(_lengths_sql(n))}]), {D}) AS prob FROM {_PAIRS}"""
+            for n in FORMATS
+        ),
+        "ratings",
+    )
+)
 def j11_length_distribution(b):
-    return standings.length_distribution(standings.matchup_grid(b.ratings, b.teams, (3,)))
+    return standings.length_distribution(standings.matchup_grid(b.ratings, b.teams, FORMATS))
 
 
 @query(
