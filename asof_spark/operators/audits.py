@@ -208,6 +208,16 @@ def differing(a: DataFrame, b: DataFrame, keys: tuple[str, ...], columns: tuple[
     return a.join(right, list(keys), "left").filter(off).select(*keys)
 
 
+def serving_skew(stored: DataFrame, live: DataFrame) -> DataFrame:
+    """games, low_confidence (a starter of few outs on either side) and differing: stored rows whose features the serving path gives otherwise.
+
+    live: rows of live_features for targets whose key is -1 less the game's.
+    """
+    served = live.withColumn("game_pk", F.lit(-1) - F.col("game_pk"))
+    bad = differing(stored, served, ("game_pk",), FEATURES).agg(F.count(F.lit(1)).alias("differing"))
+    return stored.agg(F.count(F.lit(1)).alias("games"), count_if(F.col("home_sp_low_confidence") | F.col("away_sp_low_confidence")).alias("low_confidence")).join(bad)  # two rows of one
+
+
 def order_violations(provenance: DataFrame) -> DataFrame:
     return provenance.filter("last_ord >= ord")
 

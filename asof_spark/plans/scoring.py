@@ -6,6 +6,7 @@ from math import comb
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from asof_spark.functions import scalars
 from asof_spark.operators import asof, audits, metrics, models, newton, predlog, ratings, splits, standings
@@ -40,8 +41,9 @@ def split_of(b: Base, seasons) -> DataFrame:
 def a11_table_sink(b):
     path = folder(b.spark, "games")
     rows = b.games.select("game_pk", "season", "date", "home_score", "away_score")
+    sinks.write_table(rows.filter("season < 1998"), path)
     sinks.write_table(rows, path)
-    return b.spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+    return sinks.read_table(b.spark, path, rows.schema).select(*rows.columns)
 
 
 # --- models --------------------------------------------------------------------------------------------------
@@ -641,15 +643,24 @@ def l17_park_leakage(b):
     return whole.agg(F.count(F.lit(1)).alias("cells")).join(bad)
 
 
-@query(sql("SELECT 30::BIGINT AS games, 0::BIGINT AS differing FROM (SELECT count(*) FROM games)"))
+@query(
+    sql(
+        """SELECT count(*) AS games, count(*) FILTER (home_sp_low_confidence OR away_sp_low_confidence) AS low_confidence, 0::BIGINT AS differing
+        FROM (SELECT f.*, o.venue_id, row_number() OVER (PARTITION BY f.date ORDER BY f.ord) AS place FROM features f JOIN o USING (game_pk)) WHERE place = 1 AND venue_id IS NOT NULL""",
+        "features",
+    )
+)
 def l18_serving_skew(b):
-    """Sampled games rebuilt through the serving path (starters as listed) against the stored features."""
-    sample = audits.stratified_sample(b.played, 10)
-    stored = b.features.join(sample.select("game_pk"), "game_pk", "left_semi")
+    """The first game of every day through the serving path, as if it were to come, against the stored features.
+
+    The serving path sees whole days before, which for the first game of a day is all that the stored features rest on.
+    """
+    place = F.row_number().over(Window.partitionBy("date").orderBy("game_number", "game_pk"))
+    first = b.played.withColumn("__place", place).filter("__place = 1 and venue_id is not null")
     s = b.logs.filter("is_starter").groupBy("game_pk").agg(F.max(F.when(F.col("is_home"), F.col("pitcher_id"))).alias("home_probable_id"), F.max(F.when(~F.col("is_home"), F.col("pitcher_id"))).alias("away_probable_id"))
-    live = asof.build_features(b.played.join(s, "game_pk", "left"), b.logs, b.venues, "predict")
-    bad = audits.differing(stored, live, ("game_pk",), audits.FEATURES).agg(F.count(F.lit(1)).alias("differing"))
-    return stored.agg(F.count(F.lit(1)).alias("games")).join(bad)
+    asked = first.join(s, "game_pk", "left").select((F.lit(-1) - F.col("game_pk")).alias("game_pk"), "season", "date", "game_number", "home_team_id", "away_team_id", "venue_id", "home_probable_id", "away_probable_id")
+    stored = b.features.join(first.select("game_pk"), "game_pk", "left_semi")
+    return audits.serving_skew(stored, asof.live_features(b.played, b.logs, b.venues, asked, look_up=False))
 
 
 # --- streams -------------------------------------------------------------------------------------------------
