@@ -704,12 +704,18 @@ def m1_append_finals(b):
 
 @query(sql("SELECT game_pk, home_score FROM games WHERE is_final"))
 def m2_collapse_snapshots(b):
+    """Seasons land one after the other, each with placeholders of the next; of a game the placeholder, a final row without a
+    score and the scored one come, in this order of worth. Last come signs of life of a later day, after which all is settled."""
     rows = b.games.select("game_pk", "is_final", "home_score", F.col("date").cast("timestamp").alias("event_time"))
-    unplayed = rows.withColumn("is_final", F.lit(False))
+    unplayed = rows.withColumns({"is_final": F.lit(False), "home_score": F.lit(None).cast("int")})
+    unscored = rows.withColumn("home_score", F.lit(None).cast("int"))
     of = lambda df, season: df.filter(F.year("event_time") == season)
     seasons = seasons_of(b.games)
-    parts = [of(unplayed, s + 1).unionByName(of(rows, s)).unionByName(of(rows, s - 1)) for s in ([seasons[0] - 1] if seasons else []) + seasons + ([seasons[-1] + 1] if seasons else [])]
-    return arriving(b, parts or [rows], refresh.collapse_snapshots, "collapsed").select("game_pk", "home_score")
+    parts = [of(unplayed, seasons[0])] if seasons else []
+    parts += [of(rows, s).unionByName(of(unplayed, s + 1)).unionByName(of(unscored, s + 1).filter("game_pk % 2 = 0")) for s in seasons]
+    life = [rows.limit(1).select(F.lit(-1 - i).cast("long").alias("game_pk"), F.lit(False).alias("is_final"), F.lit(None).cast("int").alias("home_score"), F.expr(f"timestamp '2100-01-0{i + 1}'").alias("event_time")) for i in range(2)]
+    collapse = lambda stream: refresh.collapse_snapshots(stream, delay="400 days")
+    return arriving(b, [*parts, *life] if parts else [rows], collapse, "collapsed").select("game_pk", "home_score")
 
 
 # Without a result a prediction comes out once the watermark, a day behind both inputs, has passed its last ten days.

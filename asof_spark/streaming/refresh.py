@@ -50,9 +50,21 @@ def append_finals(stream: DataFrame, target: str, checkpoint: str, partition: st
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def collapse_snapshots(stream: DataFrame, time: str = "event_time", delay: str = "2 days") -> DataFrame:
-    """The first final row of each key within the watermark; placeholders are dropped."""
-    return stream.filter("is_final").withWatermark(time, delay).dropDuplicatesWithinWatermark(["game_pk"])
+def collapse_snapshots(stream: DataFrame, time: str = "event_time", delay: str = "2 days", quiet: str = "2 days") -> DataFrame:
+    """The best snapshot of each key by the order of dedupe_snapshots, if it is final.
+
+    A key's snapshots belong together while no more than `quiet` lies between two of them. The best so far is the key's state; it
+    comes out, once, when the watermark (`delay` behind the newest event) has passed the end of the quiet time, and the
+    state goes. Later rows are dropped and counted in the progress of the query (numRowsDroppedByWatermark). Columns that the
+    order asks for and the stream lacks count as null.
+    """
+    there = lambda c: F.col(c) if c in stream.columns else F.lit(None)
+    scored = there("home_score").isNotNull() & (F.col("away_score").isNotNull() if "away_score" in stream.columns else F.lit(True))
+    start = there("start_time_utc").cast("timestamp")
+    rank = F.struct(F.col("is_final").cast("int"), scored.cast("int"), start.isNull().cast("int"), start, there("ingest_seq").cast("long"), F.col(time))
+    rows = stream.withWatermark(time, delay)
+    best = rows.groupBy("game_pk", F.session_window(time, quiet)).agg(F.max_by(F.struct(*stream.columns), rank).alias("best"))
+    return best.select("best.*").filter("is_final")
 
 
 def settle_late(predictions: DataFrame, finals: DataFrame, delay: str = "1 day", within: str = "10 days") -> DataFrame:
