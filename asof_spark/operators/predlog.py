@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .metrics import evaluate, to_long
@@ -24,6 +25,43 @@ def log_predictions(log: DataFrame, new: DataFrame) -> DataFrame:
     return log.unionByName(new.join(log.select("game_id"), "game_id", "left_anti").select(*log.columns))
 
 
+#: Buckets of the stored log.
+BUCKETS = 256
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The stored log with bucket and batch; no rows if nothing has been logged. schema: DDL of the log's columns."""
+    kinds = f"{schema}, bucket int, batch long"
+    try:
+        return spark.read.schema(kinds).option("basePath", path).parquet(path)
+    except AnalysisException as e:  # nothing written yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], kinds)
+
+
+def append_log(new: DataFrame, path: str, batch: int, key: str = "game_id") -> None:
+    """Append the rows of new whose key the log at path lacks; of rows that repeat a key in new one stays.
+
+    The log lies in buckets of the key, so of the history only the key column of the buckets that new falls into is read, and the
+    side that is shuffled or broadcast is new's. Nothing is rewritten. A batch that is repeated after a failure writes its files again.
+    """
+    spark = new.sparkSession
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema.fields)
+    rows = new.dropDuplicates([key]).withColumn("bucket", _bucket(key))
+    touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # BUCKETS at most
+    near = read_log(spark, path, schema).filter(F.col("bucket").isin(touched) & (F.col("batch") != batch)).select(key, "bucket")
+    # keys of new that are there already: as many as new at most, found without a shuffle of the history where new is small
+    there = near.join(rows.select(key, "bucket"), [key, "bucket"]).select(key).distinct()
+    fresh = rows.join(there, key, "left_anti").withColumn("batch", F.lit(batch).cast("long"))
+    spark_mode = {"partitionOverwriteMode": "dynamic"}
+    fresh.repartition("bucket").write.mode("overwrite").options(**spark_mode).partitionBy("batch", "bucket").parquet(path)
+
+
 def settle(log: DataFrame, finals: DataFrame) -> DataFrame:
     """Fill home_won of pending rows from final scores; a tie stays null. finals: game_pk, home_win."""
     f = finals.select(F.col("game_pk").alias("game_id"), F.col("home_win").alias("__won"))

@@ -248,6 +248,17 @@ def i2_log_predictions(b):
     return predlog.log_predictions(predlog.log_predictions(old, b.log), b.log)
 
 
+@query(sql(f"{_SLATE}, CASE WHEN season < 1998 THEN 1 END AS home_won FROM slate", "scored"))
+def i2_log_files(b):
+    """The log as files: three batches, of which the second holds all rows of the first and the third is the second again."""
+    path = folder(b.spark, "log")
+    old = b.log.filter(F.year("date") < 1998).withColumn("home_won", F.lit(1))
+    for batch, rows in enumerate((old, b.log, b.log)):
+        predlog.append_log(rows, path, batch)
+    schema = ", ".join(f"{n} {t}" for n, t in b.log.dtypes)
+    return predlog.read_log(b.spark, path, schema).select(*predlog.COLUMNS)
+
+
 @query(sql(f"{_SLATE}, home_win AS home_won FROM slate", "scored"))
 def i3_settle(b):
     return predlog.settle(b.log, b.games.filter("is_final"))
