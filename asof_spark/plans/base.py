@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asof_spark.operators import asof, ratings, readers, splits
 from asof_spark.operators.audits import FEATURES
-from asof_spark.sources import tables
+from asof_spark.sources import sinks, tables
 
 DIGITS = 7
 
 
 class Base:
-    """games, played (regular-season finals), ordered, logs, rows (logs of played games), venues, teams, ratings, features."""
+    """games, played (regular-season finals), ordered and rows (logs of played games), both written once, logs, venues, teams, ratings, features."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -21,17 +23,17 @@ class Base:
         self.played = readers.load_games(self.games, matchups_only=False)
         self.venues, self.teams, self.ratings = tables.venues(self.games), tables.teams(self.games), tables.ratings(self.games)
 
-    @property
+    @cached_property
     def ordered(self) -> DataFrame:
-        return asof.canonical_order(self.played)
+        return sinks.cut(asof.canonical_order(self.played), "ordered")
 
     @property
     def logs(self) -> DataFrame:
         return tables.pitcher_logs(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def rows(self) -> DataFrame:
-        return asof.log_rows(self.logs, self.ordered)
+        return sinks.cut(asof.log_rows(self.logs, self.ordered), "rows")
 
     @property
     def long(self) -> DataFrame:

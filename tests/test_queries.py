@@ -9,7 +9,6 @@ import pytest
 from asof_spark.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SLOW = ("g2", "g3", "g4", "g6", "g7", "g10", "g11", "g12", "g1_")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 
@@ -36,16 +35,17 @@ def rows(df):
     return sorted((tuple(map(plain, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - {"l13_shuffled_labels", "l18_serving_skew"}))
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - {"l13_shuffled_labels"}))
 def test_against_sql(spark, duck, name):
     got, want = QUERIES[name](spark, SF).toPandas(), duck.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(ORACLES) if not n.startswith(SLOW)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    rows = QUERIES[name](spark, SF).collect()
+    assert rows and all(any(v is not None for v in r) for r in rows)
 
 
 def test_stream_equals_batch(spark):
