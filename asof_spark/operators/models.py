@@ -47,12 +47,15 @@ def metrics_of(model: PipelineModel, rows: DataFrame) -> dict:
 
 
 def tune_c(tune: DataFrame, val: DataFrame, grid: tuple[float, ...] = C_GRID) -> DataFrame:
-    """C, log_loss, chosen: the best C is adopted only if it gains GAIN over C = 1. All fits share their passes."""
+    """C, log_loss, chosen: the best C is adopted only if it gains GAIN over C = 1. All fits share their passes.
+
+    Without rows to judge by the losses are null and C = 1 is chosen.
+    """
     fitted = fit_many(tune, [Fit(f"C={c}", MODEL_COLUMNS, c) for c in sorted({*grid, 1.0})])
     loss = {f.c: m["log_loss"] for f, m in zip(fitted.fits, metrics_many(val, fitted))}
-    best = min(loss, key=loss.get)
-    chosen = best if loss[1.0] - loss[best] >= GAIN else 1.0
-    return tune.sparkSession.createDataFrame([(float(c), float(v), c == chosen) for c, v in loss.items()], "C double, log_loss double, chosen boolean")
+    best = 1.0 if loss[1.0] is None else min(loss, key=loss.get)
+    chosen = best if best != 1.0 and loss[1.0] - loss[best] >= GAIN else 1.0
+    return tune.sparkSession.createDataFrame([(float(c), v, c == chosen) for c, v in loss.items()], "C double, log_loss double, chosen boolean")
 
 
 def sign_audit(train: DataFrame, expected: dict[str, int]) -> DataFrame:
@@ -66,7 +69,7 @@ def sign_audit(train: DataFrame, expected: dict[str, int]) -> DataFrame:
 
 
 def search_boosted(tune: DataFrame, val: DataFrame, grid: tuple[dict, ...] = BOOSTED_GRID, columns: tuple[str, ...] = MODEL_COLUMNS) -> DataFrame:
-    """config, its values and log_loss on val, for every configuration of the grid.
+    """config, its values and log_loss on val (null without rows), for every configuration of the grid.
 
     The first n trees of a longer fit are the fit of n iterations, so configurations that differ in max_iter alone share
     the longest one's trees. All fits advance together, a Spark job a round (boosting.boost).
@@ -74,7 +77,7 @@ def search_boosted(tune: DataFrame, val: DataFrame, grid: tuple[dict, ...] = BOO
     alike = list(dict.fromkeys((g["learning_rate"], g["leaves"], g["l2"]) for g in grid))
     at = tuple(sorted({g["max_iter"] for g in grid}))
     losses = boosting.boost(tune, val, [boosting.Fit(*a) for a in alike], columns, at[-1], at)
-    rows = [(i, g["learning_rate"], g["max_iter"], g["leaves"], g["l2"], losses[alike.index((g["learning_rate"], g["leaves"], g["l2"])), g["max_iter"]]) for i, g in enumerate(grid)]
+    rows = [(i, g["learning_rate"], g["max_iter"], g["leaves"], g["l2"], losses.get((alike.index((g["learning_rate"], g["leaves"], g["l2"])), g["max_iter"]))) for i, g in enumerate(grid)]
     return tune.sparkSession.createDataFrame(rows, "config int, learning_rate double, max_iter int, leaves int, l2 double, log_loss double")
 
 

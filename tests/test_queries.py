@@ -42,7 +42,11 @@ def test_against_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+# Splits have no rows to fit on or to judge by at this scale; test_newton and test_boosting hold these against plain versions.
+FITS = {"g1_logistic", "g6_winner_gate", "g7_platt"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - FITS))
 def test_runs(spark, name):
     rows = QUERIES[name](spark, SF).collect()
     assert rows and all(any(v is not None for v in r) for r in rows)
