@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import batch, checks, files, outlook, scoring  # noqa: F401  these add to the same tables
+from . import audited, batch, checks, files, outlook, scoring  # noqa: F401  these add to the same tables
 
 
 def queries() -> dict:
