@@ -24,6 +24,8 @@ PIVOTS, MOST_PIVOTS, ANNULUS, MOST_ANNULI = 32, 512, 256, 64
 SAMPLE_ROWS = 4096
 #: Vectors in a block of an annulus, queries in a block, vectors that the first round visits at least.
 BLOCK, QUERY_BLOCK, FIRST_VECTORS = 2048, 256, 2048
+#: Least squared norm (after scaling) that is refused: below it every score, and every sum on the way to one, fits in a long.
+LARGEST_SQUARE = 2.0**62
 #: Queries whose best vectors a task holds before it hands them on.
 HELD_QUERIES = 20_000
 
@@ -41,7 +43,11 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fixed = [np.floor(scale * np.asarray(e, dtype=np.float64)).astype("<i8") for e in b["x"]]
+            whole = [np.floor(scale * np.asarray(e, dtype=np.float64)) for e in b["x"]]
+            for i, e in zip(b["id"], whole, strict=True):
+                if e @ e >= LARGEST_SQUARE:
+                    raise ValueError(f"vector {i}: components are too large for exact scores")
+            fixed = [e.astype("<i8") for e in whole]
             yield pd.DataFrame({"id": b["id"], "v": [e.tobytes() for e in fixed], "square": [int(e @ e) for e in fixed]})
 
     return vectors.filter(fine & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), x.cast("array<double>").alias("x")).mapInPandas(pack, "id long, v binary, square long")
@@ -137,7 +143,7 @@ def search(vectors: DataFrame, query_filter: str, id_col: str = "vec_id", vector
     query with fewer candidates gets them all. Components become floor(scale * x). Rows with a null id, a null
     vector or null or non-finite components take no part; shorter vectors count as filled up with zeros. Rows that
     repeat an id and vector are one query, but candidates of their own, of each other too. An empty table gives no
-    rows; other columns are not read. Squared norms must stay below 2^62. Equal vectors are one entry of the index
+    rows; other columns are not read. A scaled vector with a squared norm from 2^62 on is an error. Equal vectors are one entry of the index
     with their k + 1 smallest ids, which is all that a result can hold, so a vector in a third of all rows is no hot
     key. The sample of SAMPLE_ROWS for the pivots, the bounds of the annuli and their counts (MOST_PIVOTS x
     MOST_ANNULI rows at most) are all that the driver sees; queries travel in blocks to the blocks of vectors.

@@ -398,3 +398,13 @@ def test_whole_licences(spark):
         file = pathlib.Path("/usr/share/common-licenses") / path
         if file.exists():
             assert license_lookup.lookup(spark.createDataFrame([(1, file.read_text())], "doc_id long, text string")).first().text_license == name
+
+
+def test_search_refuses_scores_that_no_long_holds(spark):
+    kind = "vec_id long, embedding array<double>"
+    for x in (1e300, 2.0**21, -(2.0**21)):
+        with pytest.raises(Exception, match="vector 7: components are too large"):
+            topk_search.search(spark.createDataFrame([(7, [x, 0.0]), (100, [1.0, 2.0])], kind), "id % 100 = 0").collect()
+    big = 2.0**21 - 1  # the largest whole component that is below the limit
+    got = topk_search.search(spark.createDataFrame([(7, [big, 0.0]), (100, [-big, 0.0])], kind), "id % 100 = 0").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(100, 7, -(int(big) * 1024) ** 2)]
