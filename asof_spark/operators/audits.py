@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import segments
 from .asof import FORM_GAMES, FORM_LEAST, ORDER, team_long
 from .metrics import percentiles
 
@@ -205,7 +206,7 @@ def differing(a: DataFrame, b: DataFrame, keys: tuple[str, ...], columns: tuple[
     for c in columns:
         x, y = F.col(c).cast("double"), F.col(f"__{c}").cast("double")
         off = off | (x.isNull() != y.isNull()) | F.coalesce(F.abs(x - y) > tolerance, F.lit(False))
-    return a.join(right, list(keys), "left").filter(off).select(*keys)
+    return a.join(segments.by_key(right), list(keys), "left").filter(off).select(*keys)
 
 
 def serving_skew(stored: DataFrame, live: DataFrame) -> DataFrame:
