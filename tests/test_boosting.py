@@ -92,3 +92,31 @@ def test_empty_and_one_class(spark, frames):
     assert loss == pytest.approx(math.log(2))
     (loss,) = boosting.boost(tune.filter("home_win = 1"), val.filter("home_win = 1"), [boosting.Fit(0.1, 4, 0.0)], COLUMNS, 2, (2,)).values()
     assert loss < 1e-5
+
+
+def test_some_hundred_thousand_rows_are_one_block(spark, monkeypatch):
+    """A tree over rows that one task holds is no job for each of its levels, and its scores are those of the tree itself."""
+    monkeypatch.setattr(boosting, "_advance", lambda *_: pytest.fail("a job for each level"))
+    rows = spark.range(100_000).selectExpr("id % 97 / 97.0D as a", "cast(id % 5 as double) as b", "pmod(hash(id), 1000) / 1000.0D as c")
+    rows = rows.selectExpr("a", "b", "c", "cast(a + c + b / 10 > 1.2 as int) as home_win")
+    (fit,) = fits = [boosting.Fit(0.1, 9, 1.0)]
+    losses = boosting.boost(rows, rows, fits, COLUMNS, 6, (2, 6))
+    assert len(fit.trees) == 6 and losses[0, 6] < losses[0, 2] < math.log(2)
+
+
+def test_rows_carried_down_a_tree_end_in_its_leaves():
+    rng = np.random.default_rng(5)
+    x, fit = rng.integers(0, 40, (3_000, 3)).astype(np.uint8), boosting.Fit(0.1, 7, 0.5)
+    y = (x[:, 0] + x[:, 1] * (x[:, 2] > 9) + rng.integers(0, 30, 3_000) > 45).astype(float)
+    p = np.full(3_000, 0.5)
+    nodes, wanted, node = [boosting._Node()], [0], np.zeros(3_000, np.int32)
+    while wanted:
+        sums = boosting._sums_at(x, p - y, p * (1 - p), boosting._slots(len(nodes), wanted)[node], len(wanted))
+        assert np.array_equal(sums, boosting._histograms(x, y, np.zeros(3_000), boosting._arrays(nodes, None, fit), wanted))
+        boosting._settle(nodes, wanted, boosting.best_splits(sums, fit.l2))
+        since = len(nodes)
+        wanted = boosting._grow(nodes, fit.leaves)
+        node = boosting._step_down(x, node, nodes, since)
+    used = boosting._chosen(nodes, fit.leaves)
+    tree = boosting._arrays(nodes, used, fit)
+    assert len(nodes) > 2 * len(used) + 1 and np.array_equal(boosting._ends(nodes, used)[node], boosting._leaf_of(x, tree))
