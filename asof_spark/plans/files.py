@@ -15,7 +15,7 @@ from asof_spark.sources.sinks import folder
 from asof_spark.streaming import refresh
 
 from .base import Base, sql
-from .batch import SQL, boxes, game_payload, query, schedule_payload
+from .batch import SQL, box_texts, game_payload, query, schedule_payload
 from .scoring import seasons_of
 
 #: Games that a landed payload holds on average at most.
@@ -39,7 +39,7 @@ def a1_schedule_files(b: Base):
 
 def landed_boxes(b: Base) -> DataFrame:
     path = folder(b.spark, "boxscores")
-    boxes(b).write.json(path)
+    box_texts(b).write.text(path)
     return payloads.read_boxscores(b.spark, path, lines=True)
 
 

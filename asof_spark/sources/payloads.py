@@ -51,9 +51,10 @@ def _sides(boxes: DataFrame) -> DataFrame:
 
 def parse_pitchers(boxes: DataFrame) -> DataFrame:
     """One row per id of the ordered pitchers array, statistics looked up in the players map."""
-    rows = _sides(boxes).select("game_pk", "winning_pitcher_id", "losing_pitcher_id", "side", F.col("box.team.id").alias("team_id"), F.col("box.players").alias("players"), F.posexplode("box.pitchers").alias("pos", "pitcher_id"))
-    p = F.col("players")[F.concat(F.lit("ID"), F.col("pitcher_id"))]
-    rows = rows.withColumn("p", p["stats"]["pitching"]).withColumn("name", p["person"]["fullName"])
+    # the player is looked up before the rows are made, so that none of them carries the whole map
+    found = lambda i, at: F.struct(at.alias("pos"), i.alias("pitcher_id"), F.col("box.players")[F.concat(F.lit("ID"), i)].alias("player"))
+    rows = _sides(boxes).select("game_pk", "winning_pitcher_id", "losing_pitcher_id", "side", F.col("box.team.id").alias("team_id"), F.explode(F.transform("box.pitchers", found)).alias("x")).select("*", "x.*")
+    rows = rows.withColumn("p", F.col("player.stats.pitching")).withColumn("name", F.col("player.person.fullName"))
     out = rows.select("game_pk", "side", "team_id", "pitcher_id", "name", (F.col("pos") + 1).alias("appearance_order"), (F.col("pos") == 0).alias("is_starter"), ip_to_outs(F.col("p.inningsPitched")).alias("ip_outs"), F.col("p.battersFaced").alias("batters_faced"), F.col("p.runs").alias("runs"), F.col("p.strikeOuts").alias("strikeouts"), F.col("p.baseOnBalls").alias("walks"), F.col("p.homeRuns").alias("home_runs"), F.col("p.hitByPitch").alias("hit_by_pitch"), decision(F.col("pitcher_id"), F.col("winning_pitcher_id"), F.col("losing_pitcher_id"), F.col("p.note")).alias("decision"))
     return out.withColumn("is_opener", is_opener(F.col("is_starter"), F.col("ip_outs"), F.col("batters_faced")))
 
