@@ -4,7 +4,7 @@ Rows are binned once and kept as blocks of arrays, spread over the executors. A
 configurations: each block sums gradients, hessians and rows by (configuration, leaf, feature, bin), sums are combined by
 configuration, and only the best split of each leaf reaches the driver. A round evaluates every leaf that the best-first tree
 can still come to split, so a tree takes as many rounds as it is deep, not as it has leaves. Rows that fill one block alone
-need no exchange of sums: there a job grows KEEP_EVERY trees of every configuration, by the same steps.
+need no exchange of sums: there one job grows all trees, a configuration a task, and a split sums its smaller side alone.
 """
 
 from __future__ import annotations
@@ -23,9 +23,14 @@ from pyspark.sql import functions as F
 from ..sources import sinks
 
 BINS = 255
-#: Rows of a block, some 6 MB of bins of eleven columns.
-BLOCK_ROWS = 1 << 19
+#: Rows of a block, some 23 MB of bins of eleven columns; the task of a fit over one block of that size held 370 MB.
+BLOCK_ROWS = 1 << 21
+#: Held-out rows of a task, enough that going through thousands of trees is work on rows.
+HELD_ROWS = 1 << 16
+#: Rows that are summed at a time, so that their cells and gradients stay in cache.
+CHUNK_ROWS = 1 << 14
 LEAST_ROWS, LEAST_HESSIAN = 20, 1e-3
+BLOCK = "n long, x binary, y binary"
 #: Iterations after which the state is written, so that its lineage stays short.
 KEEP_EVERY = 20
 
@@ -64,19 +69,20 @@ def _binned(rows: DataFrame, columns: tuple[str, ...], label: str, edges: list[n
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for f in frames:
-            held.append(f)
+            x = np.stack([np.searchsorted(e, f[c].to_numpy(float), "left").astype(np.uint8) for c, e in zip(columns, edges)], 1)
+            held.append((x, f[label].to_numpy(float).astype(np.uint8)))
             size += len(f)
             if size >= BLOCK_ROWS:
-                yield block(pd.concat(held))
+                yield block(held)
                 held, size = [], 0
         if size:
-            yield block(pd.concat(held))
+            yield block(held)
 
-    def block(f: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.searchsorted(e, f[c].to_numpy(float), "left") for c, e in zip(columns, edges)], 1).astype(np.uint8)
-        return pd.DataFrame({"n": [len(f)], "x": [x.tobytes()], "y": [f[label].to_numpy(float).astype(np.uint8).tobytes()]})
+    def block(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        x, y = (np.concatenate(a) for a in zip(*held))
+        return pd.DataFrame({"n": [len(y)], "x": [x.tobytes()], "y": [y.tobytes()]})
 
-    return rows.select(*columns, label).mapInPandas(blocks, "n long, x binary, y binary")
+    return rows.select(*columns, label).mapInPandas(blocks, BLOCK)
 
 
 def _leaf_of(x: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -91,6 +97,19 @@ def _leaf_of(x: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
         node = np.where(inner, np.where(x[row, np.maximum(f, 0)] <= cut[node], left[node], right[node]), node)
 
 
+def _add_tree(raw: np.ndarray, x: np.ndarray, tree: tuple[np.ndarray, ...]) -> None:
+    """Adds the leaf values of a tree to raw. x: bins by column."""
+    feature, cut, left, right, value = tree
+    at = [(0, np.arange(len(raw)))]
+    while at:
+        i, rows = at.pop()
+        if feature[i] < 0:
+            raw[rows] += value[i]
+        elif len(rows):
+            goes = x[feature[i]][rows] <= cut[i]
+            at += [(left[i], rows[goes]), (right[i], rows[~goes])]
+
+
 def _sums_at(x: np.ndarray, g: np.ndarray, h: np.ndarray, at: np.ndarray, leaves: int) -> np.ndarray:
     """Gradient, hessian and rows by (leaf, feature, bin) of the rows that are at a leaf (else -1). A feature at a time, so that its cells stay in cache."""
     mine = np.flatnonzero(at >= 0)
@@ -105,6 +124,78 @@ def _sums_at(x: np.ndarray, g: np.ndarray, h: np.ndarray, at: np.ndarray, leaves
     return out
 
 
+def _packed(x: np.ndarray) -> list[tuple[np.ndarray, dict[int, int]]]:
+    """Columns of bins, and the features and their numbers of bins that each holds: features of few bins share a column.
+
+    Sums over two bins alone wait for each other, and a shared column is one pass for several features.
+    """
+    out, size = [], BINS + 1
+    for f, bins in sorted(enumerate(x.max(0).tolist() if len(x) else [0] * x.shape[1]), key=lambda b: b[1]):
+        bins += 1
+        if size * bins <= BINS + 1:
+            column, features = out[-1]
+            out[-1] = (column * np.uint8(bins) + x[:, f], features | {f: bins})
+            size *= bins
+        else:
+            out.append((np.ascontiguousarray(x[:, f]), {f: bins}))
+            size = bins
+    return out
+
+
+def _sums_of(packed: list[tuple[np.ndarray, dict[int, int]]], g: np.ndarray, h: np.ndarray, rows: np.ndarray | None, counts: np.ndarray | None = None) -> np.ndarray:
+    """Gradient, hessian and rows by (feature, bin) of these rows, or of all; counts: the rows by (feature, bin) if they are known."""
+    sums = np.zeros((3, len(packed), BINS + 1))
+    for at in range(0, len(g) if rows is None else len(rows), CHUNK_ROWS):
+        here = slice(at, at + CHUNK_ROWS) if rows is None else rows[at : at + CHUNK_ROWS]
+        weights = (g[here], h[here], None)[: 3 if counts is None else 2]
+        for i, (column, _) in enumerate(packed):
+            cells = column[here].astype(np.intp)
+            for k, w in enumerate(weights):
+                sums[k, i] += np.bincount(cells, w, BINS + 1)
+    out = np.zeros((3, sum(len(features) for _, features in packed), BINS + 1))
+    for i, (_, features) in enumerate(packed):
+        shape = tuple(features.values())
+        cube = sums[:, i, : math.prod(shape)].reshape(3, *shape)
+        for j, (f, bins) in enumerate(features.items(), 1):
+            out[:, f, :bins] = cube.sum(tuple(a for a in range(1, cube.ndim) if a != j))
+    if counts is not None:
+        out[2] = counts
+    return out
+
+
+def _best_first(x: np.ndarray, packed: list[tuple[np.ndarray, dict[int, int]]], g: np.ndarray, h: np.ndarray, counts: np.ndarray, fit: Fit) -> tuple[tuple[np.ndarray, ...], dict[int, np.ndarray]]:
+    """A tree over all of these rows, split by split, and the rows of each leaf. x: bins by column.
+
+    Of a split the smaller side is summed and the other is what is left of the whole; a cell without rows is exactly 0.
+    """
+    nodes, rows = [_Node()], {0: np.arange(len(g))}
+    sums = {0: _sums_of(packed, g, h, None, counts)}
+    _settle(nodes, [0], best_splits(sums[0][:, None], fit.l2))
+    heap, used = [(-nodes[0].split[0], 0)] if nodes[0].split else [], set()
+    while heap and len(used) < fit.leaves - 1:
+        i = heapq.heappop(heap)[1]
+        used.add(i)
+        node, whole, mine = nodes[i], sums.pop(i), rows.pop(i)
+        _, feature, cut, left = node.split
+        node.children = pair = (len(nodes), len(nodes) + 1)
+        goes = x[feature][mine] <= cut
+        rows |= zip(pair, (mine[goes], mine[~goes]))
+        nodes += [_Node(sums=left), _Node(sums=tuple(a - b for a, b in zip(node.sums, left)))]
+        wanted = [c for c in pair if len(rows[c]) >= 2 * LEAST_ROWS]
+        if not wanted or len(used) == fit.leaves - 1:
+            continue
+        small, large = sorted(pair, key=lambda c: len(rows[c]))
+        sums[small] = _sums_of(packed, g, h, rows[small])
+        whole -= sums[small]
+        whole[:2, whole[2] == 0] = 0
+        sums[large] = whole
+        _settle(nodes, wanted, best_splits(np.stack([sums[c] for c in wanted], 1), fit.l2))
+        for c in wanted:
+            if nodes[c].split:
+                heapq.heappush(heap, (-nodes[c].split[0], c))
+    return _arrays(nodes, used, fit), rows
+
+
 def _slots(nodes: int, wanted: list[int]) -> np.ndarray:
     slot = np.full(nodes, -1)
     slot[wanted] = np.arange(len(wanted))
@@ -141,7 +232,10 @@ def _ends(nodes: list[_Node], used: set[int]) -> np.ndarray:
 
 
 def best_splits(sums: np.ndarray, l2: float) -> list[tuple]:
-    """For each leaf its sums and its best split, or None: ties go to the first feature, then the first bin."""
+    """For each leaf its sums and its best split, or None: ties go to the first feature, then the first bin.
+
+    Gains that differ by rounding alone are ties, so a tree does not depend on how its rows lie in blocks.
+    """
     left = sums.cumsum(3)[..., :-1]
     total = sums[:, :, 0, :].sum(2)
     right = total[:, :, None, None] - left
@@ -150,7 +244,7 @@ def best_splits(sums: np.ndarray, l2: float) -> list[tuple]:
     fits = (left[2] >= LEAST_ROWS) & (right[2] >= LEAST_ROWS) & (left[1] >= LEAST_HESSIAN) & (right[1] >= LEAST_HESSIAN)
     gain = np.where(fits, gain, -1.0).reshape(len(gain), -1)
     out = []
-    for k, at in enumerate(gain.argmax(1)):
+    for k, at in enumerate((gain >= gain.max(1, keepdims=True) * (1 - 1e-9)).argmax(1)):
         g, (f, b) = gain[k, at], divmod(int(at), left.shape[3])
         out.append((tuple(total[:, k].tolist()), (float(g), f, b, tuple(left[:, k, f, b].tolist())) if g > 1e-12 else None))
     return out
@@ -239,34 +333,33 @@ def _advance(state: RDD, fits: list[Fit]) -> RDD:
     return state.map(step).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _advance_block(state: RDD, fits: list[Fit], times: int) -> RDD:
-    """State after `times` more trees of every fit where a block holds all rows; one job."""
+def _grow_block(state: RDD, fits: list[Fit], times: int) -> None:
+    """All trees of every fit where a block holds all rows; one job."""
     plain = [Fit(f.learning_rate, f.leaves, f.l2) for f in fits]
 
-    def grow(block: tuple) -> tuple:
-        own, x, y, raw = block
-        raw, grown = raw.copy(), []
+    def grow(block: tuple) -> Iterator[tuple[int, list[tuple[np.ndarray, ...]]]]:
+        own, x, y, start = block
+        packed, columns = _packed(x), np.ascontiguousarray(x.T)
+        counts = _sums_of(packed, y, y, None)[2]
         for i, k in enumerate(own):
-            fit = plain[k]
+            raw, trees = start[i].copy(), []
             for _ in range(times):
-                nodes, wanted, node = [_Node()], [0], np.zeros(len(x), np.int32)
-                p = 1 / (1 + np.exp(-raw[i]))
-                g, h = p - y, p * (1 - p)
-                while wanted:
-                    _settle(nodes, wanted, best_splits(_sums_at(x, g, h, _slots(len(nodes), wanted)[node], len(wanted)), fit.l2))
-                    since = len(nodes)
-                    wanted = _grow(nodes, fit.leaves)
-                    node = _step_down(x, node, nodes, since)
-                used = _chosen(nodes, fit.leaves)
-                tree = _arrays(nodes, used, fit)
-                raw[i] += tree[4][_ends(nodes, used)[node]]
-                grown.append((k, tree))
-        return (own, x, y, raw), grown
-
-    grown = state.map(grow).persist(StorageLevel.MEMORY_AND_DISK)
-    for k, tree in grown.flatMap(lambda b: b[1]).collect():  # trees of bounded size
-        fits[k].trees.append(tree)
-    return grown.map(lambda b: b[0])
+                p = 1 / (1 + np.exp(-raw))
+                tree, rows = _best_first(columns, packed, p - y, p * (1 - p), counts, plain[k])
+                for leaf, mine in rows.items():
+                    raw[mine] += tree[4][leaf]
+                trees.append(tree)
+            yield k, trees
+
+    for k, trees in state.flatMap(grow).collect():  # trees of bounded size
+        fits[k].trees += trees
+
+
+def _dealt(blocks: DataFrame, groups: int) -> RDD:
+    """(group, block) for every group and block of a table of blocks, each a task of its own, groups in order."""
+    pairs = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).rdd.zipWithIndex()
+    pairs = pairs.map(lambda r: (r[1], r[0])).persist(StorageLevel.MEMORY_AND_DISK)
+    return pairs.partitionBy(max(1, pairs.count()), int).values()
 
 
 def boost(tune: DataFrame, val: DataFrame, fits: list[Fit], columns: tuple[str, ...], iterations: int, at: tuple[int, ...], label: str = "home_win") -> dict[tuple[int, int], float]:
@@ -284,51 +377,51 @@ def boost(tune: DataFrame, val: DataFrame, fits: list[Fit], columns: tuple[str,
     edges = edges_of(tune, columns)
     path = sinks.folder(spark, "binned")
     _binned(tune.repartition(blocks), columns, label, edges).write.parquet(path)
-    # few blocks: fits are dealt over the tasks as well
-    groups = max(1, min(len(fits), sc.defaultParallelism // blocks))
-    dealt = [list(range(g, len(fits), groups)) for g in range(groups)]
+    # few blocks: fits are dealt over the tasks as well, the longest first
+    longest = sorted(range(len(fits)), key=lambda k: -fits[k].leaves)
+    groups = len(fits) if blocks == 1 else max(1, min(len(fits), sc.defaultParallelism // blocks))
+    dealt = [longest[g::groups] for g in range(groups)]
     width = len(columns)
 
     def unpack(row: tuple) -> tuple:
         own, x, y = dealt[row.g], np.frombuffer(row.x, np.uint8).reshape(-1, width), np.frombuffer(row.y, np.uint8).astype(float)
         return own, x, y, np.full((len(own), len(y)), start)
 
-    table = spark.read.schema("n long, x binary, y binary").parquet(path).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    state = table.repartition(max(groups * blocks, 1)).rdd.map(unpack).persist(StorageLevel.MEMORY_AND_DISK)
+    state = _dealt(spark.read.schema(BLOCK).parquet(path), groups).map(unpack)
+    if blocks == 1:
+        _grow_block(state, fits, iterations)
+    else:
+        state.persist(StorageLevel.MEMORY_AND_DISK)
+        for done in range(1, iterations + 1):
+            state = _advance(state, fits)
+            if done % KEEP_EVERY == 0:
+                state.checkpoint()  # the lineage starts anew; earlier states are cleaned up with their last reference
     kept = sinks.folder(spark, "held-out")
-    _binned(val, columns, label, edges).write.parquet(kept)
-    held = spark.read.schema("n long, x binary, y binary").parquet(kept)
-    losses, done = {}, 0
-    for end in sorted({*range(KEEP_EVERY, iterations, KEEP_EVERY), *(n for n in at if n <= iterations), iterations}):
-        if blocks == 1:
-            state = _advance_block(state, fits, end - done)
-        else:
-            for _ in range(done, end):
-                state = _advance(state, fits)
-        state.checkpoint()  # the lineage starts anew; earlier states are cleaned up with their last reference
-        done = end
-        if done in at:
-            losses |= {(k, done): v for k, v in _losses(held, fits, start, width).items()}
-    return losses
+    _binned(val.repartition(max(1, -(-val.count() // HELD_ROWS))), columns, label, edges).write.parquet(kept)
+    return _losses(spark.read.schema(BLOCK).parquet(kept), fits, start, width, tuple(n for n in at if n <= iterations))
 
 
 def scores(x: np.ndarray, fit: Fit, start: float) -> np.ndarray:
     """Chance of the label by all trees of a fit, from bins."""
-    raw = np.full(len(x), start)
+    raw, columns = np.full(len(x), start), np.ascontiguousarray(x.T)
     for tree in fit.trees:
-        raw += tree[4][_leaf_of(x, tree)]
+        _add_tree(raw, columns, tree)
     return 1 / (1 + np.exp(-raw))
 
 
-def _losses(held: DataFrame, fits: list[Fit], start: float, width: int) -> dict[int, float]:
-    """Log loss of every fit so far, in one job over the held-out blocks."""
+def _losses(held: DataFrame, fits: list[Fit], start: float, width: int, at: tuple[int, ...]) -> dict[tuple[int, int], float]:
+    """Log loss by (fit, iterations), in one job over the held-out blocks: a task takes a block and a fit."""
     now = held.sparkSession.sparkContext.broadcast(fits)
 
-    def partial(row: tuple) -> Iterator[tuple[int, tuple[float, int]]]:
-        x, y = np.frombuffer(row.x, np.uint8).reshape(-1, width), np.frombuffer(row.y, np.uint8)
-        for k, fit in enumerate(now.value):
-            p = np.clip(scores(x, fit, start), 1e-15, 1 - 1e-15)
-            yield k, (float(-np.log(np.where(y == 1, p, 1 - p)).sum()), len(y))
-
-    sums = held.rdd.flatMap(partial).reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1])).collect()  # a row a fit
+    def partial(row: tuple) -> Iterator[tuple[tuple[int, int], tuple[float, int]]]:
+        x, y = np.ascontiguousarray(np.frombuffer(row.x, np.uint8).reshape(-1, width).T), np.frombuffer(row.y, np.uint8)
+        raw, trees, done = np.full(len(y), start), now.value[row.g].trees, 0
+        for n in sorted(at):
+            for tree in trees[done:n]:
+                _add_tree(raw, x, tree)
+            done = n
+            p = np.clip(1 / (1 + np.exp(-raw)), 1e-15, 1 - 1e-15)
+            yield (row.g, n), (float(-np.log(np.where(y == 1, p, 1 - p)).sum()), len(y))
+
+    sums = _dealt(held, len(fits)).flatMap(partial).reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1])).collect()  # a row a fit and number
     return {k: total / n for k, (total, n) in sums}

@@ -120,3 +120,39 @@ def test_rows_carried_down_a_tree_end_in_its_leaves():
     used = boosting._chosen(nodes, fit.leaves)
     tree = boosting._arrays(nodes, used, fit)
     assert len(nodes) > 2 * len(used) + 1 and np.array_equal(boosting._ends(nodes, used)[node], boosting._leaf_of(x, tree))
+
+
+def test_a_tree_sums_the_smaller_side_of_a_split(monkeypatch):
+    """A deep tree reads its rows some times over, not once a level, and is the tree of whole levels; features of few bins share a column."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.integers(0, 200, (20_000, 3)), rng.integers(0, 3, (20_000, 3))], 1).astype(np.uint8)
+    y, fit = (x[:, 0] / 100 + x[:, 3] * (x[:, 1] > 150) + rng.normal(size=20_000) > 1.5).astype(float), boosting.Fit(0.1, 31, 1.0)
+    g, h = 0.5 - y, np.full(20_000, 0.25)
+    packed, read = boosting._packed(x), []
+    assert sorted(sorted(features) for _, features in packed) == [[0], [1], [2], [3, 4, 5]]
+    whole = boosting._sums_at(x, g, h, np.zeros(20_000, np.int32), 1)[:, 0]
+    assert np.allclose(boosting._sums_of(packed, g, h, None), whole, atol=1e-9)
+    sums_of = boosting._sums_of
+    monkeypatch.setattr(boosting, "_sums_of", lambda p, g, h, rows, *a: read.append(len(g) if rows is None else len(rows)) or sums_of(p, g, h, rows, *a))
+    tree, leaves = boosting._best_first(np.ascontiguousarray(x.T), packed, g, h, whole[2], fit)
+    nodes, wanted, node, levels = [boosting._Node()], [0], np.zeros(20_000, np.int32), 0
+    while wanted:
+        boosting._settle(nodes, wanted, boosting.best_splits(boosting._sums_at(x, g, h, boosting._slots(len(nodes), wanted)[node], len(wanted)), fit.l2))
+        since, levels = len(nodes), levels + 1
+        wanted = boosting._grow(nodes, fit.leaves)
+        node = boosting._step_down(x, node, nodes, since)
+    used = boosting._chosen(nodes, fit.leaves)
+    values = boosting._arrays(nodes, used, fit)[4][boosting._ends(nodes, used)[node]]
+    got = np.zeros(20_000)
+    boosting._add_tree(got, np.ascontiguousarray(x.T), tree)
+    assert len(leaves) == 31 and sum(map(len, leaves.values())) == 20_000 and np.allclose(got, values, atol=1e-12)
+    assert levels > 5 and sum(read) < 4 * 20_000
+
+
+def test_gains_that_differ_by_rounding_are_ties():
+    """Two features that cut the rows alike, the second with sums of another order: the first one is split."""
+    sums = np.zeros((3, 1, 2, boosting.BINS + 1))
+    sums[:, 0, :, 3], sums[:, 0, :, 9] = np.array([[10.0], [25.0], [100]]), np.array([[-9.0], [25.0], [100]])
+    sums[0, 0, 1, 3] += 1e-13
+    ((_, split),) = boosting.best_splits(sums, 1.0)
+    assert split[1:3] == (0, 3)
