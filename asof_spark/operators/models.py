@@ -72,7 +72,7 @@ def search_boosted(tune: DataFrame, val: DataFrame, grid: tuple[dict, ...] = BOO
     """config, its values and log_loss on val (null without rows), for every configuration of the grid.
 
     The first n trees of a longer fit are the fit of n iterations, so configurations that differ in max_iter alone share
-    the longest one's trees. All fits advance together, a Spark job a round (boosting.boost).
+    the longest one's trees. All fits are grown side by side (boosting.boost).
     """
     alike = list(dict.fromkeys((g["learning_rate"], g["leaves"], g["l2"]) for g in grid))
     at = tuple(sorted({g["max_iter"] for g in grid}))
